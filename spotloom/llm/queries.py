@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotloom.llm import bpe, exact_dedup, mixing, quality_classifier, simhash_dedup
+from spotloom.llm import bpe, exact_dedup, mixing, quality_classifier, simhash_dedup, suffix_dedup
 from spotloom.sources.tables import table
 
 
@@ -40,6 +40,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -114,6 +118,7 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_quality_classifier": op2_quality_classifier,
+        "op6_suffix_array": op6_suffix_array,
         "op7_bpe": op7_bpe,
         "op8_simhash": op8_simhash,
         "op10_mixing": op10_mixing,
