@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotloom.llm import bpe, exact_dedup, mixing, quality_classifier, simhash_dedup, suffix_dedup
+from spotloom.llm import bpe, chain_dedup, exact_dedup, language_model, mixing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, url_rules
 from spotloom.sources.tables import table
 
 
@@ -40,6 +40,30 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.outliers(table(spark, sf_dir, "documents"))
+
+
+#: The listed rules.
+LISTED = [
+    url_rules.ListedRule("allow", "org", "/"),
+    url_rules.ListedRule("block", "example.org", "/es/"),
+    url_rules.ListedRule("block", "example.org", "/en/1"),
+    url_rules.ListedRule("allow", "com", "/fr/"),
+    url_rules.ListedRule("block", "com", "/de/"),
+]
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), LISTED, bad)
+
+
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_model.score(docs, language_model.train(docs))
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -60,6 +84,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id", "component_size")
 
 
+def op9_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_dedup.fuzzy_repeats(table(spark, sf_dir, "documents"))
+
+
 #: Target weights of the mixing query: four domains from the source's number, languages, all sources alike.
 MIX_PLAN = mixing.Plan(domain_weights={"d0": 4, "d1": 3, "d2": 2, "d3": 1}, lang_weights={"en": 5, "de": 3, "fr": 2, "es": 2}, budget=(1, 2), max_epochs=2)
 
@@ -118,9 +146,13 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_quality_rules": op3_quality_rules,
+        "op4_url_rules": op4_url_rules,
+        "op5_language_model": op5_language_model,
         "op6_suffix_array": op6_suffix_array,
         "op7_bpe": op7_bpe,
         "op8_simhash": op8_simhash,
+        "op9_chaining": op9_chaining,
         "op10_mixing": op10_mixing,
     }
 
