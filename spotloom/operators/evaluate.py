@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -95,13 +95,13 @@ def neighbour_vote(knn: DataFrame, labels: DataFrame) -> DataFrame:
 def silhouette(spots: DataFrame, block: int = 2048) -> DataFrame:
     """(replicate, silhouette): mean Euclidean silhouette, exact.
 
-    Distances to all rows are the definition, so rows meet in packed blocks of ``block`` points: the work is quadratic
+    Distances to all rows are the definition, so rows meet in packed blocks of about ``block`` points: the work is quadratic
     in a replicate, but a task holds two blocks only and hands on one row per point and label."""
     import numpy as np
     import pandas as pd
 
-    number = F.row_number().over(Window.partitionBy("replicate", F.pmod(F.xxhash64("spot_id"), F.lit(64))).orderBy("spot_id"))
-    cut = spots.withColumn("b", F.concat_ws("-", F.pmod(F.xxhash64("spot_id"), F.lit(64)).cast("string"), F.floor((number - 1) / block).cast("string")))
+    sizes = spots.groupBy("replicate").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    cut = spots.join(sizes, "replicate").withColumn("b", F.pmod(F.xxhash64("spot_id"), F.col("blocks")))
     packed = cut.groupBy("replicate", "b").agg(F.collect_list(F.struct("spot_id", "x", "y", "label")).alias("p"))
     left = packed.select("replicate", F.col("b").alias("b1"), F.col("p").alias("p1"))
     pairs = left.join(packed, "replicate")
