@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotloom.operators import evaluate, expression, graph, loadings, trends
+from spotloom.operators import affinity, evaluate, expression, factors, graph, loadings, trends
 from spotloom.sources import views
 from spotloom.sources.tables import table
 from spotloom.sources.views import with_views
@@ -412,3 +412,42 @@ def affinity_trends(spark, d):
 SELECT c.feature, c.t AS centre, m.t AS member FROM r c JOIN r m ON c.feature = m.feature AND m.rank BETWEEN c.rank - 1 AND c.rank + 1 WHERE c.rank > 1 AND c.rank <= c.n - 1""")
 def neighbor_groups(spark, d):
     return trends.neighbour_groups(views.covariates(spark, d))
+
+
+# --- factor models --------------------------------------------------------------------------------------------------
+
+
+@_query("expr emb", f"SELECT gene, k, {_r('sum(value * v)')} AS value FROM expr JOIN emb USING (spot_id) GROUP BY ALL")
+def cross_ytx(spark, d):
+    return _rounded(factors.cross(views.expression(spark, d), views.embedding_long(spark, d)), "value")
+
+
+@_query("expr emb", f"""c AS (SELECT gene, k, sum(value * v) AS value FROM expr JOIN emb USING (spot_id) GROUP BY ALL), w AS (SELECT gene, k, value / sum(value) OVER (PARTITION BY k) AS w FROM c),
+own AS (SELECT * FROM expr WHERE spot_id IN (SELECT spot_id FROM emb)), yy AS (SELECT replicate, sum(value * value) AS yy, count(DISTINCT spot_id) AS n FROM own GROUP BY 1),
+yx AS (SELECT own.replicate, sum(value * w * v) AS yx FROM own JOIN w USING (gene) JOIN emb ON emb.spot_id = own.spot_id AND emb.k = w.k GROUP BY 1),
+mm AS (SELECT a.k AS i, b.k AS j, sum(a.w * b.w) AS m FROM w a JOIN w b USING (gene) GROUP BY ALL), sp AS (SELECT DISTINCT replicate, spot_id FROM own),
+q AS (SELECT sp.replicate, sum(a.v * b.v * m) AS q FROM sp JOIN emb a ON a.spot_id = sp.spot_id JOIN emb b ON b.spot_id = sp.spot_id JOIN mm ON mm.i = a.k AND mm.j = b.k GROUP BY 1), g AS (SELECT count(DISTINCT gene) AS g FROM expr)
+SELECT replicate, n, round(yy - 2 * yx + q, 4) AS loss, {_r('sqrt((yy - 2 * yx + q) / (n * g))')} AS sigma FROM yy JOIN yx USING (replicate) JOIN q USING (replicate), g""")
+def sigma_yx(spark, d):
+    """Residual and noise of a factor model whose weights are the normalised cross products."""
+    expr, x = views.expression(spark, d), views.embedding_long(spark, d)
+    out = factors.residuals(expr, x, factors.simplex_columns(factors.cross(expr, x)))
+    return _rounded(out, "sigma").withColumn("loss", F.round("loss", 4))
+
+
+@_query("", None)
+def nmf_fit(spark, d):
+    model = factors.fit_nmf(views.expression(spark, d), 8, iterations=4)
+    return factors.weights_table(model, spark)
+
+
+@_query("", None)
+def spatial_affinity_fit(spark, d):
+    z = loadings.l1_normalize(views.embedding_long(spark, d))
+    s, _ = affinity.fit_affinity(_edges(spark, d), z, views.FACTORS, steps=15)
+    return spark.createDataFrame([(i + 1, j + 1, float(s[i, j])) for i in range(len(s)) for j in range(len(s))], "i int, j int, value double")
+
+
+@_query("", None)
+def permutation_test(spark, d):
+    return affinity.permutation_test(views.spots(spark, d), _edges(spark, d), trials=50)
