@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotloom.operators import affinity, evaluate, expression, factors, graph, loadings, trends
+from spotloom.functions.scratch import materialize
+from spotloom.operators import affinity, cluster, evaluate, expression, factors, graph, loadings, trends
+from spotloom.operators import simulate as simulation
+from spotloom.operators import spatial_fit as spatial
 from spotloom.sources import views
 from spotloom.sources.tables import table
 from spotloom.sources.views import with_views
@@ -451,3 +455,71 @@ def spatial_affinity_fit(spark, d):
 @_query("", None)
 def permutation_test(spark, d):
     return affinity.permutation_test(views.spots(spark, d), _edges(spark, d), trials=50)
+
+
+# --- clustering, binning, spatial fits ------------------------------------------------------------------------------
+
+
+@_query("knn", f"""p AS (SELECT k.*, a.x, a.y, b.x AS dx, b.y AS dy FROM knn k JOIN spots a ON a.spot_id = src JOIN spots b ON b.spot_id = dst),
+blocked AS (SELECT DISTINCT p.src, p.dst FROM p JOIN p q ON p.src = q.src AND q.rank < p.rank
+  WHERE q.distance * q.distance + (p.dx - q.dx) * (p.dx - q.dx) + (p.dy - q.dy) * (p.dy - q.dy) < p.distance * p.distance * (1 - 1e-12)),
+f AS (SELECT replicate, src, dst, distance FROM p ANTI JOIN blocked USING (src, dst))
+SELECT DISTINCT replicate, src, dst, {_r('distance')} AS distance FROM (SELECT * FROM f UNION ALL SELECT replicate, dst, src, distance FROM f)""")
+def gabriel_graph(spark, d):
+    s = views.spots(spark, d)
+    return _rounded(cluster.gabriel_graph(cluster.with_positions(graph.knn_graph(s), s)), "distance")
+
+
+@_query("", None)
+def louvain(spark, d):
+    return cluster.communities(_edges(spark, d))
+
+
+@_query("", None)
+def partition_bins(spark, d):
+    return cluster.partition_bins(views.spots(spark, d))
+
+
+@_query("", None)
+def pca(spark, d):
+    return _rounded(cluster.principal_components(views.embedding_long(spark, d), 3)[0], "value")
+
+
+def _fitted(spark, d):
+    """Customers as spots on a plane by balance and number, with a short factor fit of their purchases."""
+    expr = views.expression(spark, d)
+    where = table(spark, d, "customer").select(F.col("c_custkey").alias("spot_id"), (F.col("c_acctbal") / 1000).alias("x"), (F.col("c_custkey") % 97 / 10).alias("y"))
+    spots = expr.select(F.col("replicate").cast("string").alias("replicate"), "spot_id").distinct().join(where, "spot_id")
+    model = factors.fit_nmf(expr, 4, iterations=2)
+    numbered = spark.createDataFrame([(g, i) for i, g in enumerate(model.genes)], "gene string, g int")
+    x = model.loadings.groupBy("spot_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("x"))
+    packed = factors.packed_spots(expr, numbered).join(x, "spot_id")
+    return spots, model, packed
+
+
+@_query("", None)
+def spatial_fit(spark, d):
+    spots, model, packed = _fitted(spark, d)
+    edges = materialize(graph.symmetric_edges(graph.knn_graph(spots, 4)), "fit-edges")
+    sigma = sum(model.sigma.values()) / len(model.sigma)
+    out = spatial.spatial_loadings(packed, edges, model.weights, 0.1 * np.eye(4), sigma, rounds=1)
+    return out.select("replicate", "spot_id", "s", F.posexplode("z").alias("k", "z"))
+
+
+@_query("", None)
+def superresolve(spark, d):
+    spots, model, packed = _fitted(spark, d)
+    bins = cluster.partition_bins(spots, 4)
+    cells = packed.join(bins.select("spot_id", "bin_id"), "spot_id")
+    xb = cells.groupBy("replicate", "bin_id").agg(F.array(*[F.sum(F.col("x")[i]) for i in range(4)]).alias("xb"))
+    sigma = sum(model.sigma.values()) / len(model.sigma)
+    out = spatial.superresolve(cells.join(xb, ["replicate", "bin_id"]).drop("x"), model.weights, sigma)
+    return out.select("replicate", "bin_id", "spot_id", F.posexplode("x").alias("k", "x"))
+
+
+@_query("", None)
+def simulate(spark, d):
+    """Expression drawn at the positions of the table's spots, cell types by label."""
+    kinds = {str(i): np.eye(10)[i % 10] + 0.1 for i in range(10)}
+    spots = views.spots(spark, d).withColumn("cell_type", F.col("label").cast("string"))
+    return simulation.expression(spots, simulation.metagenes(60, 10, 1, variation=(0, 0.1, 0.1), seed=1), kinds, noise_factors=1)

@@ -1,0 +1,75 @@
+"""Synthetic spots, loadings and expression, each row drawn from a generator seeded by its own id."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Mapping, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def metagenes(genes: int, real: int, noise: int, shape: float = 4.0, variation: Sequence[float] = (), seed: int = 0) -> np.ndarray:
+    """Genes x factors weights with columns that sum to 1; factor k renews a share ``variation[k]`` of the genes of the
+    factor before it (all of them where it is 0 or missing)."""
+    rng = np.random.default_rng(seed)
+    out = np.zeros((genes, real + noise))
+    for k in range(real + noise):
+        fresh = rng.gamma(shape, 1.0, genes)
+        share = variation[k] if k < len(variation) else 0.0
+        if k and share > 0:
+            column = out[:, k - 1].copy()
+            renewed = rng.permutation(genes)[: int(share * genes)]
+            column[renewed] = fresh[renewed]
+            out[:, k] = column
+        else:
+            out[:, k] = fresh
+    return out / out.sum(axis=0)
+
+
+def grid_spots(spark: SparkSession, replicate: str, side: int) -> DataFrame:
+    """(replicate, spot_id, x, y): a square grid on the unit square."""
+    at = lambda c: (c + 0.5) / side
+    return spark.range(side * side).select(F.lit(replicate).alias("replicate"), F.col("id").alias("spot_id"), at(F.floor(F.col("id") / side)).alias("x"), at(F.col("id") % side).alias("y"))
+
+
+def domain_bands(spots: DataFrame, bands: Sequence[tuple[str, float, float]]) -> DataFrame:
+    """Adds ``domain``: the band [low, high) of x that holds the spot, else null."""
+    name = F.lit(None).cast("string")
+    for label, low, high in bands:
+        name = F.when((F.col("x") >= low) & (F.col("x") < high), label).otherwise(name)
+    return spots.withColumn("domain", name)
+
+
+def cell_types(spots: DataFrame, mixture: Mapping[str, Mapping[str, float]], seed: int = 0) -> DataFrame:
+    """Adds ``cell_type``: drawn from the domain's proportions by a hash of the spot; null in an unlisted domain."""
+    u = (F.pmod(F.xxhash64("replicate", "spot_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    out = F.lit(None).cast("string")
+    for domain, parts in mixture.items():
+        edge, pick = 0.0, F.lit(None).cast("string")
+        for name, share in parts.items():
+            pick = F.when((u >= edge) & (u < edge + share), name).otherwise(pick)
+            edge += share
+        out = F.when(F.col("domain") == domain, pick).otherwise(out)
+    return spots.withColumn("cell_type", out)
+
+
+def expression(spots: DataFrame, weights: np.ndarray, definitions: Mapping[str, Sequence[float]], noise_factors: int = 0, spread: float = 0.1, depth: float = 100.0, noise: float = 0.05, seed: int = 0) -> DataFrame:
+    """(replicate, spot_id, gene, value): |N(x M', noise)| with x around the cell type's definition, zero cells left out."""
+    table = {k: np.asarray(v, float) for k, v in definitions.items()}
+    n_genes = len(weights)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            for rep, spot, kind in zip(t["replicate"], t["spot_id"], t["cell_type"], strict=True):
+                rng = np.random.default_rng([seed, int(spot), sum(map(ord, rep))])
+                real = table.get(kind)
+                mean = np.zeros(weights.shape[1]) if real is None else np.concatenate((real, np.full(noise_factors, noise)))
+                x = np.abs(rng.normal(mean, spread)) * (mean > 0)
+                x = x / max(x.sum(), 1e-12) * depth
+                y = np.abs(weights @ x + rng.normal(0, noise, n_genes) * depth / n_genes)
+                at = np.flatnonzero(y > 0)
+                yield pd.DataFrame({"replicate": rep, "spot_id": spot, "gene": [f"g{i:04d}" for i in at], "value": y[at]})
+
+    return spots.select("replicate", "spot_id", "cell_type").mapInPandas(draw, "replicate string, spot_id long, gene string, value double")
