@@ -20,10 +20,10 @@ def deal(budget, children):
     return out
 
 
-def brute_force(rows, plan):
+def brute_force(rows, plan, domain=lambda s: (s or "")[:1]):
     tokens = defaultdict(int)
     for _, t, lang, source in rows:
-        tokens[(source or "")[:1], lang or "", source or ""] += len((t or "").encode().split())
+        tokens[domain(source), lang or "", source or ""] += len((t or "").encode().split())
     cap = {k: v * plan.max_epochs for k, v in tokens.items()}
 
     def caps(depth, under):
@@ -42,7 +42,7 @@ def brute_force(rows, plan):
                 budgets[dom, lang, src] = b3
     out = []
     for leaf, b in budgets.items():
-        own = [(i, len((t or "").encode().split())) for i, t, lang, source in rows if ((source or "")[:1], lang or "", source or "") == leaf]
+        own = [(i, len((t or "").encode().split())) for i, t, lang, source in rows if (domain(source), lang or "", source or "") == leaf]
         epochs = b // tokens[leaf] if tokens[leaf] else 0
         rest, run = b - epochs * tokens[leaf], 0
         place = lambda d: (hashlib.md5(f"{plan.seed}:{epochs + 1}:{'' if d[0] is None else d[0]}".encode()).hexdigest(), d[0] is not None, d[0] or 0, d[1])
