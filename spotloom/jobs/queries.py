@@ -503,7 +503,7 @@ def spatial_fit(spark, d):
     edges = materialize(graph.symmetric_edges(graph.knn_graph(spots, 4)), "fit-edges")
     sigma = sum(model.sigma.values()) / len(model.sigma)
     out = spatial.spatial_loadings(packed, edges, model.weights, 0.1 * np.eye(4), sigma, rounds=1)
-    return out.select("replicate", "spot_id", "s", F.posexplode("z").alias("k", "z"))
+    return out.select("replicate", "spot_id", "s", F.posexplode("z").alias("k", "z")).withColumn("k", F.col("k") + 1)
 
 
 @_query("", None)
@@ -514,7 +514,7 @@ def superresolve(spark, d):
     xb = cells.groupBy("replicate", "bin_id").agg(F.array(*[F.sum(F.col("x")[i]) for i in range(4)]).alias("xb"))
     sigma = sum(model.sigma.values()) / len(model.sigma)
     out = spatial.superresolve(cells.join(xb, ["replicate", "bin_id"]).drop("x"), model.weights, sigma)
-    return out.select("replicate", "bin_id", "spot_id", F.posexplode("x").alias("k", "x"))
+    return out.select("replicate", "bin_id", "spot_id", F.posexplode("x").alias("k", "x")).withColumn("k", F.col("k") + 1)
 
 
 @_query("", None)

@@ -50,7 +50,7 @@ def _moves(edges: DataFrame, labels: DataFrame, resolution: float, turn: int, by
     return alone.where((F.col("best.gain") > F.col("stay") + 1e-12) & way & half).select("node", target.alias("target"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, turns: int = 24, levels: int = 3) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, turns: int = 12, levels: int = 2) -> DataFrame:
     """(replicate, spot_id, community): parallel Louvain on a symmetric edge table (replicate, src, dst).
 
     Every turn half of the nodes move at once to the neighbouring community of largest gain; when no node moves, or
@@ -65,7 +65,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, turns: int = 24, leve
             moved = materialize(_moves(now, labels, resolution, turn, "replicate"), "louvain-moves")
             if moved.isEmpty():
                 quiet += 1
-                if quiet == 4:
+                if quiet == 3:
                     break
                 continue
             quiet, any_move = 0, True
