@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotloom.functions.scratch import materialize
+from spotloom.functions.ship import ship_package
 from spotloom.functions.text import text_of, without_white
 from spotloom.llm import bpe, exact_dedup, mixing, quality_classifier, simhash_dedup
 from spotloom.llm.decisions import keep_rows
@@ -22,6 +23,7 @@ from spotloom.sources.tables import table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more."""
+    ship_package(spark)
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return docs.where(model.score(F.col("text")) >= 0.5)
 
@@ -36,6 +38,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: its smallest id."""
+    ship_package(spark)
     found = simhash_dedup.simhash_components(docs)
     return keep_rows(docs, found.select("doc_id", F.col("fp").alias("mark"), "kept"), simhash_dedup.fingerprint_of(F.col("text")))
 
@@ -48,6 +51,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document that is left."""
+    ship_package(spark)
     return bpe.encode_decode(docs, vocabulary())
 
 
