@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotloom.functions.scratch import materialize
-from spotloom.operators import affinity, cluster, evaluate, expression, factors, graph, loadings, trends
+from spotloom.operators import affinity, cluster, enrich, evaluate, expression, factors, graph, loadings, trends
 from spotloom.operators import simulate as simulation
 from spotloom.operators import spatial_fit as spatial
 from spotloom.sources import views
@@ -523,3 +523,33 @@ def simulate(spark, d):
     kinds = {str(i): np.eye(10)[i % 10] + 0.1 for i in range(10)}
     spots = views.spots(spark, d).withColumn("cell_type", F.col("label").cast("string"))
     return simulation.expression(spots, simulation.metagenes(60, 10, 1, variation=(0, 0.1, 0.1), seed=1), kinds, noise_factors=1)
+
+
+# --- gene sets ------------------------------------------------------------------------------------------------------
+
+_WEIGHTS = "w AS (SELECT gene, k, sum(value * v) AS w FROM expr JOIN emb USING (spot_id) GROUP BY ALL)"
+
+
+def _cross_weights(spark, d):
+    return factors.cross(views.expression(spark, d), views.embedding_long(spark, d)).withColumnRenamed("value", "w").withColumn("w", F.round("w", 6))
+
+
+_KNEE = f"""{_WEIGHTS}, r AS (SELECT gene, k, round(w, 6) AS w FROM w),
+c AS (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY w, gene) - 1)::DOUBLE / (count(*) OVER (PARTITION BY k) - 1) AS a, (w - min(w) OVER (PARTITION BY k)) / (max(w) OVER (PARTITION BY k) - min(w) OVER (PARTITION BY k)) AS s, count(*) OVER (PARTITION BY k) AS n FROM r),
+m AS (SELECT k, max(a - s) AS below, arg_max(a, a - s) AS cut, any_value(n) AS n FROM c GROUP BY 1), sig AS (SELECT c.k, gene, w FROM c JOIN m ON c.k = m.k WHERE below > 1.0 / m.n AND a > cut)"""
+
+
+@_query("expr emb", f"{_KNEE} SELECT k, gene, {_r('w')} AS w FROM sig")
+def signature_knee(spark, d):
+    return _rounded(enrich.signature_by_knee(_cross_weights(spark, d)), "w")
+
+
+@_query("expr emb", f"""{_KNEE}, {_SETS}, g AS (SELECT DISTINCT gene FROM expr), t AS (SELECT count(*) AS total FROM g),
+mm AS (SELECT set_name, gene FROM m1 JOIN g USING (gene)), ms AS (SELECT set_name, count(*) AS members FROM mm GROUP BY 1), cs AS (SELECT k, count(*) AS chosen FROM sig GROUP BY 1),
+b AS (SELECT k, set_name, count(*) AS shared FROM sig JOIN mm USING (gene) GROUP BY ALL),
+x AS (SELECT cs.k, ms.set_name, coalesce(shared, 0) AS shared, chosen, members, total FROM cs CROSS JOIN ms CROSS JOIN t LEFT JOIN b ON b.k = cs.k AND b.set_name = ms.set_name)
+SELECT 'f' || k AS signature, set_name, shared, {_r('''least(1, (SELECT coalesce(sum(exp(lgamma(members + 1) - lgamma(i + 1) - lgamma(members - i + 1) + lgamma(total - members + 1) - lgamma(chosen - i + 1) - lgamma(total - members - chosen + i + 1)
+  - lgamma(total + 1) + lgamma(chosen + 1) + lgamma(total - chosen + 1))), 0) FROM (SELECT unnest(range(greatest(shared, chosen + members - total), least(chosen, members) + 1)) AS i)))''')} AS p FROM x""".replace("m AS (SELECT DISTINCT p_brand", "m1 AS (SELECT DISTINCT p_brand"))
+def over_representation(spark, d):
+    picks = enrich.signature_by_knee(_cross_weights(spark, d)).select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("signature"), "gene")
+    return _rounded(enrich.over_representation(_sets(spark, d), picks, views.expression(spark, d)), "p")
