@@ -3,8 +3,8 @@
 Equal texts form a class whose smallest id stands for it; the others are members and take no part in the search.
 Positions are sampled by content: a k-word window is kept if its hash is the smallest of some ``span`` consecutive
 windows, so two texts that share ``k + span - 1`` words in a row keep a common window there.  Seeds are sorted by hash over
-range partitions (a hot hash may cover many of them), and each is linked to the nearest seed before it of another document: one
-link per seed, whatever the size of its group.
+range partitions (a hot hash may cover many of them), and each is linked to the nearest seed before it of another document
+(those of a group's first document to the next): one link per seed, whatever the size of its group.
 
 Rows with null ids or null texts, and texts without words, take part in nothing and give no rows.
 """
@@ -167,6 +167,12 @@ def neighbour_links(rows: DataFrame) -> DataFrame:
             ok = (other >= 0) & (seed[np.maximum(other, 0)] == seed)
             o, i = other[ok], index[ok]
             yield _link_batch(0, part, seed[i], doc[o], pos[o], doc[i], pos[i])
+            # rows of a group's first document, which have none before them, are linked to the next document
+            run_end = np.minimum.accumulate(np.where(np.append(starts[1:], True), index, len(seed))[::-1])[::-1] + 1
+            after = np.minimum(run_end, len(seed) - 1)
+            lead = ~ok & (run_end < len(seed)) & (seed[after] == seed)
+            o, i = after[lead], index[lead]
+            yield _link_batch(0, part, seed[i], doc[o], pos[o], doc[i], pos[i])
             if first:  # rows of the first run may continue the partition before
                 n = int(np.argmax(np.append(starts[1:], True))) + 1
                 zero = np.zeros(n, np.int64)

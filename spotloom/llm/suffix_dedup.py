@@ -7,8 +7,8 @@ than letters: the order of unequal prefixes is free, only neighbourhood matters.
 nearest one before it of another document; the match is then extended word by word to the left and right on the texts
 themselves, which also verifies it.
 
-Result: one row per maximal match of ``least`` words or more, with the word positions on both sides, between class
-representatives; a member of a class of equal texts gets one row for its whole text against its representative.
+Result: maximal matches of ``least`` words or more, with the word positions on both sides, between class representatives
+(per pair of documents as many as cover all words that its matches cover on either side); a member of a class of equal texts gets one row for its whole text against its representative.
 
 Defined results: see ``passages``; repeated rows of one id count once, and if an id has several texts each is compared;
 an empty table gives an empty result; extra columns are ignored.
@@ -29,7 +29,11 @@ SCHEMA = "doc_id long, start long, n_words long, other_id long, other_start long
 
 
 def extended(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Maximal equal stretches (start in a, start in b, length) around seeds, of ``least`` words or more."""
+    """Maximal equal stretches (start in a, start in b, length) around seeds, of ``least`` words or more.
+
+    Texts that repeat themselves match along many diagonals; longest first, a stretch is left out if others cover
+    all its words on both sides.
+    """
     out = set()
     for shift in {y - x for x, y in seeds}:
         lo, hi = max(0, -shift), min(len(a), len(b) - shift)
@@ -43,7 +47,12 @@ def extended(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least:
         for left, right in zip(edges[at - 1].tolist(), edges[np.minimum(at, len(edges) - 1)].tolist(), strict=True):
             if right - left - 1 >= least:
                 out.add((left + 1 + lo, left + 1 + lo + shift, right - left - 1))
-    return sorted(out)
+    in_a, in_b, kept = np.zeros(len(a), bool), np.zeros(len(b), bool), []
+    for x, y, n in sorted(out, key=lambda m: (-m[2], m[0], m[1])):
+        if not (in_a[x : x + n].all() and in_b[y : y + n].all()):
+            kept.append((x, y, n))
+            in_a[x : x + n], in_b[y : y + n] = True, True
+    return sorted(kept)
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, k: int = 20, span: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -43,6 +43,8 @@ def corpus(seed):
             parts += [rng.choice(passages), [word() for _ in range(rng.randrange(0, 40))]]
         rows.append((i, " ".join(x for p in parts for x in p)))
     rows += [(200 + i, rows[3][1]) for i in range(4)]
+    twice = [word() for _ in range(60)]
+    rows += [(400, " ".join([*twice, "x", "y", *twice])), (401, " ".join(["z", *twice])), (402, " ".join([*twice] * 9)), (403, " ".join([*twice] * 7))]
     rows += [(300, "go " * 90), (301, "go " * 90 + "on"), (302, None), (303, ""), (None, rows[5][1]), (304, "short text")]
     return rows
 
