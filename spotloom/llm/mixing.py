@@ -70,10 +70,10 @@ def leaf_budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     dec = "decimal(38,0)"
     caps = leaves.withColumn("cap", (F.col("tokens") * plan.max_epochs).cast(dec))
     num, den = plan.budget
-    total = leaves.agg(F.expr(f"cast(coalesce(sum(tokens), 0) * {num} as decimal(38,0)) div {den}").cast(dec).alias("budget"))
-    domains = caps.groupBy("domain").agg(F.sum("cap").cast(dec).alias("cap")).withColumn("w", _weight("domain", plan.domain_weights, plan.default_weight))
-    one = domains.withColumn("root", F.lit(0)).join(total.withColumn("root", F.lit(0)), "root")
-    one = one.withColumn("budget", F.least("budget", F.sum("cap").over(Window.partitionBy("root"))).cast(dec))
+    domains = caps.groupBy("domain").agg(F.sum("cap").cast(dec).alias("cap"), F.sum("tokens").alias("t")).withColumn("w", _weight("domain", plan.domain_weights, plan.default_weight))
+    top = Window.partitionBy("root")
+    whole = F.expr(f"cast(t_all * {num} as decimal(38,0)) div {den}")
+    one = domains.withColumn("root", F.lit(0)).withColumn("t_all", F.sum("t").over(top)).withColumn("budget", F.least(whole.cast(dec), F.sum("cap").over(top)).cast(dec))
     one = deal(one, ["root"], "domain").select("domain", F.col("alloc").alias("budget"))
     langs = caps.groupBy("domain", "lang").agg(F.sum("cap").cast(dec).alias("cap")).withColumn("w", _weight("lang", plan.lang_weights, plan.default_weight))
     two = deal(langs.join(one, "domain"), ["domain"], "lang").select("domain", "lang", F.col("alloc").alias("budget"))
