@@ -55,50 +55,47 @@ def _byte_letters() -> dict[str, int]:
 class TrieEncoder:
     """Encodes words with the vocabulary and merges of a ``tokenizers`` JSON file."""
 
-    def __init__(self, path: str, cache_words: int = 250_000):
+    def __init__(self, path: str, cache_words: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = _byte_letters()
         vocab = spec["model"]["vocab"]
         self.token_bytes: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
         self.id_of: dict[bytes, int] = {b: i for i, b in self.token_bytes.items()}
-        self.rank: dict[tuple[int, int], int] = {}
-        made: dict[int, tuple[int, int, int]] = {}
+        self.rank: dict[int, int] = {}
+        self.made: dict[int, tuple[int, int, int]] = {}
         for r, m in enumerate(spec["model"]["merges"]):
             left, right = m.split(" ") if isinstance(m, str) else m
             a, b, c = vocab[left], vocab[right], vocab[left + right]
-            self.rank[a, b] = r
-            made.setdefault(c, (r, a, b))
-        # the pieces at a token's right and left edge, from single byte to whole token, with the rank that made each
-        self.right_edge = {i: self._edge(i, made, 2) for i in self.token_bytes}
-        self.left_edge = {i: self._edge(i, made, 1) for i in self.token_bytes}
+            self.rank[a << 20 | b] = r
+            self.made.setdefault(c, (r, a, b))
         # every byte string that ends a token: the token itself, or -1 where it is only the end of longer ones
         self.ending = {b[k:]: -1 for b in self.id_of for k in range(1, len(b))} | self.id_of
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.added_split = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.token_bytes |= {i: t.encode() for t, i in self.added.items()}
-        self._fit: dict[tuple[int, int], bool] = {}
+        self._fit: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._cache_words = cache_words
 
-    @staticmethod
-    def _edge(token: int, made: dict, side: int) -> list[tuple[int, int]]:
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The pieces at a token's left (1) or right (2) edge, from single byte to whole token, with the rank of each."""
         chain = []
-        while token in made:
-            chain.append((made[token][0], token))
-            token = made[token][side]
+        while token in self.made:
+            chain.append((self.made[token][0], token))
+            token = self.made[token][side]
         chain.append((-1, token))
         return chain[::-1]
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether the encoding of ``a``'s bytes followed by ``b``'s is just ``a``, ``b``."""
-        left, right, rank = self.right_edge[a], self.left_edge[b], self.rank
+        left, right, rank = self._edge(a, 2), self._edge(b, 1), self.rank
         i = j = 0
         while True:
             next_left = left[i + 1][0] if i + 1 < len(left) else _NEVER
             next_right = right[j + 1][0] if j + 1 < len(right) else _NEVER
-            across = rank.get((left[i][1], right[j][1]), _NEVER)
+            across = rank.get(left[i][1] << 20 | right[j][1], _NEVER)
             # of equal ranks the leftmost pair merges first
             if across < next_left and across <= next_right and across != _NEVER:
                 return False
@@ -135,12 +132,12 @@ class TrieEncoder:
                 for at, token in reversed(found):
                     if at == 0:
                         break
-                    pair = (last[at], token)
+                    pair = last[at] << 20 | token
                     ok = fit.get(pair)
                     if ok is None:
-                        if len(fit) >= 1_000_000:
+                        if len(fit) >= 300_000:
                             fit.clear()
-                        ok = fit[pair] = self._fits(*pair)
+                        ok = fit[pair] = self._fits(last[at], token)
                     if ok:
                         break
                 last.append(token)
@@ -191,10 +188,11 @@ def encoder(path: str) -> TrieEncoder:
     return TrieEncoder(path)
 
 
-def _blocks(texts: list[str], chars: int = 6_000_000) -> Iterator[list[str]]:
-    """Consecutive texts, about ``chars`` characters at a time."""
+def _blocks(column: pa.Array, chars: int = 3_000_000) -> Iterator[list[str]]:
+    """Consecutive texts of a column, about ``chars`` characters at a time."""
     block, size = [], 0
-    for t in texts:
+    for value in column:
+        t = value.as_py() or ""
         block.append(t)
         size += len(t)
         if size >= chars:
@@ -214,7 +212,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         tool = encoder(vocabulary)
         for b in batches:
             counts, ids_sha, text_sha, all_ids, decoded = [], [], [], [], []
-            for block in _blocks([x or "" for x in b.column(1).to_pylist()]):
+            for block in _blocks(b.column(1)):
                 for ids in tool.encode_texts(block):
                     text = tool.decode(ids)
                     counts.append(len(ids) // 4)

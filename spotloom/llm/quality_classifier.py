@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,14 +51,14 @@ class Settings:
 
 
 class _Hashed(dict):
-    """Word to bucket, remembered for up to 300,000 words at a time."""
+    """Word to bucket, remembered for up to 100,000 words at a time."""
 
     def __init__(self, buckets: int):
         super().__init__()
         self.buckets = buckets
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = zlib.crc32(word.encode()) % self.buckets
         return value
@@ -84,7 +84,7 @@ def index_vectors(s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, s.dims, (s.buckets, s.index_ones)), rng.choice(np.array([-1, 1]), (s.buckets, s.index_ones))
 
 
-def _bucket_runs(texts: list[str], known: _Hashed, limit: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _bucket_runs(texts: Iterable[str], known: _Hashed, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Token buckets of consecutive texts with each token's text number, about ``limit`` tokens at a time."""
     ids, sizes, total = [], [], 0
     for t in texts:
@@ -138,7 +138,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text", s: Settings | None = N
         at, sign = index_vectors(s)
         known, total, seen = _Hashed(s.buckets), np.zeros(s.buckets * s.dims), False
         for b in batches:
-            for ids, sizes in _bucket_runs([x or "" for x in b.column(0).to_pylist()], known):
+            for ids, sizes in _bucket_runs((x.as_py() or "" for x in b.column(0)), known):
                 total += _contexts(ids, sizes, at, sign, s)
                 seen = True
         if seen:
@@ -168,7 +168,7 @@ def pool(texts: list[str], words: np.ndarray, known: _Hashed, s: Settings) -> np
     both = np.hstack([words, plain])
     out = np.zeros((len(texts), 2 * s.dims + 1), np.float32)
     done = 0
-    for ids, sizes in _bucket_runs(texts, known, 200_000):
+    for ids, sizes in _bucket_runs(texts, known, 40_000):
         full = np.flatnonzero(sizes)
         if full.size:
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))[full]
@@ -283,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashed(s.buckets)
         for b in batches:
-            rows = pool([x or "" for x in b.column(1).to_pylist()], shared.value, known, s)
+            rows = pool([x.as_py() or "" for x in b.column(1)], shared.value, known, s)
             yield pa.RecordBatch.from_pydict({"y": b.column(0), "row": pa.array([r.tobytes() for r in rows], pa.binary())})
 
     # the sample is bounded by sample_rows, so it may be broadcast: texts then stay where they are read
