@@ -214,7 +214,9 @@ def document_pairs(links: DataFrame, least: int = 1) -> DataFrame:
     return pairs.where(F.size("seeds") >= least) if least > 1 else pairs
 
 
-def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def packed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, packed): compressed texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=3)
         for b in batches:
@@ -228,7 +230,7 @@ def with_texts(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_c
     """Pairs with both compressed texts (``unpack`` opens them); only texts of linked documents move twice."""
     pairs = materialize(pairs, "doc-pairs")
     ids = pairs.select(F.col("lo").alias("doc_id")).union(pairs.select(F.col("hi").alias("doc_id"))).distinct()
-    texts = materialize(_packed(docs, id_col, text_col).join(ids, "doc_id", "left_semi"), "linked-texts")
+    texts = materialize(packed_texts(docs, id_col, text_col).join(ids, "doc_id", "left_semi"), "linked-texts")
     a = texts.select(F.col("doc_id").alias("lo"), F.col("packed").alias("text_lo"))
     b = texts.select(F.col("doc_id").alias("hi"), F.col("packed").alias("text_hi"))
     return pairs.join(a, "lo").join(b, "hi").select("lo", "hi", "seeds", "text_lo", "text_hi")

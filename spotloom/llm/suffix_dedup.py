@@ -1,11 +1,11 @@
 """Repeated passages from sparse suffix arrays.
 
 Only suffixes at content-selected positions are kept (minimisers of ``k``-word windows over ``span`` windows), so the array
-holds about ``2 / (span + 1)`` of all suffixes, and any ``k + span - 1`` words that two documents share hold one of
-them.  Suffixes are ordered by their first k words and then by the longer contexts that they share with others, by hashes rather
-than letters: the order of unequal prefixes is free, only neighbourhood matters.  Each suffix is compared with the
-nearest one before it of another document; the match is then extended word by word to the left and right on the texts
-themselves, which also verifies it.
+holds about ``2 / (span + 1)`` of all suffixes, and every window of ``least`` words has one of them, picked by its words
+alone.  Windows whose anchor occurs elsewhere are then keyed by all their words, sorted, and each is linked to the nearest
+equal one before it of another document: equal windows are interchangeable, so every window that some other document
+holds is linked to a holder, whatever other documents share on either side.  Links are extended word by word to
+the left and right on the texts themselves, which also verifies them.
 
 Result: maximal matches of ``least`` words or more, with the word positions on both sides, between class representatives
 (per pair of documents as many as cover all words that its matches cover on either side); a member of a class of equal texts gets one row for its whole text against its representative.
@@ -55,13 +55,75 @@ def extended(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least:
     return sorted(kept)
 
 
+def anchors(docs: DataFrame, least: int, k: int, span: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(seed, doc_id, first, last): the minimiser of every ``least``-word window, with the windows (by start) that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = passages.WordHashes()
+        for b in batches:
+            cols: list[list[np.ndarray]] = [[], [], [], []]
+            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = known.of(raw)
+                n = len(words) - least + 1
+                if n <= 0:
+                    continue
+                hashes = passages.window_hashes(words, k)
+                picks = np.lib.stride_tricks.sliding_window_view(hashes, span)[:n].argmin(axis=1) + np.arange(n)
+                # a run of equal windows counts as its first
+                runs = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+                at, first = np.unique(runs[np.searchsorted(runs, picks, side="right") - 1], return_index=True)
+                for col, x in zip(cols, (hashes[at].view(np.int64), np.full(len(at), doc, np.int64), first.astype(np.int32), (np.append(first[1:], n) - 1).astype(np.int32)), strict=True):
+                    col.append(x)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["seed", "doc_id", "first", "last"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw")).dropna()
+    return rows.mapInArrow(run, "seed long, doc_id long, first int, last int")
+
+
+def shared_windows(docs: DataFrame, rows: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(seed, doc_id, pos, c0, c1) of the ``least``-word windows whose anchor occurs elsewhere; the seed is the whole window's hash."""
+    order = ["seed", "doc_id", "first"]
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = b.column(0).to_numpy()
+            # seeds at the ends of a batch may go on in the next one; a row too many is harmless
+            keep = (s == s[:1]) | (s == s[-1:])
+            keep[1:] |= s[1:] == s[:-1]
+            keep[:-1] |= s[1:] == s[:-1]
+            yield b.filter(pa.array(keep)).select(["doc_id", "first", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = passages.WordHashes()
+        for b in batches:
+            for doc, packed, spans in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                hashes = passages.window_hashes(known.of(passages.unpack(packed)), least)
+                wanted = np.zeros(len(hashes), bool)
+                for s in spans:
+                    wanted[s["first"] : s["last"] + 1] = True
+                pos = np.flatnonzero(wanted)
+                zero = np.zeros(len(pos), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes[pos].view(np.int64), np.full(len(pos), doc, np.int64), pos.astype(np.int32), zero, zero)], ["seed", "doc_id", "pos", "c0", "c1"])
+
+    dealt = passages.materialize(rows, "anchors").repartitionByRange(*order).sortWithinPartitions(*order)
+    found = dealt.mapInArrow(repeated, "doc_id long, first int, last int").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    found = passages.materialize(found, "anchored-docs")
+    texts = passages.packed_texts(docs, id_col, text_col)
+    return texts.join(found, "doc_id").select("doc_id", "packed", "spans").mapInArrow(run, "seed long, doc_id long, pos int, c0 int, c1 int")
+
+
 def repeated_passages(docs: DataFrame, least: int = 50, k: int = 20, span: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, n_words, other_id, other_start): words that a document shares with one of smaller id."""
     if k + span - 1 > least:
         raise ValueError("k + span - 1 must not exceed the least length, or matches would be missed")
     members = passages.text_classes(docs, id_col, text_col)
-    rows = passages.seeds(docs, k, span, id_col, text_col, more=(2 * k, 4 * k)).join(members.select("doc_id"), "doc_id", "left_anti")
-    pairs = passages.document_pairs(passages.neighbour_links(rows.select("seed", "doc_id", "pos", "c0", "c1")))
+    rows = anchors(docs, least, k, span, id_col, text_col).join(members.select("doc_id"), "doc_id", "left_anti")
+    links = passages.neighbour_links(shared_windows(docs, rows.select("seed", "doc_id", "first", "last"), least, id_col, text_col))
+    # windows of one diagonal less than their length apart lie in one stretch
+    shift, block = (F.col("pos_b") - F.col("pos_a")).alias("shift"), F.floor(F.col("pos_a") / least).alias("block")
+    links = links.groupBy("doc_a", "doc_b", shift, block).agg(F.min("pos_a").alias("pos_a")).withColumn("pos_b", F.col("pos_a") + F.col("shift"))
+    pairs = passages.document_pairs(links)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = passages.WordHashes()

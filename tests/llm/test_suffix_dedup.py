@@ -61,5 +61,20 @@ def test_covers_what_brute_force_covers(spark, docs_of, seed):
     assert covered_by_result(got) == covered_by_brute_force(rows, 50)
 
 
+def test_repeat_that_holds_a_more_common_passage(spark, docs_of):
+    """Two documents share some words before (or after) a passage that many documents between them hold."""
+    rng = random.Random(5)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    some = lambda n: [word() for _ in range(n)]
+    rows = []
+    for case in range(12):
+        common, own = some(40), some(12)
+        pair = [*own, *common] if case % 2 else [*common, *own]
+        rows += [(case * 20 + i, " ".join([*some(30), *(pair if i in (0, 12) else common), *some(30)])) for i in range(13)]
+    got = repeated_passages(docs_of(rows)).collect()
+    assert {(r.other_id, r.doc_id, r.n_words) for r in got} == {(case * 20, case * 20 + 12, 52) for case in range(12)}
+    assert covered_by_result(got) == covered_by_brute_force(rows, 50)
+
+
 def test_empty_table(spark, docs_of):
     assert repeated_passages(docs_of([])).count() == 0
