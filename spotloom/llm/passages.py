@@ -1,10 +1,11 @@
-"""What the passage operators share: text classes, sampled k-word seeds, sorted neighbours, and texts of linked rows.
+"""What the passage operators share: text classes, sampled k-word seeds, links inside seed groups, and texts of linked rows.
 
 Equal texts form a class whose smallest id stands for it; the others are members and take no part in the search.
-Positions are sampled by content: a k-word window is kept if its hash is the smallest of some ``span`` consecutive
-windows, so two texts that share ``k + span - 1`` words in a row keep a common window there.  Seeds are sorted by hash over
-range partitions (a hot hash may cover many of them), and each is linked to the nearest seed before it of another document
-(those of a group's first document to the next): one link per seed, whatever the size of its group.
+Seeds are sampled by content: a k-word window is kept if its hash is a multiple of ``rate``, so a window that two texts share
+is kept in both or in neither, however short the unedited stretch around it.  Seeds are sorted over range partitions (a hot
+seed may cover many of them), those of equal hash by the words around them, and each is linked to the ``reach`` nearest
+occurrences before it in other documents.  Groups of up to ``reach + 1`` documents are thus linked in all pairs, larger
+ones in time and space linear in their size, to the documents that share the longest context.
 
 Rows with null ids or null texts, and texts without words, take part in nothing and give no rows.
 """
@@ -18,14 +19,13 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotloom.functions.scratch import materialize
+from spotloom.functions.scratch import discard, materialize
 from spotloom.functions.text import words_of
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_FAR = np.uint64((1 << 64) - 1)
 
 
 class WordHashes(dict):
@@ -42,159 +42,191 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, at least ``n`` of each."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, _INVERSE)):
+            _powers[i] = np.cumprod(np.concatenate(([np.uint64(1)], np.full(2 * n, base))), dtype=np.uint64)
+    return _powers
+
+
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of every k consecutive words."""
+    """A 64-bit hash of every k consecutive words: differences of one running sum, whatever k."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for j in range(k):
-        total = total * _BASE + words[j : j + n]
+    up, down = _powers_to(len(words) + 1)
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)))
+    total = (upto[k:] - upto[:-k]) * down[:n]
     total ^= total >> np.uint64(29)
-    return total * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def sampled(hashes: np.ndarray, span: int) -> np.ndarray:
-    """Positions of the minimisers over ``span`` consecutive windows; a run of equal windows counts as its first."""
-    n = len(hashes)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    if n <= span:
-        picks = np.array([int(hashes.argmin())])
-    else:
-        windows = np.lib.stride_tricks.sliding_window_view(hashes, span)
-        picks = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    first = picks[(picks == 0) | (hashes[picks] != hashes[picks - 1])]
-    # a run's first window stands for picks inside the run
-    inside = picks[(picks > 0) & (hashes[picks] == hashes[picks - 1])]
-    if inside.size:
-        starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-        first = np.unique(np.concatenate((first, starts[np.searchsorted(starts, inside, side="right") - 1])))
-    return first
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ (total >> np.uint64(32))
 
 
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Members of text classes other than the smallest id: (doc_id, rep, n_words)."""
+    """Members of text classes other than the smallest id: (doc_id, rep, n_words, alone), ``alone`` if the id has no other text."""
+    text = F.col("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna()
-    rows = materialize(rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.size(words_of(F.col("text"))).cast("long").alias("n_words")), "text-digests")
+    rows = materialize(rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.size(words_of(text)).cast("long").alias("n_words")), "text-digests")
     groups = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return materialize(rows.join(groups, "digest").where("doc_id <> rep").select("doc_id", "rep", "n_words").distinct(), "text-members")
+    members = rows.join(groups, "digest").where("doc_id <> rep").select("doc_id", "rep", "n_words").distinct()
+    several = rows.groupBy("doc_id").agg((F.min("digest") == F.max("digest")).alias("alone"))
+    return materialize(members.join(several, "doc_id").select("doc_id", "rep", "n_words", "alone"), "text-members")
+
+
+def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, raw): ids and UTF-8 texts without nulls."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw")).dropna()
+
 
+def without_members(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` (doc_id and more) of documents whose only text is not a copy of another document's."""
+    return rows.join(members.where("alone").select("doc_id"), "doc_id", "left_anti")
 
-def seeds(docs: DataFrame, k: int, span: int, id_col: str = "doc_id", text_col: str = "text", more: tuple[int, ...] = ()) -> DataFrame:
-    """(seed, doc_id, pos, c0, c1): hash and word position of sampled windows, with hashes of longer contexts."""
+
+_NEAR, _WIDE = 12, 24
+
+
+def seed_rows(words: np.ndarray, k: int, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and positions of a text's sampled windows; of equal ones the first and the last.
+
+    The upper 48 bits of a key are the window's hash, the lower ones hashes of the 12 and 24 words that begin with it
+    (even hashes) or end with it (odd ones), so that rows of a seed sort by context on either side.
+    """
+    h = window_hashes(words, k)
+    at = np.flatnonzero(h % np.uint64(rate) == 0)
+    if not at.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    _, first = np.unique(h[at], return_index=True)
+    _, last = np.unique(h[at][::-1], return_index=True)
+    at = at[np.unique(np.concatenate((first, len(at) - 1 - last)))]
+    key, side = h[at], (h[at] >> np.uint64(16)) & np.uint64(1) == 1
+    mark = np.zeros(len(at), np.uint64)
+    for n, low in ((_NEAR, np.uint64(8)), (_WIDE, np.uint64(0))):
+        longer = window_hashes(words, n)
+        begin = np.where(side, at + k - n, at)
+        ok = (begin >= 0) & (begin < len(longer))
+        mark[ok] |= (longer[begin[ok]] >> np.uint64(56)) << low
+    return ((key >> np.uint64(16) << np.uint64(16)) | mark).view(np.int64), at.astype(np.int32)
+
+
+def seeds(texts: DataFrame, k: int, rate: int) -> DataFrame:
+    """(seed, doc_id, pos) of the sampled windows of ``texts`` (doc_id, raw)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
-            ids, poss, vals, ctx = [], [], [], [[], []]
+            ids, poss, vals = [], [], []
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = known.of(raw)
-                hashes = window_hashes(words, k)
-                at = sampled(hashes, span)
+                key, at = seed_rows(known.of(raw), k, rate)
                 ids.append(np.full(len(at), doc, np.int64))
-                poss.append(at.astype(np.int32))
-                vals.append(hashes[at].view(np.int64))
-                for c in range(2):
-                    if c < len(more):
-                        longer = window_hashes(words, more[c])
-                        got = np.zeros(len(at), np.int32)
-                        ok = at < len(longer)
-                        got[ok] = (longer[at[ok]] >> np.uint64(33)).astype(np.int32)
-                    else:
-                        got = np.zeros(len(at), np.int32)
-                    ctx[c].append(got)
+                poss.append(at)
+                vals.append(key)
             if ids:
-                cat = np.concatenate
-                yield pa.RecordBatch.from_pydict({"seed": cat(vals), "doc_id": cat(ids), "pos": cat(poss), "c0": cat(ctx[0]), "c1": cat(ctx[1])})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw")).dropna()
-    return rows.mapInArrow(run, "seed long, doc_id long, pos int, c0 int, c1 int")
+                yield pa.RecordBatch.from_pydict({"seed": np.concatenate(vals), "doc_id": np.concatenate(ids), "pos": np.concatenate(poss)})
 
+    return texts.mapInArrow(run, "seed long, doc_id long, pos int")
 
-def _alone_to_zero(keys: list[np.ndarray], value: np.ndarray) -> np.ndarray:
-    """``value`` where the sorted keys with it occur twice or more, else 0."""
-    same = np.ones(max(len(value) - 1, 0), bool)
-    for a in [*keys, value]:
-        same &= a[1:] == a[:-1]
-    shared = np.zeros(len(value), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    return np.where(shared, value, 0)
 
+def linked(seed: np.ndarray, doc: np.ndarray, pos: np.ndarray, reach: int, context_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, earlier row) numbers of the links inside sorted rows.
 
-def neighbour_links(rows: DataFrame) -> DataFrame:
-    """(doc_a, pos_a, doc_b, pos_b): every seed linked to the nearest one before it of another document.
-
-    Order: seed, then longer contexts that others share, then document and position.
+    Rows of one seed and document form a run.  A row is linked to the last row of each of the ``reach`` runs before its
+    own that belong to the same group (seed without context) and another document; rows of a group's first run to
+    the first row of the next.
     """
-    order = ["seed", "c0", "c1", "doc_id", "pos"]
-    dealt = materialize(rows, "seeds").repartitionByRange(*order).sortWithinPartitions(*order)
+    n = len(seed)
+    index, group = np.arange(n), seed >> np.int64(context_bits)
+    starts = np.flatnonzero(np.concatenate(([True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]))))
+    ends = np.append(starts[1:], n) - 1
+    run = np.repeat(np.arange(len(starts)), ends - starts + 1)
+    rows, others = [], []
+    for s in range(1, reach + 1):
+        there = run >= s
+        i, o = index[there], ends[run[there] - s]
+        ok = (group[i] == group[o]) & (doc[i] != doc[o])
+        rows.append(i[ok])
+        others.append(o[ok])
+    of_run = group[starts]
+    again = of_run[1:] == of_run[:-1]
+    lead = np.concatenate(([True], ~again)) & np.append(again, False)
+    own = lead[run] & (index != ends[run])
+    i, o = index[own], starts[run[own] + 1]
+    ok = doc[i] != doc[o]
+    rows.append(o[ok])
+    others.append(i[ok])
+    return np.concatenate(rows), np.concatenate(others)
+
+
+def neighbour_links(rows: DataFrame, reach: int = 1, context_bits: int = 0) -> DataFrame:
+    """(doc_a, pos_a, doc_b, pos_b): links of ``linked`` between all ``rows`` (seed, doc_id, pos), wherever partitions end."""
+    order = ["seed", "doc_id", "pos"]
+    table = materialize(rows.select(*order), "seeds")
+    dealt = table.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         held: pa.Table | None = None
 
-        def blocks():
-            """Batches cut where the seed changes, so that a group is whole unless it spans partitions."""
+        def blocks() -> Iterator[tuple[pa.Table, bool]]:
+            """Batches cut where the group changes, so that a group is whole unless it is hot."""
             nonlocal held
             for b in batches:
                 t = pa.Table.from_batches([b])
                 held = t if held is None else pa.concat_tables([held, t])
-                s = held.column("seed").to_numpy()
-                hot = s[0] == s[-1]
-                # a hot seed is passed on in large blocks, each linked to the last row of the one before
-                cut = int(np.flatnonzero(s != s[-1])[-1]) + 1 if not hot else len(s) - 1 if len(s) > 500_000 else 0
+                g = held.column("seed").to_numpy() >> np.int64(context_bits)
+                hot = g[0] == g[-1]
+                cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if not hot else len(g) if len(g) > 500_000 else 0
                 if cut:
-                    whole, held = held.slice(0, cut), held.slice(cut)
+                    whole, held = held.slice(0, cut), held.slice(cut) if cut < len(g) else None
                     yield whole, hot
             if held is not None and held.num_rows:
-                yield held, False
+                yield held, True
 
-        first, carry, tail = True, None, None
+        carry, first = None, True
         for block, hot in blocks():
-            seed, c0, c1, doc, pos = (block.column(c).to_numpy() for c in order)
-            c1 = _alone_to_zero([seed, c0], c1)
-            c0 = _alone_to_zero([seed], c0)
-            by = np.lexsort((pos, doc, c1, c0, seed))
-            seed, doc, pos = seed[by], doc[by], pos[by]
-            if carry is not None and carry[0] == seed[0]:
-                seed, doc, pos = (np.concatenate(([x], a)) for x, a in zip(carry, (seed, doc, pos), strict=True))
-            index = np.arange(len(seed))
-            starts = np.concatenate(([True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])))
-            run_start = np.maximum.accumulate(np.where(starts, index, 0))
-            other = run_start - 1
-            ok = (other >= 0) & (seed[np.maximum(other, 0)] == seed)
-            o, i = other[ok], index[ok]
-            yield _link_batch(0, part, seed[i], doc[o], pos[o], doc[i], pos[i])
-            # rows of a group's first document, which have none before them, are linked to the next document
-            run_end = np.minimum.accumulate(np.where(np.append(starts[1:], True), index, len(seed))[::-1])[::-1] + 1
-            after = np.minimum(run_end, len(seed) - 1)
-            lead = ~ok & (run_end < len(seed)) & (seed[after] == seed)
-            o, i = after[lead], index[lead]
+            new = [block.column(c).to_numpy() for c in order]
+            kept = 0 if carry is None else len(carry[0])
+            seed, doc, pos = new if carry is None else [np.concatenate(x) for x in zip(carry, new, strict=True)]
+            i, o = linked(seed, doc, pos, reach, context_bits)
+            fresh = np.maximum(i, o) >= kept
+            i, o = i[fresh], o[fresh]
             yield _link_batch(0, part, seed[i], doc[o], pos[o], doc[i], pos[i])
-            if first:  # rows of the first run may continue the partition before
-                n = int(np.argmax(np.append(starts[1:], True))) + 1
-                zero = np.zeros(n, np.int64)
-                yield _link_batch(1, part, seed[:n], zero, zero, doc[:n], pos[:n])
+            starts = np.flatnonzero(np.concatenate(([True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]))))
+            if first:  # the group may go on from the partition before
+                end = starts[reach] if len(starts) > reach else len(seed)
+                yield _edge_batch(part, seed[:end], doc[:end], pos[:end])
                 first = False
-            carry = (seed[-1], doc[-1], pos[-1]) if hot else None
-            far = other[-1] if ok[-1] else len(seed) - 1
-            tail = [(seed[-1], doc[-1], pos[-1]), (seed[far], doc[far], pos[far])]
-        if tail is not None:
-            s, d, p = (np.array(x) for x in zip(*tail, strict=True))
-            yield _link_batch(2, part, s, d, p, np.zeros(2, np.int64), np.zeros(2, np.int64))
+            # last rows of the runs that later rows may be linked to, and the last run whole
+            last = np.append(starts[1:], len(seed)) - 1
+            keep = np.unique(np.concatenate((last[-reach - 1 :], np.arange(starts[-1], len(seed)))))
+            carry = [x[keep] for x in (seed, doc, pos)] if hot else None
+        if carry is not None:
+            yield _edge_batch(part, *carry)
 
     found = materialize(dealt.mapInArrow(run, "kind int, part int, seed long, doc_a long, pos_a int, doc_b long, pos_b int"), "links")
+    discard(table)
+
+    def across(t: pa.Table) -> pa.Table:
+        """Links between the edges of partitions that one group covers: a few rows a partition."""
+        seed, doc, pos, part = (t.column(c).to_numpy() for c in ("seed", "doc_b", "pos_b", "part"))
+        by = np.lexsort((part, pos, doc, seed))
+        by = by[np.concatenate(([True], np.any([x[by][1:] != x[by][:-1] for x in (seed, doc, pos, part)], axis=0)))]
+        seed, doc, pos, part = seed[by], doc[by], pos[by], part[by]
+        i, o = linked(seed, doc, pos, reach, context_bits)
+        other = part[i] != part[o]
+        i, o = i[other], o[other]
+        return pa.table({"doc_a": doc[o], "pos_a": pos[o], "doc_b": doc[i], "pos_b": pos[i]})
+
     links = ["doc_a", "pos_a", "doc_b", "pos_b"]
-    # at most two tail rows a partition; the newest partition before each that has rows
-    tails = found.where("kind = 2").groupBy("part").agg(F.collect_set(F.struct("seed", "doc_a", "pos_a")).alias("tail"))
-    by_part = Window.partitionBy(F.lit(0)).orderBy("part")
-    tails = tails.select("part", F.lag("tail").over(by_part).alias("tail")).where("tail IS NOT NULL")
-    tails = tails.select("part", F.explode("tail").alias("t")).select("part", F.col("t.seed").alias("seed"), F.col("t.doc_a").alias("doc_a"), F.col("t.pos_a").alias("pos_a"))
-    heads = found.where("kind = 1").select("part", "seed", "doc_b", "pos_b")
-    across = heads.join(tails, ["part", "seed"]).where("doc_a <> doc_b")
-    return found.where("kind = 0").select(*links).union(across.select(*links))
+    edges = found.where("kind = 1").withColumn("group", F.shiftright("seed", context_bits))
+    spread = edges.groupBy("group").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("group")
+    joined = edges.join(spread, "group").groupBy("group").applyInArrow(across, "doc_a long, pos_a int, doc_b long, pos_b int")
+    return found.where("kind = 0").select(*links).union(joined.select(*links))
 
 
 def _link_batch(kind: int, part: int, seed, doc_a, pos_a, doc_b, pos_b) -> pa.RecordBatch:
@@ -205,35 +237,58 @@ def _link_batch(kind: int, part: int, seed, doc_a, pos_a, doc_b, pos_b) -> pa.Re
     })
 
 
-def document_pairs(links: DataFrame, least: int = 1) -> DataFrame:
-    """(lo, hi, seeds): pairs of documents with their linked positions, if there are ``least`` of them."""
+def _edge_batch(part: int, seed, doc, pos) -> pa.RecordBatch:
+    zero = np.zeros(len(seed), np.int64)
+    return _link_batch(1, part, seed, zero, zero, doc, pos)
+
+
+def ordered(links: DataFrame) -> DataFrame:
+    """(lo, hi, x, y): links with the smaller id first."""
     swap = F.col("doc_a") > F.col("doc_b")
     pick = lambda yes, no: F.when(swap, F.col(yes)).otherwise(F.col(no))
-    both = links.select(pick("doc_b", "doc_a").alias("lo"), pick("doc_a", "doc_b").alias("hi"), F.struct(pick("pos_b", "pos_a").alias("x"), pick("pos_a", "pos_b").alias("y")).alias("at"))
-    pairs = both.groupBy("lo", "hi").agg(F.collect_list("at").alias("seeds"))
-    return pairs.where(F.size("seeds") >= least) if least > 1 else pairs
+    return links.select(pick("doc_b", "doc_a").alias("lo"), pick("doc_a", "doc_b").alias("hi"), pick("pos_b", "pos_a").alias("x"), pick("pos_a", "pos_b").alias("y"))
+
+
+def collinear_pairs(links: DataFrame, spread: int, drift: int) -> DataFrame:
+    """(lo, hi) of documents with two links ``spread`` words or more apart whose diagonals differ by less than ``drift`` or so.
+
+    Links are reduced to the first and last position of each band of ``drift`` diagonals; neighbouring bands are seen
+    together.
+    """
+    band = F.floor((F.col("y") - F.col("x")) / drift).alias("band")
+    bands = ordered(links).repartition("lo", "hi").groupBy("lo", "hi", band).agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    pairs = bands.groupBy("lo", "hi").agg(F.collect_list(F.struct("band", "first", "last")).alias("bands"))
+    pairs = pairs.select("lo", "hi", F.array_sort("bands").alias("bands"))
+    after = lambda b, i: F.get("bands", i + 1)
+    both = lambda b, n: (n["band"] == b["band"] + 1) & (F.greatest(n["last"], b["last"]) - F.least(n["first"], b["first"]) >= spread)
+    wide = F.exists(F.transform("bands", lambda b, i: (b["last"] - b["first"] >= spread) | F.coalesce(both(b, after(b, i)), F.lit(False))), lambda x: x)
+    return pairs.where(wide).select("lo", "hi")
+
+
+def document_pairs(links: DataFrame) -> DataFrame:
+    """(lo, hi, seeds): pairs of documents with their linked positions."""
+    return ordered(links).groupBy("lo", "hi").agg(F.collect_list(F.struct("x", "y")).alias("seeds"))
 
 
-def packed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, packed): compressed texts."""
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """(doc_id, packed): compressed texts of (doc_id, raw)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=3)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tool.compress(x) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "packed"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw")).dropna()
-    return rows.mapInArrow(run, "doc_id long, packed binary")
+    return texts.mapInArrow(run, "doc_id long, packed binary")
 
 
-def with_texts(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs with both compressed texts (``unpack`` opens them); only texts of linked documents move twice."""
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs with both compressed texts, text_lo and text_hi (``unpack`` opens them); only texts of linked documents move twice."""
     pairs = materialize(pairs, "doc-pairs")
     ids = pairs.select(F.col("lo").alias("doc_id")).union(pairs.select(F.col("hi").alias("doc_id"))).distinct()
-    texts = materialize(packed_texts(docs, id_col, text_col).join(ids, "doc_id", "left_semi"), "linked-texts")
-    a = texts.select(F.col("doc_id").alias("lo"), F.col("packed").alias("text_lo"))
-    b = texts.select(F.col("doc_id").alias("hi"), F.col("packed").alias("text_hi"))
-    return pairs.join(a, "lo").join(b, "hi").select("lo", "hi", "seeds", "text_lo", "text_hi")
+    packed = materialize(packed_texts(texts).join(ids, "doc_id", "left_semi"), "linked-texts")
+    a = packed.select(F.col("doc_id").alias("lo"), F.col("packed").alias("text_lo"))
+    b = packed.select(F.col("doc_id").alias("hi"), F.col("packed").alias("text_hi"))
+    return pairs.join(a, "lo").join(b, "hi").select(*pairs.columns, "text_lo", "text_hi")
 
 
 def unpack(packed: bytes) -> bytes:

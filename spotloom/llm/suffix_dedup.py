@@ -55,7 +55,7 @@ def extended(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least:
     return sorted(kept)
 
 
-def anchors(docs: DataFrame, least: int, k: int, span: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def anchors(texts: DataFrame, least: int, k: int, span: int) -> DataFrame:
     """(seed, doc_id, first, last): the minimiser of every ``least``-word window, with the windows (by start) that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,12 +77,11 @@ def anchors(docs: DataFrame, least: int, k: int, span: int, id_col: str = "doc_i
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["seed", "doc_id", "first", "last"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw")).dropna()
-    return rows.mapInArrow(run, "seed long, doc_id long, first int, last int")
+    return texts.mapInArrow(run, "seed long, doc_id long, first int, last int")
 
 
-def shared_windows(docs: DataFrame, rows: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(seed, doc_id, pos, c0, c1) of the ``least``-word windows whose anchor occurs elsewhere; the seed is the whole window's hash."""
+def shared_windows(texts: DataFrame, rows: DataFrame, least: int) -> DataFrame:
+    """(seed, doc_id, pos) of the ``least``-word windows whose anchor occurs elsewhere; the seed is the whole window's hash."""
     order = ["seed", "doc_id", "first"]
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,14 +102,13 @@ def shared_windows(docs: DataFrame, rows: DataFrame, least: int, id_col: str = "
                 for s in spans:
                     wanted[s["first"] : s["last"] + 1] = True
                 pos = np.flatnonzero(wanted)
-                zero = np.zeros(len(pos), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes[pos].view(np.int64), np.full(len(pos), doc, np.int64), pos.astype(np.int32), zero, zero)], ["seed", "doc_id", "pos", "c0", "c1"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes[pos].view(np.int64), np.full(len(pos), doc, np.int64), pos.astype(np.int32))], ["seed", "doc_id", "pos"])
 
     dealt = passages.materialize(rows, "anchors").repartitionByRange(*order).sortWithinPartitions(*order)
     found = dealt.mapInArrow(repeated, "doc_id long, first int, last int").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     found = passages.materialize(found, "anchored-docs")
-    texts = passages.packed_texts(docs, id_col, text_col)
-    return texts.join(found, "doc_id").select("doc_id", "packed", "spans").mapInArrow(run, "seed long, doc_id long, pos int, c0 int, c1 int")
+    packed = passages.packed_texts(texts).join(found, "doc_id")
+    return packed.select("doc_id", "packed", "spans").mapInArrow(run, "seed long, doc_id long, pos int")
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, k: int = 20, span: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,8 +116,9 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 20, span: int =
     if k + span - 1 > least:
         raise ValueError("k + span - 1 must not exceed the least length, or matches would be missed")
     members = passages.text_classes(docs, id_col, text_col)
-    rows = anchors(docs, least, k, span, id_col, text_col).join(members.select("doc_id"), "doc_id", "left_anti")
-    links = passages.neighbour_links(shared_windows(docs, rows.select("seed", "doc_id", "first", "last"), least, id_col, text_col))
+    texts = passages.texts_of(docs, id_col, text_col)
+    rows = passages.without_members(anchors(texts, least, k, span), members)
+    links = passages.neighbour_links(shared_windows(texts, rows.select("seed", "doc_id", "first", "last"), least))
     # windows of one diagonal less than their length apart lie in one stretch
     shift, block = (F.col("pos_b") - F.col("pos_a")).alias("shift"), F.floor(F.col("pos_a") / least).alias("block")
     links = links.groupBy("doc_a", "doc_b", shift, block).agg(F.min("pos_a").alias("pos_a")).withColumn("pos_b", F.col("pos_a") + F.col("shift"))
@@ -135,7 +134,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 20, span: int =
             names = ["doc_id", "start", "n_words", "other_id", "other_start"]
             yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out], pa.int64()) for i, c in enumerate(names)})
 
-    found = passages.with_texts(pairs, docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    found = passages.with_texts(pairs, texts).mapInArrow(run, SCHEMA)
     zero = F.lit(0).cast("long")
     copies = members.where(F.col("n_words") >= least).select("doc_id", zero.alias("start"), "n_words", F.col("rep").alias("other_id"), zero.alias("other_start"))
-    return found.union(copies)
+    return found.union(copies).distinct()

@@ -76,5 +76,32 @@ def test_repeat_that_holds_a_more_common_passage(spark, docs_of):
     assert covered_by_result(got) == covered_by_brute_force(rows, 50)
 
 
+@pytest.mark.parametrize("decoys", [1, 9])
+def test_documents_that_quote_the_passage_do_not_hide_it(spark, docs_of, decoys):
+    """By id, documents that each quote 20 words of a repeated passage lie between its two holders."""
+    rng = random.Random(decoys)
+    some = lambda n: ["w%d" % rng.randrange(10**6) for _ in range(n)]
+    rows = []
+    for case in range(20):
+        p, base = some(55), case * 20
+        rows.append((base, " ".join(some(30) + p + some(30))))
+        for d in range(decoys):
+            at = rng.randrange(35)
+            rows.append((base + 1 + d, " ".join(some(40) + p[at : at + 20] + some(40))))
+        rows.append((base + 19, " ".join(some(25) + p + some(35))))
+    got = repeated_passages(docs_of(rows)).collect()
+    assert {(r.other_id, r.doc_id, r.n_words) for r in got} == {(case * 20, case * 20 + 19, 55) for case in range(20)}
+
+
+def test_several_texts_of_one_id_and_clashing_columns(spark, docs_of):
+    """One text of an id is a copy; the passage in its other text is still found.  Repeated rows count once."""
+    rng = random.Random(3)
+    some = lambda n: ["w%d" % rng.randrange(10**6) for _ in range(n)]
+    p, copy = some(120), " ".join(some(80))
+    rows = [(1, copy), (2, " ".join(p + some(20))), (5, copy), (5, " ".join(some(20) + p)), (5, " ".join(some(20)))]
+    docs = docs_of(rows + rows[1:4]).withColumnRenamed("lang", "seed").withColumnRenamed("source", "rep").withColumnRenamed("n_chars", "packed")
+    assert sorted((r.other_id, r.doc_id, r.n_words) for r in repeated_passages(docs).collect()) == [(1, 5, 80), (2, 5, 120)]
+
+
 def test_empty_table(spark, docs_of):
     assert repeated_passages(docs_of([])).count() == 0
