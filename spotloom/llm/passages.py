@@ -54,14 +54,18 @@ def _powers_to(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of every k consecutive words: differences of one running sum, whatever k."""
+def running_hash(words: np.ndarray) -> np.ndarray:
+    """Sums of the words times powers of the base, from the first word on."""
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * _powers_to(len(words) + 1)[0][: len(words)], dtype=np.uint64)))
+
+
+def window_hashes(words: np.ndarray, k: int, upto: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of every k consecutive words: differences of one running sum (``upto``), whatever k."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers_to(len(words) + 1)
-    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)))
-    total = (upto[k:] - upto[:-k]) * down[:n]
+    upto = running_hash(words) if upto is None else upto
+    total = (upto[k:] - upto[:-k]) * _powers_to(len(words) + 1)[1][:n]
     total ^= total >> np.uint64(29)
     total *= np.uint64(0xBF58476D1CE4E5B9)
     return total ^ (total >> np.uint64(32))
@@ -97,17 +101,18 @@ def seed_rows(words: np.ndarray, k: int, rate: int) -> tuple[np.ndarray, np.ndar
     The upper 48 bits of a key are the window's hash, the lower ones hashes of the 12 and 24 words that begin with it
     (even hashes) or end with it (odd ones), so that rows of a seed sort by context on either side.
     """
-    h = window_hashes(words, k)
+    upto = running_hash(words)
+    h = window_hashes(words, k, upto)
     at = np.flatnonzero(h % np.uint64(rate) == 0)
     if not at.size:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    _, first = np.unique(h[at], return_index=True)
-    _, last = np.unique(h[at][::-1], return_index=True)
-    at = at[np.unique(np.concatenate((first, len(at) - 1 - last)))]
+    by = np.argsort(h[at], kind="stable")
+    change = h[at[by[1:]]] != h[at[by[:-1]]]
+    at = at[by[np.concatenate(([True], change)) | np.append(change, True)]]
     key, side = h[at], (h[at] >> np.uint64(16)) & np.uint64(1) == 1
     mark = np.zeros(len(at), np.uint64)
     for n, low in ((_NEAR, np.uint64(8)), (_WIDE, np.uint64(0))):
-        longer = window_hashes(words, n)
+        longer = window_hashes(words, n, upto)
         begin = np.where(side, at + k - n, at)
         ok = (begin >= 0) & (begin < len(longer))
         mark[ok] |= (longer[begin[ok]] >> np.uint64(56)) << low
