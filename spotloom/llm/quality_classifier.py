@@ -29,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,10 +144,10 @@ def word_vectors(docs: DataFrame, text_col: str = "text", s: Settings | None = N
                 seen = True
         if seen:
             blocks = total.astype("<i8").reshape(-1, _BLOCK * s.dims)
-            slot = np.random.default_rng().integers(0, 16)
+            slot = TaskContext.get().partitionId() % 16  # the same for every attempt of a task
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array(range(len(blocks)), pa.int32()),
-                "slot": pa.array([int(slot)] * len(blocks), pa.int32()),
+                "slot": pa.array([slot] * len(blocks), pa.int32()),
                 "payload": pa.array([x.tobytes() for x in blocks], pa.binary()),
             })
 

@@ -2,9 +2,11 @@
 
 Five transformed statistics describe a document (logs of length, word length, and rates of symbols, repeated lines and
 repeated words).  For every language and source, and as wider nets for every language and for all rows, a centre and a
-covariance are estimated from the ``share`` of rows that lie closest together: starting from medians and median
-deviations, each concentration step measures all rows by Mahalanobis distance and re-estimates from the closest ones.
-A row is judged by its narrowest group of ``min_rows`` or more rows, and rejected beyond a chi-square quantile.
+covariance are estimated from the ``share`` of rows whose covariance has the least determinant: from three fixed starts
+(median deviations; plain covariance; covariance of the directions from the median), each concentration step
+measures all rows by Mahalanobis distance and re-estimates from the closest ones, which never raises the determinant, and of
+the starts the one that ends with the least is kept.  A row is judged by its narrowest group of ``min_rows`` or more rows, since
+fewer do not determine a covariance, and rejected beyond a chi-square quantile.
 
 A concentration step is one pass over the small statistics table: rows are counted and summed by group and distance
 bucket, and the buckets up to the ``share`` give the new estimate.  Statistics are whole thousandths, so all sums are
@@ -118,7 +120,9 @@ def chi2_quantile(p: float, k: int) -> float:
 
 
 _X = list(STATISTICS)
-_GROUP = ["level", "g_lang", "g_source"]
+_OWN = ["level", "g_lang", "g_source"]
+_GROUP = [*_OWN, "start"]
+_STARTS = 3
 
 
 def _levels(rows: DataFrame) -> DataFrame:
@@ -148,33 +152,65 @@ def _distance(estimate: DataFrame) -> tuple[DataFrame, Column]:
     return out.select(*keep), steps
 
 
-def _measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+def _measured(rows: DataFrame, estimate: DataFrame, on: list[str] = _GROUP) -> DataFrame:
     """Rows (with group columns) and their squared distance ``d2`` from the group's estimate."""
     table, steps = _distance(estimate)
-    out = rows.join(table, _GROUP)
+    out = rows.join(table, on)
     for name, value in steps:
         out = out.withColumn(name, value)
     d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(len(_X))), F.lit(0.0))
     return out.withColumn("d2", d2).select(*rows.columns, "d2")
 
 
+def _pairs() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(_X)) for j in range(i + 1)]
+
+
 def _first_estimate(rows: DataFrame) -> DataFrame:
-    """Medians and median absolute deviations; values are thousandths in a narrow range, so their counts stay small."""
-    mids = rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), *[F.median(x).alias(f"c_{x}") for x in _X])
-    off = rows.join(mids, _GROUP).groupBy(*_GROUP).agg(F.first("n").alias("n"), *[F.first(f"c_{x}").alias(f"c_{x}") for x in _X], *[F.median(F.abs(F.col(x) - F.col(f"c_{x}"))).alias(f"s_{x}") for x in _X])
-    cols = [(F.col(f"c_{x}") / _SCALE).alias(f"m{i}") for i, x in enumerate(_X)]
-    for i, x in enumerate(_X):
-        for j in range(i + 1):
-            spread = F.greatest(1.4826 * F.col(f"s_{x}") / _SCALE, F.lit(STATISTICS[x]))
-            cols.append((spread * spread if i == j else F.lit(0.0)).alias(f"v{i}{j}"))
-    return off.select(*_GROUP, "n", *cols)
+    """The starts of every group of ``rows`` (with _OWN): centres and covariances, one row per group and start.
+
+    Values are thousandths in a narrow range, so the counts that medians keep stay small.
+    """
+    mids = rows.groupBy(*_OWN).agg(F.count(F.lit(1)).alias("n"), *[F.median(x).alias(f"c_{x}") for x in _X])
+    near = rows.join(mids, _OWN)
+    off = {x: (F.col(x) - F.col(f"c_{x}")) / _SCALE / STATISTICS[x] for x in _X}
+    length = F.sqrt(sum((v * v for v in off.values()), F.lit(1e-9)))
+    plain = [F.sum(F.col(x)).alias(f"s_{x}") for x in _X] + [F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"q{i}{j}") for i, j in _pairs()]
+    # whole millionths, so that sums do not depend on their order
+    signs = [F.sum(F.round(off[_X[i]] * off[_X[j]] / (length * length) * 1e6).cast("long")).alias(f"d{i}{j}") for i, j in _pairs()]
+    kept = [F.first(f"c_{x}").alias(f"c_{x}") for x in _X] + [F.median(F.abs(F.col(x) - F.col(f"c_{x}"))).alias(f"a_{x}") for x in _X]
+    every = near.groupBy(*_OWN).agg(F.first("n").alias("n"), *kept, *plain, *signs)
+    n = F.col("n").cast("double")
+    starts = []
+    for k in range(_STARTS):
+        cols = [((F.col(f"s_{x}") / n if k == 1 else F.col(f"c_{x}")) / _SCALE).alias(f"m{i}") for i, x in enumerate(_X)]
+        for i, j in _pairs():
+            least = STATISTICS[_X[i]] ** 2
+            if k == 0:
+                spread = F.greatest(1.4826 * F.col(f"a_{_X[i]}") / _SCALE, F.lit(STATISTICS[_X[i]]))
+                v = spread * spread if i == j else F.lit(0.0)
+            elif k == 1:
+                v = (F.col(f"q{i}{j}") / n - F.col(f"s_{_X[i]}") / n * (F.col(f"s_{_X[j]}") / n)) / (_SCALE * _SCALE) + (least if i == j else 0.0)
+            else:
+                v = F.col(f"d{i}{j}") / n / 1e6 * (STATISTICS[_X[i]] * STATISTICS[_X[j]]) + (0.05 * least if i == j else 0.0)
+            cols.append(v.alias(f"v{i}{j}"))
+        starts.append(every.select(*_OWN, F.lit(k).alias("start"), "n", *cols))
+    return starts[0].union(starts[1]).union(starts[2])
+
+
+def _least_determinant(estimate: DataFrame) -> DataFrame:
+    """The start of every group whose covariance has the least determinant (to nine digits; ties: the first)."""
+    table, _ = _distance(estimate)
+    log_det = F.round(sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(len(_X))), F.lit(0.0)), 9)
+    best = table.groupBy(*_OWN).agg(F.min(F.struct(log_det.alias("log_det"), F.col("start"))).alias("b")).select(*_OWN, F.col("b.start").alias("start"))
+    return estimate.join(best, _GROUP)
 
 
 def _concentrate(rows: DataFrame, estimate: DataFrame, share: float, factor: float) -> DataFrame:
     """One concentration step: the next estimate from the ``share`` of rows closest to this one."""
     near = _measured(rows, estimate)
     bucket = F.floor(F.log(F.col("d2") + 1e-3) * _BUCKETS_PER_E)
-    pairs = [(i, j) for i in range(len(_X)) for j in range(i + 1)]
+    pairs = _pairs()
     sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)] + [F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"q{i}{j}") for i, j in pairs]
     by_bucket = near.groupBy(*_GROUP, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("k"), *sums)
     whole = Window.partitionBy(*_GROUP)
@@ -198,8 +234,10 @@ def outliers(docs: DataFrame, share: float = 0.75, steps: int = 5, min_rows: int
     inner = chi2_quantile(share, p)
     factor = share / _chi2_below(inner, p + 2)
     estimate = materialize(_first_estimate(fit), "rule-start")
+    every = fit.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(_STARTS)])))
     for _ in range(steps):
-        estimate = materialize(_concentrate(fit, estimate, share, factor), "rule-step")
+        estimate = materialize(_concentrate(every, estimate, share, factor), "rule-step")
+    estimate = materialize(_least_determinant(estimate), "rule-estimate")
     # the narrowest group that is large enough judges a row
     sizes = estimate.select("level", "g_lang", "g_source", (F.col("n") >= min_rows).alias("enough"))
     two = sizes.where("level = 2 AND enough").select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), F.lit(True).alias("has2"))
@@ -207,7 +245,7 @@ def outliers(docs: DataFrame, share: float = 0.75, steps: int = 5, min_rows: int
     judged = stats.join(two, ["lang", "source"], "left").join(one, ["lang"], "left")
     level = F.when(F.col("has2"), 2).when(F.col("has1"), 1).otherwise(0)
     judged = judged.withColumn("level", level).withColumn("g_lang", F.when(F.col("level") >= 1, F.col("lang")).otherwise("")).withColumn("g_source", F.when(F.col("level") == 2, F.col("source")).otherwise("")).drop("has1", "has2")
-    good = _measured(judged.where(~F.col("base_failed")), estimate).withColumn("kept", F.col("d2") <= chi2_quantile(quantile, p))
+    good = _measured(judged.where(~F.col("base_failed")), estimate, _OWN).withColumn("kept", F.col("d2") <= chi2_quantile(quantile, p))
     bad = judged.where("base_failed").withColumn("d2", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.sqrt("d2").alias("distance"), "level"]
     return good.select(*cols).union(bad.select(*cols))

@@ -1,8 +1,11 @@
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spotloom.llm import quality_rules as qr
 
@@ -58,3 +61,51 @@ def test_chi_square_quantiles():
         import math
 
         assert qr.chi2_quantile(p, 2) == pytest.approx(-2 * math.log(1 - p))  # two degrees: an exponential
+
+
+def concentrated(x, mean, cov, share, steps, factor):
+    """Concentration steps on all rows at once, by sorting distances."""
+    least = np.array(list(qr.STATISTICS.values())) ** 2
+    for _ in range(steps):
+        d = ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(axis=1)
+        near = x[np.argsort(d, kind="stable")[: math.ceil(share * len(x))]]
+        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * factor + np.diag(least)
+    return mean, cov
+
+
+def test_verdicts_against_brute_force(spark):
+    """The least determinant of the starts, and the verdicts, of steps that sort all rows of a group."""
+    rng = np.random.default_rng(4)
+    good = rng.multivariate_normal([5, 1.6, 0.4, 0.2, 0.3], np.diag([0.5, 0.04, 0.2, 0.1, 0.1]) + 0.02, 700)
+    bad = rng.multivariate_normal([2.5, 2.6, 3.5, 3.0, 3.0], np.eye(5) * 0.05, 200)
+    x = np.round(np.concatenate((good, bad)) * 1000) / 1000
+    rows = spark.createDataFrame([(0, "", "", *(int(round(v * 1000)) for v in r)) for r in x], "level int, g_lang string, g_source string, " + ", ".join(f"{c} long" for c in qr.STATISTICS))
+    share, p = 0.75, 5
+    factor = share / qr._chi2_below(qr.chi2_quantile(share, p), p + 2)
+    first = qr._first_estimate(rows)
+    every = rows.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    estimate = first
+    for _ in range(5):
+        estimate = qr.materialize(qr._concentrate(every, estimate, share, factor), "t")
+    best = qr._least_determinant(estimate).first()
+
+    def matrix(r):
+        cov = np.zeros((5, 5))
+        for i, j in qr._pairs():
+            cov[i, j] = cov[j, i] = r[f"v{i}{j}"]
+        return np.array([r[f"m{i}"] for i in range(5)]), cov
+
+    found = [matrix(r) for r in first.orderBy("start").collect()]
+    middle = np.median(x, axis=0)
+    assert np.allclose(found[0][0], middle) and np.allclose(found[1][0], x.mean(axis=0))
+    ends = [concentrated(x, m, c, share, 5, factor) for m, c in found]
+    dets = [np.linalg.slogdet(c)[1] for _, c in ends]
+    assert np.linalg.slogdet(matrix(best)[1])[1] == pytest.approx(min(dets), abs=0.1)
+    limit = qr.chi2_quantile(0.9999, p)
+    mean, cov = ends[int(np.argmin(dets))]
+    want = ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(axis=1) <= limit
+    mean, cov = matrix(best)
+    got = ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(axis=1) <= limit
+    assert (got == want).mean() > 0.995 and not got[700:].any() and got[:700].mean() > 0.98
+    log_dets = [np.linalg.slogdet(matrix(r)[1])[1] for r in estimate.collect()]
+    assert np.linalg.slogdet(matrix(best)[1])[1] == pytest.approx(min(log_dets))
