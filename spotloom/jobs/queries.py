@@ -7,13 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotloom.functions.scratch import materialize
-from spotloom.operators import affinity, cluster, enrich, evaluate, expression, factors, graph, loadings, trends
-from spotloom.operators import simulate as simulation
+from spotloom.operators import affinity, cluster, compare, enrich, evaluate, expression, factors, graph, loadings, train, trends
 from spotloom.operators import spatial_fit as spatial
 from spotloom.sources import views
 from spotloom.sources.tables import table
@@ -42,7 +40,13 @@ def _r(expr: str) -> str:
 
 
 def _edges(spark, d):
-    return graph.symmetric_edges(graph.knn_graph(views.spots(spark, d)))
+    """The neighbour graph, written once per query: every later use is a scan."""
+    return materialize(graph.symmetric_edges(graph.knn_graph(views.spots(spark, d))), "edges")
+
+
+def _expr(spark, d):
+    """The expression view, written once where a query reads it more than once."""
+    return materialize(views.expression(spark, d), "expression")
 
 
 # --- graphs ---------------------------------------------------------------------------------------------------------
@@ -145,14 +149,13 @@ OBJECTS = [(-0.1, -0.1, 0.05), (0.1, 0.1, 0.1), (0.0, 0.2, 0.02)]
 r AS (SELECT *, (x - lx) * (x - lx) + (y - ly) * (y - ly) AS d2, row_number() OVER (PARTITION BY spot_id ORDER BY (x - lx) * (x - lx) + (y - ly) * (y - ly), landmark) AS r FROM spots, l)
 SELECT replicate, spot_id, landmark, {_r('sqrt(d2)')} AS distance FROM r WHERE r = 1""")
 def nearest_landmark(spark, d):
-    marks = spark.createDataFrame(LANDMARKS, "landmark string, lx double, ly double")
-    return _rounded(graph.nearest_landmark(views.spots(spark, d), marks), "distance")
+    return _rounded(graph.nearest_landmark(views.spots(spark, d), LANDMARKS), "distance")
 
 
 @_query("spots", f"""o AS (SELECT * FROM (VALUES {', '.join(f"({x}::DOUBLE, {y}::DOUBLE, {r}::DOUBLE)" for x, y, r in OBJECTS)}) t(ox, oy, radius))
 SELECT replicate, spot_id, {_r('min(abs(sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy)) - radius))')} AS distance FROM spots, o GROUP BY ALL""")
 def min_object_distance(spark, d):
-    return _rounded(graph.object_distance(views.spots(spark, d), spark.createDataFrame(OBJECTS, "ox double, oy double, radius double")), "distance")
+    return _rounded(graph.object_distance(views.spots(spark, d), OBJECTS), "distance")
 
 
 _BINS = """box AS (SELECT replicate, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM spots GROUP BY 1),
@@ -182,7 +185,7 @@ SELECT b.replicate, spot_id, m.label FROM bins b JOIN m ON m.r = 1 AND b.replica
 def propagate_labels(spark, d):
     s = views.spots(spark, d)
     bins = graph.grid_bins(s)
-    coarse = graph.majority(bins.join(s.select("spot_id", "label"), "spot_id"), ["replicate", "bin_id"], "label", "label")
+    coarse = graph.majority(bins.join(s.select("replicate", "spot_id", "label"), ["replicate", "spot_id"]), ["replicate", "bin_id"], "label", "label")
     return graph.propagate_labels(bins, coarse)
 
 
@@ -224,19 +227,48 @@ def confusion_matrix(spark, d):
 
 
 @_query("knn", """c AS (SELECT src, label, count(*) AS n FROM knn JOIN spots s ON s.spot_id = dst WHERE dst % 4 = 0 GROUP BY ALL),
-v AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, label) AS r FROM c) SELECT src, label AS guess FROM v WHERE r = 1""")
+v AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, label) AS r FROM c) SELECT (SELECT any_value(replicate) FROM spots WHERE spot_id = src) AS replicate, src, label AS guess FROM v WHERE r = 1""")
 def knn_vote(spark, d):
     """A quarter of the spots is the training split that votes."""
     s = views.spots(spark, d)
-    return evaluate.neighbour_vote(graph.knn_graph(s), s.where("spot_id % 4 = 0").select("spot_id", "label"))
+    return evaluate.neighbour_vote(graph.knn_graph(s), s.where("spot_id % 4 = 0").select("replicate", "spot_id", "label"))
 
 
-@_query("spots", f"""p AS (SELECT a.replicate, a.spot_id, a.label AS own, b.label AS other, sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d, count(*) AS n
-FROM spots a JOIN spots b ON a.replicate = b.replicate GROUP BY ALL),
+@_query("pts", f"""p AS (SELECT a.replicate, a.spot_id, a.label AS own, b.label AS other, sum(list_distance(a.z, b.z)) AS d, count(*) AS n
+FROM pts a JOIN pts b ON a.replicate = b.replicate GROUP BY ALL),
 e AS (SELECT replicate, spot_id, max(n) FILTER (own = other) AS n, max(d / (n - 1)) FILTER (own = other AND n > 1) AS a, min(d / n) FILTER (own <> other) AS b FROM p GROUP BY ALL)
 SELECT replicate, {_r('avg(CASE WHEN n > 1 AND b IS NOT NULL THEN (b - a) / greatest(a, b) ELSE 0 END)')} AS silhouette FROM e GROUP BY 1""")
 def silhouette(spark, d):
-    return _rounded(evaluate.silhouette(views.spots(spark, d).withColumn("label", F.col("label").cast("long"))), "silhouette")
+    return _rounded(evaluate.silhouette(views.points(spark, d)), "silhouette")
+
+
+@_query("pts", f"""f AS (SELECT replicate, label, i, avg(z[i]) AS v FROM pts, range(1, 65) t(i) GROUP BY ALL), c AS (SELECT replicate, label, list(v ORDER BY i) AS c FROM f GROUP BY ALL),
+e AS (SELECT p.replicate, p.spot_id, min(list_distance(z, c)) FILTER (p.label = c.label) AS a, min(list_distance(z, c)) FILTER (p.label <> c.label) AS b FROM pts p JOIN c ON c.replicate = p.replicate GROUP BY ALL)
+SELECT replicate, {_r('avg(CASE WHEN b IS NOT NULL AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END)')} AS silhouette FROM e GROUP BY 1""")
+def centroid_silhouette(spark, d):
+    return _rounded(evaluate.centroid_silhouette(views.points(spark, d)), "silhouette")
+
+
+_NEAR10 = """s AS (SELECT *, md5('42:' || spot_id) AS h FROM pts), sp AS (SELECT *, row_number() OVER (PARTITION BY replicate, label ORDER BY h, spot_id) <= round(count(*) OVER (PARTITION BY replicate, label) * 0.25) AS train FROM s),
+n AS (SELECT a.replicate, a.spot_id AS src, a.label AS truth, a.train, b.label AS near,
+  row_number() OVER (PARTITION BY a.spot_id ORDER BY CASE WHEN a.spot_id = b.spot_id THEN 0 ELSE 1 END, round(list_distance(a.z, b.z), 12), b.spot_id) AS r FROM sp a JOIN sp b ON a.replicate = b.replicate AND b.train),
+g AS (SELECT replicate, src, truth, train, near, count(*) AS c FROM n WHERE r <= 10 GROUP BY ALL),
+v AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY c DESC, near) AS o FROM g), w AS (SELECT replicate, CASE WHEN train THEN 'train' ELSE 'validation' END AS split, truth, near AS guess FROM v WHERE o = 1),
+l AS (SELECT DISTINCT replicate, split, truth AS label FROM w UNION SELECT DISTINCT replicate, split, guess FROM w),
+e AS (SELECT l.replicate, l.split, l.label, count(*) FILTER (w.guess = l.label) AS said, count(*) FILTER (w.guess = l.label AND w.truth = l.label) AS hit, count(*) FILTER (w.truth = l.label) AS there
+  FROM l JOIN w ON w.replicate = l.replicate AND w.split = l.split GROUP BY ALL)"""
+
+
+@_query("pts", _NEAR10 + f" SELECT replicate, split, sum(there)::BIGINT AS n, {_r('sum(hit) / sum(there)')} AS micro, {_r('avg(CASE WHEN said > 0 THEN hit / said ELSE 0 END)')} AS macro FROM e GROUP BY ALL")
+def classification_task(spark, d):
+    return _rounded(evaluate.classification_task(views.points(spark, d)), "micro", "macro")
+
+
+@_query("pts", f"""n AS (SELECT a.replicate, a.spot_id AS src, b.spot_id AS dst, list_distance(a.z, b.z) AS distance, row_number() OVER (PARTITION BY a.spot_id ORDER BY round(list_distance(a.z, b.z), 12), b.spot_id) AS rank
+FROM pts a JOIN pts b ON a.replicate = b.replicate AND a.spot_id <> b.spot_id) SELECT replicate, src, dst, {_r('distance')} AS distance, rank::INT AS rank FROM n WHERE rank <= 20""")
+def knn_in_loadings(spark, d):
+    p = views.points(spark, d).select("replicate", "spot_id", "z")
+    return _rounded(evaluate.nearest_in_space(p, p, 20), "distance")
 
 
 # --- loadings -------------------------------------------------------------------------------------------------------
@@ -272,7 +304,7 @@ def gram_xtx(spark, d):
 
 @_query("emb", f"SELECT a.k AS i, b.k AS j, {_r('corr(a.v, b.v)')} AS value FROM emb a JOIN emb b USING (spot_id) GROUP BY ALL")
 def column_correlation(spark, d):
-    return _rounded(loadings.column_correlation(views.embedding_long(spark, d), "spot_id"), "value")
+    return _rounded(loadings.column_correlation(views.embedding_long(spark, d), ["replicate", "spot_id"]), "value")
 
 
 @_query("emb", f"c AS (SELECT replicate, k, quantile_cont(v, 0.99) AS threshold FROM emb GROUP BY ALL) SELECT replicate, k, {_r('threshold')} AS threshold, count(*) FILTER (v > threshold) AS n_above FROM emb JOIN c USING (replicate, k) GROUP BY replicate, k, threshold")
@@ -297,13 +329,136 @@ def mean_profile_difference(spark, d):
     return _rounded(loadings.mean_profile_difference(views.embedding_long(spark, d), views.spots(spark, d), "r0", "r1"), "difference")
 
 
-@_query("emb", f"""c AS (SELECT replicate, k, avg(v) AS c FROM emb GROUP BY ALL), o AS (SELECT e.replicate, k, spot_id, abs(v - c) AS difference FROM emb e JOIN c USING (replicate, k)),
-r AS (SELECT *, row_number() OVER (PARTITION BY replicate, k ORDER BY difference DESC, spot_id) AS rank FROM o) SELECT replicate, k, spot_id, {_r('difference')} AS difference, rank::INT AS rank FROM r WHERE rank <= 5""")
+_REGION_W = "gw AS (SELECT region AS \"group\", gene, k, round(sum(value * v), 6) AS w FROM exs JOIN emb USING (replicate, spot_id) GROUP BY ALL)"
+
+
+def _region_weights(spark, d):
+    """(group, gene, k, w): cross products of expression and loadings per region, which stand for each region's weights."""
+    rows = factors.cross(views.spot_expression(spark, d), views.embedding_long(spark, d), ["region"])
+    return rows.select(F.col("region").alias("group"), "gene", "k", F.round("value", 6).alias("w"))
+
+
+@_query("exs emb", f"""{_REGION_W}, c AS (SELECT gene, k, avg(w) AS c FROM gw GROUP BY ALL), o AS (SELECT "group", gw.gene, gw.k, abs(w - c) AS difference FROM gw JOIN c USING (gene, k)),
+r AS (SELECT *, row_number() OVER (PARTITION BY "group", k ORDER BY round(difference, 9) DESC, gene) AS rank FROM o) SELECT "group", k, gene, {_r('difference')} AS difference, rank::INT AS rank FROM r WHERE rank <= 5""")
 def differential_genes(spark, d):
-    """Rows that differ most from the replicate's mean loading, five per factor (a top-k report)."""
-    z = views.embedding_long(spark, d)
-    centre = z.join(z.groupBy("replicate", "k").agg(F.avg("v").alias("c")), ["replicate", "k"]).select("spot_id", "k", F.col("c").alias("v"))
-    return _rounded(loadings.outlying_factors(z, centre, 5), "difference")
+    """Genes that differ most from the mean weight over regions, five per region and factor (a top-k report)."""
+    w = materialize(_region_weights(spark, d), "region-weights").withColumnRenamed("w", "v")
+    centre = w.groupBy("gene", "k").agg(F.avg("v").alias("v"))
+    return _rounded(loadings.outlying_rows(w, centre, 5, "gene", ["group"]), "difference")
+
+
+@_query("exs emb", f"""{_REGION_W}, t AS (SELECT "group", gene, sum(w) AS w FROM gw GROUP BY ALL) SELECT gene, {_r('CASE WHEN count(*) > 1 THEN corr("group"::DOUBLE, w) END')} AS r, count(*) AS n FROM t GROUP BY 1 HAVING count(*) > 2""")
+def gene_trajectories(spark, d):
+    """The region's number is the covariate; genes seen in three regions or more."""
+    w = _region_weights(spark, d)
+    when = spark.range(5).select(F.col("id").cast("int").alias("group"), F.col("id").cast("double").alias("t"))
+    return _rounded(compare.gene_trajectories(w, when).where("n > 2"), "r")
+
+
+@_query("exs emb", f"""{_REGION_W} SELECT "group", gene, k, {_r('w')} AS w FROM gw WHERE gene LIKE 'Brand#11:%'""")
+def gene_activations(spark, d):
+    genes = [r.gene for r in table(spark, d, "part").where("p_brand = 'Brand#11'").select(F.concat_ws(":", "p_brand", "p_type").alias("gene")).distinct().collect()]
+    return _rounded(compare.gene_activations(_region_weights(spark, d), genes), "w")
+
+
+_AFF = _PAIRS + ", aff AS (SELECT replicate, i, j, sum(a * b) AS value FROM p GROUP BY ALL)"
+
+
+@_query("edges emb", f"""{_AFF}, d AS (SELECT i, j, max(value) FILTER (replicate = 'r1') - max(value) FILTER (replicate = 'r0') AS difference, max(value) FILTER (replicate = 'r1') AS b FROM aff WHERE i <= j GROUP BY ALL)
+SELECT i, j, {_r('difference')} AS difference, {_r('sqrt(difference * difference + b * b)')} AS magnitude, row_number() OVER (ORDER BY round(abs(difference), 9) DESC, i, j)::INT AS rank FROM d""")
+def affinity_difference(spark, d):
+    a = graph.affinity_linear_term(_edges(spark, d), views.embedding_long(spark, d))
+    return _rounded(compare.affinity_difference(materialize(a, "affinity"), "r0", "r1"), "difference", "magnitude")
+
+
+@_query("edges emb", f"""{_AFF}, m AS (SELECT i, j, avg(value) AS bar FROM aff GROUP BY ALL), d AS (SELECT replicate, i, j, value - bar AS difference, value, sqrt((value - bar) * (value - bar) + value * value) AS magnitude FROM aff JOIN m USING (i, j) WHERE i >= j),
+r AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY round(magnitude, 9) DESC, i, j) AS rank FROM d) SELECT replicate, i, j, {_r('difference')} AS difference, {_r('value')} AS value, {_r('magnitude')} AS magnitude, rank::INT AS rank FROM r WHERE rank <= 5""")
+def affinity_deviation(spark, d):
+    a = graph.affinity_linear_term(_edges(spark, d), views.embedding_long(spark, d))
+    return _rounded(compare.affinity_deviation(materialize(a, "affinity")), "difference", "value", "magnitude")
+
+
+@_query("edges emb", f"""{_AFF}, w AS (SELECT *, max(abs(value)) OVER (PARTITION BY replicate) AS top, avg(value) OVER (PARTITION BY replicate) AS mean FROM aff)
+SELECT replicate, i, j, {_r('value')} AS value, {_r('greatest(-10, least(10, value))')} AS clamped, {_r('value * least(1, 10 / top)')} AS rescaled, {_r('value - mean')} AS centred FROM w""")
+def adjust_affinity(spark, d):
+    a = graph.affinity_linear_term(_edges(spark, d), views.embedding_long(spark, d))
+    return _rounded(affinity.adjust_affinity(a, 10.0), "value", "clamped", "rescaled", "centred")
+
+
+@_query("edges emb", f"""{_AFF} SELECT 'r' AS "group", i, j, {_r('avg(value)')} AS value FROM aff GROUP BY ALL""")
+def merged_affinity(spark, d):
+    """Mean affinity over the replicates whose names begin alike."""
+    a = materialize(graph.affinity_linear_term(_edges(spark, d), views.embedding_long(spark, d)), "affinity")
+    return _rounded(compare.group_average(a, compare.condition_groups(a, ["r"]), ["i", "j"], "value"), "value")
+
+
+@_query("spots emb", f"""f AS (SELECT replicate, spot_id, x AS value FROM spots) SELECT e.replicate, k, count(*) AS n, {_r('corr(value, v)')} AS r FROM emb e JOIN f USING (replicate, spot_id) GROUP BY ALL""")
+def feature_correlation(spark, d):
+    feature = views.spots(spark, d).select("replicate", "spot_id", F.col("x").alias("value"))
+    return _rounded(compare.feature_correlation(feature, views.embedding_long(spark, d)).drop("p"), "r")
+
+
+@_query("emb", f"""m AS (SELECT replicate, k, v, count(*) OVER (PARTITION BY k, v) AS tied, rank() OVER (PARTITION BY k ORDER BY v) + (count(*) OVER (PARTITION BY k, v) - 1) / 2 AS rank FROM emb),
+s AS (SELECT k, count(*) FILTER (replicate = 'r0') AS n1, count(*) FILTER (replicate <> 'r0') AS n2, sum(rank) FILTER (replicate = 'r0') AS r1, sum(tied * tied - 1) AS ties FROM m GROUP BY 1),
+u AS (SELECT k, n1, n2, r1 - n1 * (n1 + 1) / 2 AS u, sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS s FROM s)
+SELECT k, n1, n2, {_r('u')} AS u, {_r('greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / s * sign(u - n1 * n2 / 2)')} AS z FROM u""")
+def mann_whitney(spark, d):
+    return _rounded(compare.mann_whitney(views.embedding_long(spark, d), ["k"], "replicate", "v", "r0").drop("p"), "u", "z")
+
+
+@_query("spots", f"""e AS (SELECT label, replicate = 'r0' AS one, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(y, y) AS yy FROM spots GROUP BY ALL),
+b AS (SELECT a.label, a.n AS n1, c.n AS n2, a.mx - c.mx AS dx, a.my - c.my AS dy, (a.xx * a.n + c.xx * c.n) / (a.n + c.n - 2) AS xx, (a.xy * a.n + c.xy * c.n) / (a.n + c.n - 2) AS xy, (a.yy * a.n + c.yy * c.n) / (a.n + c.n - 2) AS yy
+  FROM e a JOIN e c ON a.label = c.label AND a.one AND NOT c.one WHERE a.n + c.n > 3),
+t AS (SELECT *, n1 * n2 / (n1 + n2) * (dx * dx * yy - 2 * dx * dy * xy + dy * dy * xx) / (xx * yy - xy * xy) AS t2 FROM b WHERE xx * yy - xy * xy > 0)
+SELECT label, n1, n2, {_r('t2')} AS t2, {_r('t2 * (n1 + n2 - 3) / (2 * (n1 + n2 - 2))')} AS f FROM t""")
+def hotelling(spark, d):
+    return _rounded(compare.hotelling(views.spots(spark, d), ["label"], "replicate", "x", "y", "r0").drop("p"), "t2", "f")
+
+
+@_query("edges emb", f"""{_AFF}, w AS (SELECT p.replicate, src, dst, sum(-a * b * value) AS w FROM p JOIN aff USING (replicate, i, j) GROUP BY ALL)
+SELECT w.replicate, src AS spot_id, {_r('sum(w) / count(*)')} AS score FROM w JOIN spots s ON s.spot_id = src AND s.label = 1 JOIN spots t ON t.spot_id = dst AND t.label = 2 GROUP BY ALL HAVING sum(w) <> 0""")
+def pair_score(spark, d):
+    e, z = _edges(spark, d), views.embedding_long(spark, d)
+    a = materialize(graph.affinity_linear_term(e, z), "affinity")
+    return _rounded(graph.pair_score(views.spots(spark, d), e, z, a, 1, 2), "score")
+
+
+@_query("edges emb", f"""c AS (SELECT replicate, quantile_cont(distance, 0.945) AS cut FROM edges GROUP BY 1), short AS (SELECT e.* FROM edges e JOIN c USING (replicate) WHERE distance < cut), {_PAIRS.replace('FROM edges', 'FROM short')}, aff AS (SELECT replicate, i, j, sum(a * b) AS value FROM p GROUP BY ALL),
+w AS (SELECT p.replicate, src, dst, sum(-a * b * value) AS w FROM p JOIN aff USING (replicate, i, j) GROUP BY ALL)
+SELECT w.replicate, s.label AS a, t.label AS b, {_r('sum(w) / (count(*) + 1e-6)')} AS value FROM w JOIN spots s ON s.spot_id = src JOIN spots t ON t.spot_id = dst GROUP BY ALL""")
+def cell_pair_interaction(spark, d):
+    """Interactions between labels over edges under the long ones."""
+    e, z = materialize(graph.prune_long_edges(_edges(spark, d)), "short-edges"), views.embedding_long(spark, d)
+    a = materialize(graph.affinity_linear_term(e, z), "affinity")
+    return _rounded(graph.category_interaction(views.spots(spark, d), e, z, a), "value")
+
+
+@_query("spots", f"SELECT a.replicate, a.spot_id AS src, b.spot_id AS dst, {_r('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))')} AS distance FROM spots a JOIN spots b ON a.replicate = b.replicate AND a.spot_id <> b.spot_id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.02")
+def radius_graph(spark, d):
+    return _rounded(graph.radius_graph(views.spots(spark, d), 0.02), "distance")
+
+
+@_query("spots emb", f"""o AS (SELECT * FROM (VALUES {', '.join(f"({x}::DOUBLE, {y}::DOUBLE, {r}::DOUBLE)" for x, y, r in OBJECTS)}) t(ox, oy, radius)),
+m AS (SELECT replicate, spot_id, min(abs(sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy)) - radius)) AS distance FROM spots, o GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY distance, spot_id) AS r FROM m) SELECT r.replicate, k, count(*) AS n, {_r('avg(v)')} AS mean, {_r('max(distance)')} AS distance FROM r JOIN emb USING (replicate, spot_id) WHERE r <= 20 GROUP BY ALL""")
+def profile_around(spark, d):
+    distances = graph.object_distance(views.spots(spark, d), OBJECTS)
+    return _rounded(graph.profile_around(distances, views.embedding_long(spark, d), 20), "mean", "distance")
+
+
+@_query("emb", f"""q AS (SELECT replicate, k, quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.95) AS b FROM emb GROUP BY ALL) SELECT e.replicate, spot_id, e.k, {_r('v')} AS v, v BETWEEN a AND b AS inside FROM emb e JOIN q USING (replicate, k)""")
+def percentile_clip_mask(spark, d):
+    return _rounded(graph.clip_mask(views.embedding_long(spark, d), ["replicate", "k"], "v", 0.05, 0.95), "v")
+
+
+@_query("", "SELECT doc_id, source, (dense_rank() OVER (ORDER BY source) - 1)::INT AS code FROM documents WHERE source IS NOT NULL UNION ALL SELECT doc_id, source, NULL FROM documents WHERE source IS NULL")
+def label_encode(spark, d):
+    return compare.encode_labels(table(spark, d, "documents").select("doc_id", "source"), "source")
+
+
+@_query("", "SELECT doc_id, coalesce((lang = 'de')::INT, 0) AS is_de, coalesce((lang = 'en')::INT, 0) AS is_en, coalesce((lang = 'es')::INT, 0) AS is_es, coalesce((lang = 'fr')::INT, 0) AS is_fr FROM documents")
+def label_one_hot(spark, d):
+    return compare.one_hot(table(spark, d, "documents").select("doc_id", "lang"), "lang").drop("lang")
 
 
 # --- expression -----------------------------------------------------------------------------------------------------
@@ -311,25 +466,28 @@ def differential_genes(spark, d):
 
 @_query("expr", f"t AS (SELECT replicate, sum(value) AS t, count(DISTINCT spot_id) AS n FROM expr GROUP BY 1) SELECT replicate, spot_id, gene, {_r('value * (8 / (t / n))')} AS value FROM expr JOIN t USING (replicate)")
 def expression_scaling(spark, d):
-    return _rounded(expression.scale_to_factors(views.expression(spark, d), 8), "value")
+    return _rounded(expression.scale_to_factors(_expr(spark, d), 8), "value")
 
 
 @_query("expr", f"""s AS (SELECT replicate, spot_id, sum(value) AS t FROM expr GROUP BY ALL), m AS (SELECT replicate, quantile_cont(t, 0.5) AS m FROM s GROUP BY 1)
 SELECT e.replicate, e.spot_id, gene, {_r('ln(1 + value * (m / t))')} AS value FROM expr e JOIN s USING (replicate, spot_id) JOIN m USING (replicate)""")
 def log_normalize(spark, d):
-    return _rounded(expression.log_normalize(views.expression(spark, d)), "value")
+    return _rounded(expression.log_normalize(_expr(spark, d)), "value")
 
 
 @_query("expr", f"""n AS (SELECT count(DISTINCT spot_id) AS n FROM expr), g AS (SELECT gene, sum(value) AS s, sum(value * value) AS q FROM expr GROUP BY 1),
-d AS (SELECT gene, ((q - s * s / n) / (n - 1)) / (s / n) AS dispersion FROM g, n), r AS (SELECT *, row_number() OVER (ORDER BY round(dispersion, 9) DESC, gene) AS rank FROM d)
-SELECT gene, {_r('dispersion')} AS dispersion, rank::INT AS rank FROM r WHERE rank <= 50""")
+d AS (SELECT gene, ln(greatest(((q - s * s / n) / (n - 1)) / (s / n), 1e-12)) AS dispersion, ln(1 + s / n) AS m FROM g, n WHERE s > 0),
+b AS (SELECT *, least(19, floor((m - (SELECT min(m) FROM d)) / (((SELECT max(m) FROM d) - (SELECT min(m) FROM d)) / 20)))::INT AS bin FROM d),
+z AS (SELECT *, CASE WHEN stddev_samp(dispersion) OVER w > 0 THEN (dispersion - avg(dispersion) OVER w) / stddev_samp(dispersion) OVER w ELSE 1 END AS normalized FROM b WINDOW w AS (PARTITION BY bin)),
+r AS (SELECT *, row_number() OVER (ORDER BY round(normalized, 9) DESC, gene) AS rank FROM z)
+SELECT gene, {_r('dispersion')} AS dispersion, {_r('normalized')} AS normalized, rank::INT AS rank FROM r WHERE rank <= 50""")
 def hvg_top_n(spark, d):
-    return _rounded(expression.variable_genes(views.expression(spark, d), 50), "dispersion")
+    return _rounded(expression.variable_genes(_expr(spark, d), 50), "dispersion", "normalized")
 
 
 @_query("expr", f"""g AS (SELECT count(DISTINCT gene) AS g FROM expr) SELECT replicate, {_r('1 - count(*) / (count(DISTINCT spot_id) * any_value(g))::DOUBLE')} AS sparsity FROM expr, g GROUP BY 1""")
 def sparsity(spark, d):
-    return _rounded(expression.sparsity(views.expression(spark, d)), "sparsity")
+    return _rounded(expression.sparsity(_expr(spark, d)), "sparsity")
 
 
 _MARKERS = ["Brand#11:ECONOMY", "Brand#12:STANDARD", "Brand#21:PROMO", "Brand#33:LARGE", "Brand#44:SMALL", "Brand#55:MEDIUM"]
@@ -340,7 +498,7 @@ m AS (SELECT replicate, gene, s / n AS m, sqrt(q / n - s / n * (s / n)) AS d FRO
 z AS (SELECT replicate, sum(-m / d) AS zero FROM m WHERE d > 0 GROUP BY 1), l AS (SELECT x.replicate, spot_id, sum(value / d) AS lift FROM x JOIN m USING (replicate, gene) WHERE d > 0 GROUP BY ALL)
 SELECT p.replicate, p.spot_id, {_r('zero + coalesce(lift, 0)')} AS score FROM (SELECT DISTINCT replicate, spot_id FROM expr) p JOIN z USING (replicate) LEFT JOIN l ON l.replicate = p.replicate AND l.spot_id = p.spot_id""")
 def marker_score(spark, d):
-    return _rounded(expression.marker_score(views.expression(spark, d), spark.createDataFrame([(g,) for g in _MARKERS], "gene string")), "score")
+    return _rounded(expression.marker_score(_expr(spark, d), spark.createDataFrame([(g,) for g in _MARKERS], "gene string")), "score")
 
 
 _GRID = """n AS (SELECT replicate, count(DISTINCT spot_id) AS n FROM expr GROUP BY 1), gs AS (SELECT DISTINCT gene FROM expr),
@@ -350,7 +508,7 @@ g AS (SELECT n.replicate, gs.gene, n.n, coalesce(s, 0) AS s, coalesce(q, 0) AS q
 @_query("expr", _GRID + f""", m AS (SELECT replicate, gene, s / n AS mean FROM g), z AS (SELECT *, CASE WHEN stddev_pop(mean) OVER w > 0 THEN (mean - avg(mean) OVER w) / stddev_pop(mean) OVER w ELSE 0 END AS z FROM m WINDOW w AS (PARTITION BY gene)),
 r AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY round(z, 9) DESC, gene) AS rank FROM z) SELECT replicate, gene, {_r('z')} AS z, rank::INT AS rank FROM r WHERE rank <= 10""")
 def region_markers(spark, d):
-    return _rounded(expression.region_markers(views.expression(spark, d), 10), "z")
+    return _rounded(expression.region_markers(_expr(spark, d), 10), "z")
 
 
 _WELCH = _GRID + """, r AS (SELECT *, sum(n) OVER w - n AS n2, sum(s) OVER w - s AS s2, sum(q) OVER w - q AS q2 FROM g WINDOW w AS (PARTITION BY gene)),
@@ -360,15 +518,72 @@ t AS (SELECT replicate, gene, (m1 - m2) / sqrt(a + b) AS t, (a + b) * (a + b) /
 
 @_query("expr", _WELCH + f" SELECT replicate, gene, {_r('t')} AS t, {_r('df')} AS df, {_r('log_fold')} AS log_fold FROM t")
 def de_welch_t(spark, d):
-    return _rounded(expression.welch_t(views.expression(spark, d)), "t", "df", "log_fold")
+    return _rounded(expression.welch_t(_expr(spark, d)), "t", "df", "log_fold")
+
 
+#: Two-sided p-value of Student's t by Simpson's rule on c cos(u)^(df - 1) from atan(|t| / sqrt(df)) to pi / 2.
+_P = _WELCH + """, a AS (SELECT *, atan(abs(t) / sqrt(df)) AS lo, (pi() / 2 - atan(abs(t) / sqrt(df))) / 400 AS h, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) AS c FROM t),
+pv AS (SELECT replicate, gene, any_value(t) AS t, any_value(log_fold) AS log_fold, least(1, 2 * any_value(c) * any_value(h) / 3 * sum(CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos(lo + i * h), 0), df - 1))) AS p
+  FROM a, range(0, 401) steps(i) GROUP BY replicate, gene),
+k AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY p) AS r, count(*) OVER (PARTITION BY replicate) AS n FROM pv),
+adj AS (SELECT replicate, gene, t, log_fold, p, least(1, min(p * n / r) OVER (PARTITION BY replicate ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS adjusted FROM k)"""
 
-@_query("expr", _WELCH + f""", p AS (SELECT replicate, gene, exp(-abs(round(t, 9))) AS p FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY p) AS r, count(*) OVER (PARTITION BY replicate) AS n FROM p)
-SELECT replicate, gene, {_r('p')} AS p, {_r('least(1, min(p * n / r) OVER (PARTITION BY replicate ORDER BY r DESC ROWS UNBOUNDED PRECEDING))')} AS adjusted FROM k""")
+
+@_query("expr", _P + " SELECT replicate, gene, round(p, 4) + 0.0 AS p, round(adjusted, 4) + 0.0 AS adjusted FROM adj")
 def benjamini_hochberg(spark, d):
-    """The step-up procedure on an exponential bound of the tests' p-values."""
-    rows = expression.welch_t(views.expression(spark, d)).select("replicate", "gene", F.exp(-F.abs(F.round("t", 9))).alias("p"))
-    return _rounded(expression.benjamini_hochberg(rows, "p", ["replicate"]), "p", "adjusted")
+    """Welch's t-tests of every region against the others: p-values and their step-up adjustment."""
+    tests = expression.welch_t(_expr(spark, d))
+    rows = tests.select("replicate", "gene", compare.student_p(F.col("t"), F.col("df")).alias("p"))
+    out = expression.benjamini_hochberg(rows, "p", ["replicate"])
+    return out.select("replicate", "gene", (F.round("p", 4) + F.lit(0.0)).alias("p"), (F.round("adjusted", 4) + F.lit(0.0)).alias("adjusted"))
+
+
+@_query("expr", _P + f""", top AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY round(t, 9) DESC, gene) AS rank FROM adj WHERE adjusted < 0.9 AND log_fold >= log2(1.2))
+SELECT replicate, gene, {_r('t')} AS t, {_r('log_fold')} AS log_fold, rank::INT AS rank FROM top WHERE rank <= 500""")
+def de_genes(spark, d):
+    """Genes with a fold change of 1.2 or more; the wide limit on the adjusted p-value suits tables without true differences."""
+    return _rounded(compare.de_genes(_expr(spark, d), 0.9, 1.2).drop("p", "adjusted"), "t", "log_fold")
+
+
+@_query("exs spots", f"""o AS (SELECT spot_id, label, replicate = 'r0' AS one FROM spots), z AS (SELECT label, count(*) FILTER (one) AS n1, count(*) FILTER (NOT one) AS n2 FROM o GROUP BY 1 HAVING count(*) FILTER (one) > 1 AND count(*) FILTER (NOT one) > 1),
+s AS (SELECT label, gene, coalesce(sum(value) FILTER (one), 0) AS s1, coalesce(sum(value * value) FILTER (one), 0) AS q1, coalesce(sum(value) FILTER (NOT one), 0) AS s2, coalesce(sum(value * value) FILTER (NOT one), 0) AS q2 FROM exs JOIN o USING (spot_id) GROUP BY ALL),
+v AS (SELECT label, gene, s1 / n1 AS m1, s2 / n2 AS m2, (q1 - s1 * s1 / n1) / (n1 - 1) / n1 AS a, (q2 - s2 * s2 / n2) / (n2 - 1) / n2 AS b, n1, n2 FROM s JOIN z USING (label))
+SELECT label, gene, {_r('(m1 - m2) / sqrt(a + b)')} AS t, {_r('(a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1))')} AS df, {_r('log2((m1 + 1e-9) / (m2 + 1e-9))')} AS log_fold FROM v WHERE a + b > 0""")
+def condition_de(spark, d):
+    """One replicate against the other inside every label."""
+    s = views.spots(spark, d).withColumn("condition", F.col("replicate"))
+    return _rounded(compare.condition_de(views.spot_expression(spark, d), s, ["label"], "condition", "r0", "r1").drop("p"), "t", "df", "log_fold")
+
+
+@_query("expr", f"""SELECT replicate, spot_id, {_r(f"coalesce(sum(value) FILTER (gene IN ({', '.join(f'{chr(39)}{g}{chr(39)}' for g in _MARKERS)})), 0) / {len(_MARKERS)}")} AS value FROM expr GROUP BY ALL""")
+def set_expression(spark, d):
+    return _rounded(compare.set_expression(views.expression(spark, d), _MARKERS), "value")
+
+
+_SIGN = f"""g AS (SELECT DISTINCT p_brand || ':' || p_type AS gene FROM part WHERE p_brand = 'Brand#11'), n AS (SELECT s.replicate, label, count(*) AS n FROM spots s JOIN (SELECT DISTINCT replicate, spot_id FROM exs) x ON x.replicate = s.replicate AND x.spot_id = s.spot_id GROUP BY ALL),
+m AS (SELECT n.replicate, n.label, gene, sum(value) / any_value(n) AS value FROM exs JOIN spots s USING (replicate, spot_id) JOIN n ON n.replicate = exs.replicate AND n.label = s.label WHERE gene IN (SELECT gene FROM g) GROUP BY ALL)"""
+
+
+def _brand(spark, d):
+    return table(spark, d, "part").where("p_brand = 'Brand#11'").select(F.concat_ws(":", "p_brand", "p_type").alias("gene")).distinct()
+
+
+@_query("exs spots", f"{_SIGN} SELECT replicate, label, gene, {_r('value')} AS value FROM m")
+def signature_enrichment(spark, d):
+    return _rounded(compare.signature_enrichment(materialize(views.spot_expression(spark, d), "expression"), views.spots(spark, d), _brand(spark, d)), "value")
+
+
+@_query("exs spots", f"{_SIGN}, a AS (SELECT * FROM m WHERE replicate = 'r0'), b AS (SELECT * FROM m WHERE replicate = 'r1') SELECT 'r0' AS one, 'r1' AS two, label, gene, {_r('coalesce(b.value, 0) - coalesce(a.value, 0)')} AS difference FROM a FULL JOIN b USING (label, gene)")
+def signature_difference(spark, d):
+    e = materialize(views.spot_expression(spark, d), "expression")
+    return _rounded(compare.paired_difference(e, views.spots(spark, d), [("r0", "r1")], _brand(spark, d)), "difference")
+
+
+@_query("expr", """n AS (SELECT replicate, count(DISTINCT spot_id) AS n FROM expr GROUP BY 1), g AS (SELECT count(DISTINCT gene) AS g FROM expr), c AS (SELECT replicate, gene, count(*) AS c FROM expr GROUP BY ALL),
+z AS (SELECT c.replicate, least(19, floor(round((1 - c / n) * 20, 9)))::INT AS bin FROM c JOIN n USING (replicate)), a AS (SELECT replicate, bin, count(*) AS n FROM z GROUP BY ALL UNION ALL SELECT replicate, 19, (SELECT g FROM g) - count(*) FROM z GROUP BY 1)
+SELECT replicate, bin, sum(n)::BIGINT AS n FROM a GROUP BY ALL HAVING sum(n) > 0""")
+def gene_sparsity_histogram(spark, d):
+    return expression.gene_sparsity_histogram(_expr(spark, d))
 
 
 @_query("expr", f"""n AS (SELECT replicate, count(DISTINCT spot_id) AS n FROM expr GROUP BY 1), m AS (SELECT replicate, gene, sum(value) AS s, sum(value * value) AS q, any_value(n) AS n FROM expr JOIN n USING (replicate) GROUP BY ALL),
@@ -376,20 +591,20 @@ c AS (SELECT a.replicate, a.gene AS a, b.gene AS b, sum(a.value * b.value) AS ab
 SELECT c.replicate, c.a, c.b, {_r('(ab - x.s * y.s / x.n) / sqrt((x.q - x.s * x.s / x.n) * (y.q - y.s * y.s / y.n))')} AS value
 FROM c JOIN m x ON x.replicate = c.replicate AND x.gene = c.a JOIN m y ON y.replicate = c.replicate AND y.gene = c.b WHERE (x.q - x.s * x.s / x.n) * (y.q - y.s * y.s / y.n) > 0""")
 def spatial_gene_correlation(spark, d):
-    return _rounded(expression.gene_correlation(views.expression(spark, d)), "value")
+    return _rounded(expression.gene_correlation(_expr(spark, d)), "value")
 
 
 @_query("expr", "r AS (SELECT count(DISTINCT replicate) AS r FROM expr), g AS (SELECT gene FROM expr GROUP BY gene HAVING count(DISTINCT replicate) = (SELECT r FROM r)) SELECT replicate, spot_id, gene, value FROM expr JOIN g USING (gene)")
 def gene_intersection(spark, d):
-    return expression.align_genes(views.expression(spark, d)).select("replicate", "spot_id", "gene", "value")
+    return expression.align_genes(_expr(spark, d)).select("replicate", "spot_id", "gene", "value")
 
 
-_SETS = "m AS (SELECT DISTINCT p_brand || ':' || p_type AS gene, l_returnflag || l_linestatus AS set_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50 AND l_discount >= 0.09)"
+_SETS = "m AS (SELECT DISTINCT p_brand || ':' || p_type AS gene, l_returnflag || l_linestatus AS set_name FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
 def _sets(spark, d):
-    """Genes (brand and type) of large discounted items, by return flag and status."""
-    items = table(spark, d, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.09")
+    """Genes (brand and type) of all items, by return flag and status."""
+    items = table(spark, d, "lineitem")
     rows = items.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(F.concat_ws(":", "p_brand", "p_type").alias("gene"), F.concat("l_returnflag", "l_linestatus").alias("set_name")).distinct()
 
@@ -421,40 +636,40 @@ def neighbor_groups(spark, d):
 # --- factor models --------------------------------------------------------------------------------------------------
 
 
-@_query("expr emb", f"SELECT gene, k, {_r('sum(value * v)')} AS value FROM expr JOIN emb USING (spot_id) GROUP BY ALL")
+@_query("exs emb", f"SELECT gene, k, {_r('sum(value * v)')} AS value FROM exs JOIN emb USING (replicate, spot_id) GROUP BY ALL")
 def cross_ytx(spark, d):
-    return _rounded(factors.cross(views.expression(spark, d), views.embedding_long(spark, d)), "value")
+    return _rounded(factors.cross(views.spot_expression(spark, d), views.embedding_long(spark, d)), "value")
 
 
-@_query("expr emb", f"""c AS (SELECT gene, k, sum(value * v) AS value FROM expr JOIN emb USING (spot_id) GROUP BY ALL), w AS (SELECT gene, k, value / sum(value) OVER (PARTITION BY k) AS w FROM c),
-own AS (SELECT * FROM expr WHERE spot_id IN (SELECT spot_id FROM emb)), yy AS (SELECT replicate, sum(value * value) AS yy, count(DISTINCT spot_id) AS n FROM own GROUP BY 1),
+@_query("exs emb", f"""c AS (SELECT gene, k, sum(value * v) AS value FROM exs expr JOIN emb USING (spot_id) GROUP BY ALL), w AS (SELECT gene, k, value / sum(value) OVER (PARTITION BY k) AS w FROM c),
+own AS (SELECT * FROM exs WHERE spot_id IN (SELECT spot_id FROM emb)), yy AS (SELECT replicate, sum(value * value) AS yy, count(DISTINCT spot_id) AS n FROM own GROUP BY 1),
 yx AS (SELECT own.replicate, sum(value * w * v) AS yx FROM own JOIN w USING (gene) JOIN emb ON emb.spot_id = own.spot_id AND emb.k = w.k GROUP BY 1),
 mm AS (SELECT a.k AS i, b.k AS j, sum(a.w * b.w) AS m FROM w a JOIN w b USING (gene) GROUP BY ALL), sp AS (SELECT DISTINCT replicate, spot_id FROM own),
 q AS (SELECT sp.replicate, sum(a.v * b.v * m) AS q FROM sp JOIN emb a ON a.spot_id = sp.spot_id JOIN emb b ON b.spot_id = sp.spot_id JOIN mm ON mm.i = a.k AND mm.j = b.k GROUP BY 1), g AS (SELECT count(DISTINCT gene) AS g FROM expr)
 SELECT replicate, n, round(yy - 2 * yx + q, 4) AS loss, {_r('sqrt((yy - 2 * yx + q) / (n * g))')} AS sigma FROM yy JOIN yx USING (replicate) JOIN q USING (replicate), g""")
 def sigma_yx(spark, d):
     """Residual and noise of a factor model whose weights are the normalised cross products."""
-    expr, x = views.expression(spark, d), views.embedding_long(spark, d)
+    expr, x = materialize(views.spot_expression(spark, d), "expression"), views.embedding_long(spark, d)
     out = factors.residuals(expr, x, factors.simplex_columns(factors.cross(expr, x)))
     return _rounded(out, "sigma").withColumn("loss", F.round("loss", 4))
 
 
 @_query("", None)
 def nmf_fit(spark, d):
-    model = factors.fit_nmf(views.expression(spark, d), 8, iterations=4)
+    model = factors.fit_nmf(views.expression(spark, d), 8)
     return factors.weights_table(model, spark)
 
 
 @_query("", None)
 def spatial_affinity_fit(spark, d):
     z = loadings.l1_normalize(views.embedding_long(spark, d))
-    s, _ = affinity.fit_affinity(_edges(spark, d), z, views.FACTORS, steps=15)
+    s, _ = affinity.fit_affinity(_edges(spark, d), z, views.FACTORS, steps=200, tol=1e-3)
     return spark.createDataFrame([(i + 1, j + 1, float(s[i, j])) for i in range(len(s)) for j in range(len(s))], "i int, j int, value double")
 
 
 @_query("", None)
 def permutation_test(spark, d):
-    return affinity.permutation_test(views.spots(spark, d), _edges(spark, d), trials=50)
+    return affinity.permutation_test(views.spots(spark, d), _edges(spark, d))
 
 
 # --- clustering, binning, spatial fits ------------------------------------------------------------------------------
@@ -485,53 +700,52 @@ def pca(spark, d):
     return _rounded(cluster.principal_components(views.embedding_long(spark, d), 3)[0], "value")
 
 
-def _fitted(spark, d):
-    """Customers as spots on a plane by balance and number, with a short factor fit of their purchases."""
-    expr = views.expression(spark, d)
+def _sample(spark, d):
+    """Customers as spots on a plane by balance and number, with their purchases and their neighbour graph."""
+    expr = materialize(views.expression(spark, d).withColumn("replicate", F.col("replicate").cast("string")).withColumn("value", F.col("value").cast("double")), "sample")
     where = table(spark, d, "customer").select(F.col("c_custkey").alias("spot_id"), (F.col("c_acctbal") / 1000).alias("x"), (F.col("c_custkey") % 97 / 10).alias("y"))
-    spots = expr.select(F.col("replicate").cast("string").alias("replicate"), "spot_id").distinct().join(where, "spot_id")
-    model = factors.fit_nmf(expr, 4, iterations=2)
-    numbered = spark.createDataFrame([(g, i) for i, g in enumerate(model.genes)], "gene string, g int")
-    x = model.loadings.groupBy("spot_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("x"))
-    packed = factors.packed_spots(expr, numbered).join(x, "spot_id")
-    return spots, model, packed
+    spots = materialize(expr.select("replicate", "spot_id").distinct().join(where, "spot_id").select("replicate", "spot_id", "x", "y"), "sample-spots")
+    edges = materialize(graph.symmetric_edges(graph.knn_graph(spots, 4)), "sample-edges")
+    return expr, spots, edges
 
 
 @_query("", None)
 def spatial_fit(spark, d):
-    spots, model, packed = _fitted(spark, d)
-    edges = materialize(graph.symmetric_edges(graph.knn_graph(spots, 4)), "fit-edges")
-    sigma = sum(model.sigma.values()) / len(model.sigma)
-    out = spatial.spatial_loadings(packed, edges, model.weights, 0.1 * np.eye(4), sigma, rounds=1)
-    return out.select("replicate", "spot_id", "s", F.posexplode("z").alias("k", "z")).withColumn("k", F.col("k") + 1)
+    """The whole fit, from singular vectors to fitted affinities: loadings per spot and factor."""
+    expr, _, edges = _sample(spark, d)
+    model = train.fit(expr, edges, train.Plan(factors=4))
+    return train.simplex_table(model)
+
+
+@_query("", None)
+def train_losses(spark, d):
+    """Losses of a fit from k-means with weights and affinities of their own for every replicate."""
+    expr, _, edges = _sample(spark, d)
+    model = train.fit(expr, edges, train.Plan(factors=4, start="kmeans", nmf_iterations=5, spatial_iterations=2, affinity_steps=30, pull_weights=0.5, pull_affinity=1e-2))
+    return spark.createDataFrame(list(enumerate(model.losses)), "step int, loss double")
 
 
 @_query("", None)
 def superresolve(spark, d):
-    spots, model, packed = _fitted(spark, d)
+    expr, spots, _ = _sample(spark, d)
+    model = factors.fit_nmf(expr, 4)
+    numbered = spark.createDataFrame([(g, i) for i, g in enumerate(model.genes)], "gene string, g int")
+    packed = factors.packed_spots(expr, numbered).join(train.packed_loadings(model.loadings, 4), ["replicate", "spot_id"])
     bins = cluster.partition_bins(spots, 4)
-    cells = packed.join(bins.select("spot_id", "bin_id"), "spot_id")
+    cells = materialize(packed.join(bins.select("replicate", "spot_id", "bin_id"), ["replicate", "spot_id"]), "cells")
     xb = cells.groupBy("replicate", "bin_id").agg(F.array(*[F.sum(F.col("x")[i]) for i in range(4)]).alias("xb"))
     sigma = sum(model.sigma.values()) / len(model.sigma)
     out = spatial.superresolve(cells.join(xb, ["replicate", "bin_id"]).drop("x"), model.weights, sigma)
     return out.select("replicate", "bin_id", "spot_id", F.posexplode("x").alias("k", "x")).withColumn("k", F.col("k") + 1)
 
 
-@_query("", None)
-def simulate(spark, d):
-    """Expression drawn at the positions of the table's spots, cell types by label."""
-    kinds = {str(i): np.eye(10)[i % 10] + 0.1 for i in range(10)}
-    spots = views.spots(spark, d).withColumn("cell_type", F.col("label").cast("string"))
-    return simulation.expression(spots, simulation.metagenes(60, 10, 1, variation=(0, 0.1, 0.1), seed=1), kinds, noise_factors=1)
-
-
 # --- gene sets ------------------------------------------------------------------------------------------------------
 
-_WEIGHTS = "w AS (SELECT gene, k, sum(value * v) AS w FROM expr JOIN emb USING (spot_id) GROUP BY ALL)"
+_WEIGHTS = "w AS (SELECT gene, k, sum(value * v) AS w FROM exs JOIN emb USING (replicate, spot_id) GROUP BY ALL)"
 
 
 def _cross_weights(spark, d):
-    return factors.cross(views.expression(spark, d), views.embedding_long(spark, d)).withColumnRenamed("value", "w").withColumn("w", F.round("w", 6))
+    return factors.cross(views.spot_expression(spark, d), views.embedding_long(spark, d)).withColumnRenamed("value", "w").withColumn("w", F.round("w", 6))
 
 
 _KNEE = f"""{_WEIGHTS}, r AS (SELECT gene, k, round(w, 6) AS w FROM w),
@@ -539,12 +753,12 @@ c AS (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY w, gene) - 1)::DOUBL
 m AS (SELECT k, max(a - s) AS below, arg_max(a, a - s) AS cut, any_value(n) AS n FROM c GROUP BY 1), sig AS (SELECT c.k, gene, w FROM c JOIN m ON c.k = m.k WHERE below > 1.0 / m.n AND a > cut)"""
 
 
-@_query("expr emb", f"{_KNEE} SELECT k, gene, {_r('w')} AS w FROM sig")
+@_query("exs emb", f"{_KNEE} SELECT k, gene, {_r('w')} AS w FROM sig")
 def signature_knee(spark, d):
     return _rounded(enrich.signature_by_knee(_cross_weights(spark, d)), "w")
 
 
-@_query("expr emb", f"""{_KNEE}, {_SETS}, g AS (SELECT DISTINCT gene FROM expr), t AS (SELECT count(*) AS total FROM g),
+@_query("exs emb", f"""{_KNEE}, {_SETS}, g AS (SELECT DISTINCT gene FROM expr), t AS (SELECT count(*) AS total FROM g),
 mm AS (SELECT set_name, gene FROM m1 JOIN g USING (gene)), ms AS (SELECT set_name, count(*) AS members FROM mm GROUP BY 1), cs AS (SELECT k, count(*) AS chosen FROM sig GROUP BY 1),
 b AS (SELECT k, set_name, count(*) AS shared FROM sig JOIN mm USING (gene) GROUP BY ALL),
 x AS (SELECT cs.k, ms.set_name, coalesce(shared, 0) AS shared, chosen, members, total FROM cs CROSS JOIN ms CROSS JOIN t LEFT JOIN b ON b.k = cs.k AND b.set_name = ms.set_name)
@@ -553,3 +767,22 @@ SELECT 'f' || k AS signature, set_name, shared, {_r('''least(1, (SELECT coalesce
 def over_representation(spark, d):
     picks = enrich.signature_by_knee(_cross_weights(spark, d)).select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("signature"), "gene")
     return _rounded(enrich.over_representation(_sets(spark, d), picks, views.expression(spark, d)), "p")
+
+
+@_query("exs emb", f"""{_WEIGHTS}, x AS (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS s FROM emb a JOIN emb b USING (replicate, spot_id) GROUP BY ALL),
+c AS (SELECT w.gene, j AS k, sum(w.w * s) AS v FROM w JOIN x ON x.i = w.k GROUP BY ALL) SELECT c.gene AS a, w.gene AS b, round(sum(c.v * w.w) / 1e9, 4) + 0.0 AS value FROM c JOIN w ON w.k = c.k GROUP BY ALL""")
+def spatial_gene_map(spark, d):
+    """Genes by genes: cross products as weights around the loadings' Gram matrix."""
+    w = materialize(factors.cross(views.spot_expression(spark, d), views.embedding_long(spark, d)).withColumnRenamed("value", "w"), "weights")
+    _, pairs = compare.gene_map(w, loadings.gram(views.embedding_long(spark, d)).withColumnRenamed("value", "value"))
+    return pairs.withColumn("value", F.round(F.col("value") / 1e9, 4) + F.lit(0.0))
+
+
+@_query("exs emb", f"""{_WEIGHTS}, {_SETS}, r AS (SELECT gene, k, row_number() OVER (PARTITION BY k ORDER BY round(w, 6), gene) - 1 AS rank FROM w), g AS (SELECT (count(DISTINCT gene) - 1) / 2 AS mid FROM w),
+h AS (SELECT set_name, k, rank, rank - mid AS d FROM r JOIN m USING (gene), g), u AS (SELECT set_name, k, abs(d) AS a, d > 0 AS up FROM h WHERE d <> 0),
+v AS (SELECT *, count(*) OVER t AS tied, rank() OVER (PARTITION BY set_name, k ORDER BY a) + (count(*) OVER t - 1) / 2 AS rk FROM u WINDOW t AS (PARTITION BY set_name, k, a)),
+s AS (SELECT set_name, k, count(*) AS n, coalesce(sum(rk) FILTER (up), 0) AS w, sum(tied * tied - 1) AS ties FROM v GROUP BY ALL), md AS (SELECT set_name, k, median(rank) AS median FROM h GROUP BY ALL)
+SELECT s.set_name, s.k, median, n, {_r('w')} AS w, {_r('(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)')} AS z FROM s JOIN md USING (set_name, k)""")
+def marker_rank_tests(spark, d):
+    """Places of each set's genes in the factors' orders, and signed-rank tests against the middle."""
+    return _rounded(compare.marker_rank_tests(materialize(_cross_weights(spark, d), "weights"), _sets(spark, d)).drop("p"), "w", "z")

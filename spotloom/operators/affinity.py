@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.functions.scratch import materialize
+from spotloom.functions.small import packed, small
+from spotloom.operators.graph import neighbourhood_enrichment
 
 
 def log_partition(eta: np.ndarray) -> np.ndarray:
@@ -44,19 +46,17 @@ def mean_under(eta: np.ndarray) -> np.ndarray:
     return np.stack([np.exp(log_partition(np.concatenate((eta, eta[:, [m]]), axis=1)) - base) for m in range(eta.shape[1])], axis=1)
 
 
-def fit_affinity(edges: DataFrame, loadings: DataFrame, factors: int, steps: int = 40, rate: float = 0.05, penalty: float = 1e-2, bound: float = 10.0) -> tuple[np.ndarray, list[float]]:
-    """Symmetric matrix S that minimises <S, Z'AZ> + sum_i log_partition((AZ)_i S) + penalty/2 |S|^2 over the spots.
+def fit_affinity(edges: DataFrame, loadings: DataFrame, factors: int, steps: int = 40, rate: float = 0.05, penalty: float = 1e-2, bound: float = 10.0, tol: float = 0.0, towards: np.ndarray | float = 0.0) -> tuple[np.ndarray, list[float]]:
+    """Symmetric matrix S that minimises <S, Z'AZ> + sum_i log_partition((AZ)_i S) + penalty/2 |S - towards|^2 over the spots;
+    ends early when a step moves no entry by ``tol``.
 
-    ``loadings`` (spot_id, k from 1, v) lie on the simplex.  The neighbour sums are joined and stored once; each Adam
+    ``loadings`` (replicate, spot_id, k from 1, v) lie on the simplex.  The neighbour sums are joined and stored once; each Adam
     step is one pass whose tasks return a factors x factors gradient.
     """
-    right = loadings.select(F.col("spot_id").alias("dst"), "k", "v")
-    nu = edges.select("src", "dst").join(right, "dst").groupBy("src", "k").agg(F.sum("v").alias("v"))
-    rows = nu.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    dense = rows.select("src", F.transform(F.sequence(F.lit(1), F.lit(factors)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0))).alias("nu"))
-    own = loadings.groupBy(F.col("spot_id").alias("src")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("z"))
-    table = dense.join(own, "src").select("nu", F.transform(F.sequence(F.lit(1), F.lit(factors)), lambda k: F.coalesce(F.col("z")[k], F.lit(0.0))).alias("z"))
-    table = materialize(table, "affinity-rows")
+    z = packed(loadings, factors)
+    near = edges.select("replicate", "src", "dst").join(z.select("replicate", F.col("spot_id").alias("dst"), F.col("z").alias("zn")), ["replicate", "dst"])
+    nu = near.groupBy("replicate", F.col("src").alias("spot_id")).agg(F.array(*[F.sum(F.col("zn")[i]) for i in range(factors)]).alias("nu"))
+    table = materialize(nu.join(z, ["replicate", "spot_id"]).select("nu", "z"), "affinity-rows")
 
     def sums(s: np.ndarray) -> tuple[float, np.ndarray, float]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,35 +77,86 @@ def fit_affinity(edges: DataFrame, loadings: DataFrame, factors: int, steps: int
     s, m, v, losses = np.zeros((factors, factors)), 0.0, 0.0, []
     for i in range(1, steps + 1):
         value, grad, n = sums(s)
-        losses.append(value / max(n, 1) + penalty / 2 * float(np.sum(s * s)))
-        grad = (grad + grad.T) / 2 / max(n, 1) + penalty * s
+        losses.append(value / max(n, 1) + penalty / 2 * float(np.sum((s - towards) ** 2)))
+        grad = (grad + grad.T) / 2 / max(n, 1) + penalty * (s - towards)
         m, v = 0.5 * m + 0.5 * grad, 0.9 * v + 0.1 * grad * grad
-        s = np.clip(s - rate * (m / (1 - 0.5**i)) / (np.sqrt(v / (1 - 0.9**i)) + 1e-8), -bound, bound)
+        new = np.clip(s - rate * (m / (1 - 0.5**i)) / (np.sqrt(v / (1 - 0.9**i)) + 1e-8), -bound, bound)
+        change, s = np.abs(new - s).max(), new
+        if change < tol:
+            break
     return s, losses
 
 
+def clamp(affinity: np.ndarray, bound: float) -> np.ndarray:
+    """Entries cut to [-bound, bound]."""
+    return np.clip(affinity, -bound, bound)
+
+
+def rescale(affinity: np.ndarray, bound: float) -> np.ndarray:
+    """The matrix scaled down so that no entry exceeds ``bound`` in size."""
+    return affinity * min(1.0, bound / max(float(np.abs(affinity).max(initial=0.0)), 1e-300))
+
+
+def centre(affinity: np.ndarray) -> np.ndarray:
+    """The matrix less its mean entry."""
+    return affinity - affinity.mean()
+
+
+def adjust_affinity(affinity: DataFrame, bound: float) -> DataFrame:
+    """(replicate, i, j, value, clamped, rescaled, centred) of small tables of affinities, one matrix per replicate."""
+    w = Window.partitionBy("replicate")
+    v = F.col("value")
+    scaled = v * F.least(F.lit(1.0), bound / F.greatest(F.max(F.abs(v)).over(w), F.lit(1e-300)))
+    return affinity.select("replicate", "i", "j", "value", F.greatest(F.lit(-bound), F.least(F.lit(bound), v)).alias("clamped"), scaled.alias("rescaled"), (v - F.avg(v).over(w)).alias("centred"))
+
+
+def shuffles(trials: int, seed: int) -> list[tuple[int, int, int]]:
+    """(trial, a, b) of the maps i -> (a i + b) mod n: distinct primes over 2^30, hence bijections for all n below."""
+    out, p = [], (1 << 30) + 1 + 2 * ((seed * 7919) % 100_003)
+    while len(out) < trials:
+        if all(p % d for d in range(3, int(p**0.5) + 1, 2)):
+            out.append((len(out), p, 104_729 * (len(out) + 1)))
+        p += 2 * 1009
+    return out
+
+
+def numbered_spots(spots: DataFrame) -> DataFrame:
+    """(replicate, spot_id, label, i, n): spots of a replicate numbered from 0 in the order of an MD5 of their id.
+
+    Numbers come from the sizes of 4096 hash buckets and the ranks inside each, so no task sorts a replicate."""
+    h = F.md5(F.col("spot_id").cast("string"))
+    rows = spots.select("replicate", "spot_id", "label", h.alias("h"), F.substring(h, 1, 3).alias("bucket"))
+    sizes = rows.groupBy("replicate", "bucket").agg(F.count(F.lit(1)).alias("c"))
+    up = Window.partitionBy("replicate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("replicate", "bucket", F.coalesce(F.sum("c").over(up), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy("replicate")).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("replicate", "bucket").orderBy("h", "spot_id")) - 1
+    return rows.join(small(before), ["replicate", "bucket"]).select("replicate", "spot_id", "label", (F.col("before") + rank).alias("i"), "n")
+
+
 def permutation_test(spots: DataFrame, edges: DataFrame, trials: int = 100, seed: int = 0) -> DataFrame:
     """(replicate, a, b, enrichment, p_adjacency, p_avoidance): labels shuffled within a replicate ``trials`` times.
 
-    A shuffle gives the i-th spot (in id order) the label of the i-th spot in a seeded hash order.  p-values count the
-    shuffles that reach the observed value, plus one.
+    A shuffle gives spot number i the label of spot number (a i + b) mod n, spots being numbered in a random order once:
+    no sort per trial.  Every edge is unfolded over the trials where it lies, labels are looked up by number, and sums per
+    pair of labels are added before they move.  p-values count the shuffles that reach the observed value, plus one.
     """
-    from pyspark.sql import Window
-
-    from spotloom.operators.graph import neighbourhood_enrichment
-
     observed = neighbourhood_enrichment(spots, edges)
-    trial = spots.sparkSession.range(trials).select(F.col("id").alias("trial"))
-    every = spots.select("replicate", "spot_id", "label").withColumn("__all", F.lit(0)).join(trial.withColumn("__all", F.lit(0)), "__all")
-    key = ["replicate", "trial"]
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("spot_id"))
-    mixed = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("spot_id", "trial", F.lit(seed)), "spot_id"))
-    ranked = materialize(every.select(*key, "spot_id", "label", place.alias("i"), mixed.alias("j")), "shuffles")
-    shuffled = ranked.select(*key, "spot_id", "i").join(ranked.select(*key, "label", F.col("j").alias("i")), [*key, "i"])
-    name = F.concat_ws("/", "replicate", "trial")
-    runs = shuffled.select(name.alias("replicate"), (F.col("trial") * (1 << 40) + F.col("spot_id")).alias("spot_id"), "label")
-    moved = edges.select("replicate", "src", "dst").withColumn("__all", F.lit(0)).join(trial.withColumn("__all", F.lit(0)), "__all")
-    moved = moved.select(name.alias("replicate"), (F.col("trial") * (1 << 40) + F.col("src")).alias("src"), (F.col("trial") * (1 << 40) + F.col("dst")).alias("dst"))
-    got = neighbourhood_enrichment(runs, moved).select(F.split("replicate", "/")[0].alias("replicate"), "a", "b", F.col("enrichment").alias("e"))
-    both = got.join(observed, ["replicate", "a", "b"]).groupBy("replicate", "a", "b", "enrichment")
-    return both.agg(((F.count_if(F.col("e") >= F.col("enrichment")) + 1) / (trials + 1)).alias("p_adjacency"), ((F.count_if(F.col("e") <= F.col("enrichment")) + 1) / (trials + 1)).alias("p_avoidance"))
+    rows = materialize(numbered_spots(spots), "numbered")
+    at = lambda side, i: rows.select("replicate", F.col("spot_id").alias(side), F.col("i").alias(i))
+    degree = edges.groupBy("replicate", "src").agg((1 / F.count(F.lit(1))).alias("w"))
+    ends = edges.select("replicate", "src", "dst").join(degree, ["replicate", "src"]).join(at("src", "i"), ["replicate", "src"]).join(at("dst", "j"), ["replicate", "dst"])
+    linked = materialize(ends.join(small(rows.groupBy("replicate").agg(F.max("n").alias("n"))), "replicate").select("replicate", "src", "i", "j", "w", "n"), "numbered-edges")
+    every = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for t, a, b in shuffles(trials, seed)]))
+    to = lambda c: ((F.col("e.a") * F.col(c) + F.col("e.b")) % F.col("n")).alias(c)
+    label = small(rows.select("replicate", "i", "label"), 1_000_000)
+    first, second = label.select("replicate", "i", F.col("label").alias("a")), label.select("replicate", F.col("i").alias("j"), F.col("label").alias("b"))
+    moved = linked.withColumn("e", every).select("replicate", F.col("e.t").alias("trial"), to("i"), to("j"), "w")
+    total = moved.join(first, ["replicate", "i"]).join(second, ["replicate", "j"]).groupBy("replicate", "trial", "a", "b").agg(F.sum("w").alias("total"))
+    own = linked.select("replicate", "src", "i", "n").distinct().withColumn("e", every).select("replicate", F.col("e.t").alias("trial"), to("i"))
+    size = own.join(first, ["replicate", "i"]).groupBy("replicate", "trial", "a").agg(F.count(F.lit(1)).alias("size"))
+    grid = size.join(size.select("replicate", "trial", F.col("a").alias("b")), ["replicate", "trial"])  # labels by labels
+    got = grid.join(total, ["replicate", "trial", "a", "b"], "left").select("replicate", "a", "b", (F.coalesce("total", F.lit(0.0)) / F.col("size")).alias("e"))
+    # equal values that were added in different orders count as equal
+    near = 1e-9
+    both = got.join(small(observed), ["replicate", "a", "b"]).groupBy("replicate", "a", "b", "enrichment")
+    return both.agg(((F.count_if(F.col("e") >= F.col("enrichment") - near) + 1) / (trials + 1)).alias("p_adjacency"), ((F.count_if(F.col("e") <= F.col("enrichment") + near) + 1) / (trials + 1)).alias("p_avoidance"))

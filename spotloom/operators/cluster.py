@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotloom.functions.scratch import materialize
+from spotloom.functions.small import packed, small
 
 
 def gabriel_graph(knn: DataFrame) -> DataFrame:
@@ -16,18 +17,18 @@ def gabriel_graph(knn: DataFrame) -> DataFrame:
     are all that need be checked.  The graph is a part of the Delaunay triangulation.
     """
     a = knn.select("replicate", "src", "dst", "distance", "rank", "x", "y", "dx", "dy")
-    b = knn.select("src", F.col("rank").alias("r2"), F.col("distance").alias("d2"), F.col("dx").alias("kx"), F.col("dy").alias("ky"))
+    b = knn.select("replicate", "src", F.col("rank").alias("r2"), F.col("distance").alias("d2"), F.col("dx").alias("kx"), F.col("dy").alias("ky"))
     far = (F.col("dx") - F.col("kx")) * (F.col("dx") - F.col("kx")) + (F.col("dy") - F.col("ky")) * (F.col("dy") - F.col("ky"))
     inside = F.col("d2") * F.col("d2") + far < F.col("distance") * F.col("distance") * (1 - 1e-12)
-    blocked = a.join(b, "src").where((F.col("r2") < F.col("rank")) & inside).select("src", "dst").distinct()
-    free = a.join(blocked, ["src", "dst"], "left_anti").select("replicate", "src", "dst", "distance")
-    return free.union(free.select("replicate", F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")).dropDuplicates(["src", "dst"])
+    blocked = a.join(b, ["replicate", "src"]).where((F.col("r2") < F.col("rank")) & inside).select("replicate", "src", "dst").distinct()
+    free = a.join(blocked, ["replicate", "src", "dst"], "left_anti").select("replicate", "src", "dst", "distance")
+    return free.union(free.select("replicate", F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")).dropDuplicates(["replicate", "src", "dst"])
 
 
 def with_positions(knn: DataFrame, spots: DataFrame) -> DataFrame:
     """``knn`` with the positions of both ends (x, y and dx, dy)."""
-    at = lambda side, x, y: spots.select(F.col("spot_id").alias(side), F.col("x").alias(x), F.col("y").alias(y))
-    return knn.join(at("src", "x", "y"), "src").join(at("dst", "dx", "dy"), "dst")
+    at = lambda side, x, y: spots.select("replicate", F.col("spot_id").alias(side), F.col("x").alias(x), F.col("y").alias(y))
+    return knn.join(at("src", "x", "y"), ["replicate", "src"]).join(at("dst", "dx", "dy"), ["replicate", "dst"])
 
 
 def _moves(edges: DataFrame, labels: DataFrame, resolution: float, turn: int, by: str) -> DataFrame:
@@ -50,14 +51,18 @@ def _moves(edges: DataFrame, labels: DataFrame, resolution: float, turn: int, by
     return alone.where((F.col("best.gain") > F.col("stay") + 1e-12) & way & half).select("node", target.alias("target"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, turns: int = 12, levels: int = 2) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, turns: int = 200, levels: int = 20) -> DataFrame:
     """(replicate, spot_id, community): parallel Louvain on a symmetric edge table (replicate, src, dst).
 
-    Every turn half of the nodes move at once to the neighbouring community of largest gain; when no node moves, or
-    after ``turns``, communities become nodes and the next level starts.  Each turn is a handful of joins on node ids.
+    Every turn half of the nodes move at once to the neighbouring community of largest gain; when no node moves in any
+    half or direction, communities become nodes and the next level starts, until a level changes nothing.  ``turns`` and
+    ``levels`` are guards that raise.  Each turn is a handful of joins on node numbers; ids may repeat in other replicates.
     """
-    now = materialize(edges.select("replicate", "src", "dst", F.lit(1.0).alias("w")), "louvain-edges")
-    member = materialize(now.select("replicate", F.col("src").alias("spot_id"), F.col("src").alias("community")).distinct(), "louvain-members")
+    numbered = materialize(edges.select("replicate", F.col("src").alias("spot_id")).distinct().withColumn("n", F.monotonically_increasing_id()), "louvain-nodes")
+    side = lambda c: numbered.select("replicate", F.col("spot_id").alias(c), F.col("n").alias(f"{c}_n"))
+    now = edges.select("replicate", "src", "dst").join(side("src"), ["replicate", "src"]).join(side("dst"), ["replicate", "dst"])
+    now = materialize(now.select("replicate", F.col("src_n").alias("src"), F.col("dst_n").alias("dst"), F.lit(1.0).alias("w")), "louvain-edges")
+    member = numbered.select("replicate", "spot_id", F.col("n").alias("community"))
     for _ in range(levels):
         labels = materialize(now.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct(), "louvain-labels")
         quiet, any_move = 0, False
@@ -65,27 +70,29 @@ def communities(edges: DataFrame, resolution: float = 1.0, turns: int = 12, leve
             moved = materialize(_moves(now, labels, resolution, turn, "replicate"), "louvain-moves")
             if moved.isEmpty():
                 quiet += 1
-                if quiet == 3:
+                if quiet == 8:
                     break
                 continue
             quiet, any_move = 0, True
             labels = materialize(labels.join(moved, "node", "left").select("node", F.coalesce("target", "label").alias("label")), "louvain-labels")
+        else:
+            raise RuntimeError(f"nodes still move after {turns} turns")
         if not any_move:
-            break
+            return member
         member = materialize(member.join(labels.withColumnRenamed("node", "community"), "community").select("replicate", "spot_id", F.col("label").alias("community")), "louvain-members")
         side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_new"))
         now = materialize(now.join(side("src"), "src").join(side("dst"), "dst").groupBy("replicate", F.col("src_new").alias("src"), F.col("dst_new").alias("dst")).agg(F.sum("w").alias("w")), "louvain-edges")
-    return member
+    raise RuntimeError(f"communities still merge after {levels} levels")
 
 
 def principal_components(loadings: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     """((replicate, spot_id, component, value), variances): components of centred loadings, signs made positive at the
     largest weight.  Only the factors x factors covariance reaches the driver."""
     k = loadings.agg(F.max("k")).first()[0]
-    a = loadings.select("spot_id", F.col("k").alias("i"), F.col("v").alias("a"))
-    b = loadings.select("spot_id", F.col("k").alias("j"), F.col("v").alias("b"))
+    z = packed(loadings, k)
+    both = z.select(F.posexplode("z").alias("i", "a"), "z").select((F.col("i") + 1).alias("i"), "a", F.posexplode("z").alias("j", "b")).withColumn("j", F.col("j") + 1)
     cov = np.zeros((k, k))
-    for r in a.join(b, "spot_id").groupBy("i", "j").agg(F.covar_samp("a", "b").alias("c")).collect():
+    for r in both.groupBy("i", "j").agg(F.covar_samp("a", "b").alias("c")).collect():
         cov[r.i - 1, r.j - 1] = r.c
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values)[:n]
@@ -93,7 +100,7 @@ def principal_components(loadings: DataFrame, n: int) -> tuple[DataFrame, np.nda
     v *= np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
     table = loadings.sparkSession.createDataFrame([(i + 1, c + 1, float(v[i, c])) for i in range(k) for c in range(len(order))], "k int, component int, w double")
     centre = loadings.groupBy("k").agg(F.avg("v").alias("m"))
-    out = loadings.join(centre, "k").join(table, "k").groupBy("replicate", "spot_id", "component").agg(F.sum((F.col("v") - F.col("m")) * F.col("w")).alias("value"))
+    out = loadings.join(small(centre), "k").join(F.broadcast(table), "k").groupBy("replicate", "spot_id", "component").agg(F.sum((F.col("v") - F.col("m")) * F.col("w")).alias("value"))
     return out, values[order]
 
 
@@ -106,5 +113,5 @@ def partition_bins(spots: DataFrame, depth: int = 4) -> DataFrame:
     for level in range(depth):
         axis = "x" if level % 2 == 0 else "y"
         mids = now.groupBy("replicate", "bin_id").agg(F.percentile_approx(axis, 0.5, 10_000).alias("mid"))
-        now = materialize(now.join(mids, ["replicate", "bin_id"]).select("replicate", "spot_id", "x", "y", (2 * F.col("bin_id") + (F.col(axis) > F.col("mid")).cast("int")).alias("bin_id")), "partition")
+        now = materialize(now.join(small(mids), ["replicate", "bin_id"]).select("replicate", "spot_id", "x", "y", (2 * F.col("bin_id") + (F.col(axis) > F.col("mid")).cast("int")).alias("bin_id")), "partition")
     return now.select("replicate", "spot_id", "bin_id")

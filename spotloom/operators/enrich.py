@@ -25,18 +25,21 @@ def over_representation(members: DataFrame, chosen: DataFrame, background: DataF
     """(signature, set_name, shared, p): for sets (set_name, gene) and signatures (signature, gene), both cut to the
     background genes, the hypergeometric tail of their overlap."""
     genes = background.select("gene").distinct()
-    total = genes.agg(F.count(F.lit(1)).alias("total")).withColumn("__all", F.lit(0))
+    total = genes.count()
     sets = members.select("set_name", "gene").distinct().join(genes, "gene", "left_semi")
     picks = chosen.select("signature", "gene").distinct().join(genes, "gene", "left_semi")
-    size = sets.groupBy("set_name").agg(F.count(F.lit(1)).alias("members")).withColumn("__all", F.lit(0))
-    many = picks.groupBy("signature").agg(F.count(F.lit(1)).alias("chosen")).withColumn("__all", F.lit(0))
+    size = sets.groupBy("set_name").agg(F.count(F.lit(1)).alias("members"))
+    many = picks.groupBy("signature").agg(F.count(F.lit(1)).alias("chosen")).collect()  # one short row a signature
     both = picks.join(sets, "gene").groupBy("signature", "set_name").agg(F.count(F.lit(1)).alias("shared"))
-    grid = many.join(size, "__all").join(total, "__all").drop("__all").join(both, ["signature", "set_name"], "left").na.fill(0, ["shared"])
+    table = F.array(*[F.struct(F.lit(r.signature).alias("signature"), F.lit(r.chosen).alias("chosen")) for r in many]) if many else F.array().cast("array<struct<signature:string,chosen:long>>")
+    grid = size.withColumn("e", F.explode(table)).select("set_name", "members", "e.signature", "e.chosen", F.lit(total).cast("long").alias("total"))
+    grid = grid.join(both, ["signature", "set_name"], "left").na.fill(0, ["shared"])
 
     @F.pandas_udf("double")
     def tail(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for cols in parts:
-            yield pd.Series([hypergeometric_tail(*row) for row in zip(*cols, strict=True)], dtype="float64")
+            known = {row: hypergeometric_tail(*row) for row in set(zip(*cols, strict=True))}
+            yield pd.Series([known[row] for row in zip(*cols, strict=True)], dtype="float64")
 
     return grid.select("signature", "set_name", "shared", tail("shared", "chosen", "members", "total").alias("p"))
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotloom.functions.scratch import materialize
+from spotloom.functions.small import small
+
 
 def contingency(rows: DataFrame, truth: str, guess: str, by: list[str] | None = None) -> DataFrame:
     """([by], truth, guess, n)."""
@@ -87,37 +92,99 @@ def inferred_labels(rows: DataFrame, truth: str, guess: str) -> DataFrame:
 
 
 def neighbour_vote(knn: DataFrame, labels: DataFrame) -> DataFrame:
-    """(src, guess): most frequent label among the neighbours that are in ``labels`` (spot_id, label), ties smallest."""
-    seen = knn.select("src", F.col("dst").alias("spot_id")).join(labels, "spot_id").groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
-    return seen.groupBy("src").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("guess"))
+    """(replicate, src, guess): most frequent label among the neighbours that are in ``labels`` (replicate, spot_id, label),
+    ties smallest."""
+    seen = knn.select("replicate", "src", F.col("dst").alias("spot_id")).join(labels, ["replicate", "spot_id"]).groupBy("replicate", "src", "label").agg(F.count(F.lit(1)).alias("n"))
+    return seen.groupBy("replicate", "src").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("guess"))
 
 
-def silhouette(spots: DataFrame, block: int = 2048) -> DataFrame:
-    """(replicate, silhouette): mean Euclidean silhouette, exact.
+def _blocks(rows: DataFrame, block: int, cols: list[str]) -> DataFrame:
+    """(replicate, b, p): rows of a replicate packed in blocks of about ``block`` by hash."""
+    sizes = small(rows.groupBy("replicate").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")))
+    cut = rows.join(sizes, "replicate").withColumn("b", F.pmod(F.xxhash64("spot_id"), F.col("blocks")))
+    return cut.groupBy("replicate", "b").agg(F.collect_list(F.struct(*cols)).alias("p"))
 
-    Distances to all rows are the definition, so rows meet in packed blocks of about ``block`` points: the work is quadratic
-    in a replicate, but a task holds two blocks only and hands on one row per point and label."""
-    import numpy as np
-    import pandas as pd
 
-    sizes = spots.groupBy("replicate").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    cut = spots.join(sizes, "replicate").withColumn("b", F.pmod(F.xxhash64("spot_id"), F.col("blocks")))
-    packed = cut.groupBy("replicate", "b").agg(F.collect_list(F.struct("spot_id", "x", "y", "label")).alias("p"))
-    left = packed.select("replicate", F.col("b").alias("b1"), F.col("p").alias("p1"))
-    pairs = left.join(packed, "replicate")
+def nearest_in_space(queries: DataFrame, data: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(replicate, src, dst, distance, rank): the exact k nearest rows of ``data`` for each query, both (replicate, spot_id,
+    z: array<double>); a row is not its own neighbour; ties by id.
+
+    In many dimensions all rows of a replicate are candidates, so blocks of rows meet: a task holds two of them, and every
+    pair of blocks hands on k rows a query.
+    """
+    left = _blocks(queries, block, ["spot_id", "z"]).select("replicate", F.col("p").alias("p1"))
+    pairs = left.join(_blocks(data, block, ["spot_id", "z"]), "replicate")
+
+    def near(batches):
+        for t in batches:
+            for rep, p, q in zip(t["replicate"], t["p1"], t["p"], strict=True):
+                a, b = np.array([r["z"] for r in p]), np.array([r["z"] for r in q])
+                ia, ib = np.array([r["spot_id"] for r in p]), np.array([r["spot_id"] for r in q])
+                for i in range(len(a)):
+                    d = np.sqrt(((b - a[i]) ** 2).sum(axis=1))
+                    d[ib == ia[i]] = np.inf
+                    best = np.lexsort((ib, d))[:k] if len(d) <= 4 * k else (lambda c: c[np.lexsort((ib[c], d[c]))][:k])(np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]))
+                    best = best[np.isfinite(d[best])]
+                    yield pd.DataFrame({"replicate": rep, "src": ia[i], "dst": ib[best], "distance": d[best]})
+
+    found = pairs.mapInPandas(near, "replicate string, src long, dst long, distance double")
+    order = Window.partitionBy("replicate", "src").orderBy(F.round("distance", 12), "dst")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def stratified_split(rows: DataFrame, share: float = 0.25, seed: int = 42) -> DataFrame:
+    """``rows`` (replicate, spot_id, label, ...) with ``train``: of every replicate and label the first ``share`` in a seeded
+    hash order (half-way counts to the even number below)."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("spot_id").cast("string")))
+    own = Window.partitionBy("replicate", "label")
+    return rows.withColumn("__h", h).withColumn("train", F.row_number().over(own.orderBy("__h", "spot_id")) <= F.round(F.count(F.lit(1)).over(own) * share)).drop("__h")
+
+
+def classification_task(rows: DataFrame, k: int = 10, share: float = 0.25, seed: int = 42) -> DataFrame:
+    """(replicate, split, n, micro, macro): precisions of a k-nearest-neighbour classifier of labels by loadings.
+
+    ``rows`` hold (replicate, spot_id, label, z).  A stratified ``share`` of the spots votes; macro precision is the mean
+    over all true and predicted labels of hits over predictions (0 without predictions).  Voters are their own first
+    neighbour when they are scored.
+    """
+    split = materialize(stratified_split(rows, share, seed), "split")
+    train = split.where("train")
+    knn = nearest_in_space(split.select("replicate", "spot_id", "z"), train.select("replicate", "spot_id", "z"), k)
+    self_ = train.select("replicate", F.col("spot_id").alias("src"), F.col("spot_id").alias("dst"), F.lit(0).alias("rank"))
+    voters = knn.select("replicate", "src", "dst", "rank").union(self_).withColumn("r", F.row_number().over(Window.partitionBy("replicate", "src").orderBy("rank"))).where(F.col("r") <= k)
+    guess = neighbour_vote(voters, train.select("replicate", "spot_id", "label")).withColumnRenamed("src", "spot_id")
+    known = split.select("replicate", "spot_id", "label", F.when(F.col("train"), "train").otherwise("validation").alias("split"))
+    table = contingency(known.join(guess, ["replicate", "spot_id"]), "label", "guess", ["replicate", "split"])
+    hit = F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(0)
+    by = ["replicate", "split"]
+    said = table.groupBy(*by, F.col("guess").alias("label")).agg(F.sum("n").alias("said"), F.sum(hit).alias("hit"))
+    true = table.groupBy(*by, F.col("truth").alias("label")).agg(F.sum("n").alias("there"))
+    each = true.join(said, [*by, "label"], "full").na.fill(0, ["said", "hit", "there"])
+    precision = F.when(F.col("said") > 0, F.col("hit") / F.col("said")).otherwise(0.0)
+    return each.groupBy(*by).agg(F.sum("there").alias("n"), (F.sum("hit") / F.sum("there")).alias("micro"), F.avg(precision).alias("macro"))
+
+
+def silhouette(points: DataFrame, block: int = 2048) -> DataFrame:
+    """(replicate, silhouette): mean Euclidean silhouette of (replicate, spot_id, label, z: array<double>), exact.
+
+    Distances to all rows are the definition, so rows meet in packed blocks of about ``block`` points: the work is quadratic
+    in a replicate, but a task holds two blocks only and hands on one row per point and label.  Where that is too much,
+    ``centroid_silhouette`` takes time in proportion to the rows."""
+    packed_rows = _blocks(points.withColumn("label", F.col("label").cast("string")), block, ["spot_id", "z", "label"])
+    pairs = packed_rows.select("replicate", F.col("p").alias("p1")).join(packed_rows, "replicate")
 
     def sums(batches):
         for t in batches:
             for rep, p, q in zip(t["replicate"], t["p1"], t["p"], strict=True):
-                a = np.array([(r["x"], r["y"]) for r in p])
-                b = np.array([(r["x"], r["y"]) for r in q])
+                a, b = np.array([r["z"] for r in p]), np.array([r["z"] for r in q])
                 names, number = np.unique([r["label"] for r in q], return_inverse=True)
-                d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-                total = np.stack([d[:, number == i].sum(axis=1) for i in range(len(names))], axis=1)
+                one = np.zeros((len(q), len(names)))
+                one[np.arange(len(q)), number] = 1.0
+                total = np.concatenate([np.sqrt(((a[i : i + 64, None, :] - b[None, :, :]) ** 2).sum(axis=2)) @ one for i in range(0, len(a), 64)])
                 n, m = len(p), len(names)
                 yield pd.DataFrame({"replicate": [rep] * (n * m), "spot_id": np.repeat([r["spot_id"] for r in p], m), "own": np.repeat([r["label"] for r in p], m), "other": np.tile(names, n), "d": total.ravel(), "n": np.tile(np.bincount(number), n)})
 
-    flat = pairs.mapInPandas(sums, "replicate string, spot_id long, own long, other long, d double, n long")
+    flat = pairs.mapInPandas(sums, "replicate string, spot_id long, own string, other string, d double, n long")
     mean = flat.groupBy("replicate", "spot_id", "own", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     each = mean.groupBy("replicate", "spot_id", "own").agg(
         F.max(F.when(F.col("own") == F.col("other"), F.col("n"))).alias("n"),
@@ -126,3 +193,17 @@ def silhouette(spots: DataFrame, block: int = 2048) -> DataFrame:
     )
     s = F.when((F.col("n") > 1) & F.col("b").isNotNull(), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
     return each.groupBy("replicate").agg(F.avg(s).alias("silhouette"))
+
+
+def centroid_silhouette(points: DataFrame) -> DataFrame:
+    """(replicate, silhouette): the simplified silhouette, with distances to the means of the labels, in linear time."""
+    flat = points.select("replicate", "label", F.posexplode("z").alias("i", "v")).groupBy("replicate", "label", "i").agg(F.avg("v").alias("v"))
+    means = flat.groupBy("replicate", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("c"))
+    means = means.groupBy("replicate").agg(F.collect_list(F.struct(F.col("label").alias("l"), "c")).alias("means"))
+    d = lambda c: F.sqrt(F.aggregate(F.zip_with("z", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+    rows = points.join(small(means), "replicate").withColumn("d", F.transform("means", lambda m: F.struct((m["l"] == F.col("label")).alias("own"), d(m["c"]).alias("d"))))
+    a = F.array_min(F.transform(F.filter("d", lambda e: e["own"]), lambda e: e["d"]))
+    b = F.array_min(F.transform(F.filter("d", lambda e: ~e["own"]), lambda e: e["d"]))
+    rows = rows.select("replicate", a.alias("a"), b.alias("b"))
+    s = F.when(F.col("b").isNotNull() & (F.greatest("a", "b") > 0), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    return rows.groupBy("replicate").agg(F.avg(s).alias("silhouette"))

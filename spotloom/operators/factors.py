@@ -15,38 +15,44 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotloom.functions.scratch import materialize
+from spotloom.functions.scratch import discard, materialize
+from spotloom.functions.small import dot, packed, small
 
 FLOOR = 1e-10
 
 
-def cross(expr: DataFrame, loadings: DataFrame) -> DataFrame:
-    """(gene, k, value): Y'X over spots that have loadings."""
-    x = loadings.select("spot_id", "k", "v")
-    return expr.join(x, "spot_id").groupBy("gene", "k").agg(F.sum(F.col("value") * F.col("v")).alias("value"))
+SPOT = ["replicate", "spot_id"]
+
+
+def cross(expr: DataFrame, loadings: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """([by], gene, k, value): Y'X over spots that have loadings, ``by`` being further columns of ``expr``."""
+    by = by or []
+    x = loadings.groupBy(*SPOT).agg(F.collect_list(F.struct("k", "v")).alias("x"))
+    rows = expr.join(x, SPOT).select(*by, "gene", "value", F.explode("x").alias("e"))
+    return rows.groupBy(*by, "gene", "e.k").agg(F.sum(F.col("value") * F.col("e.v")).alias("value"))
 
 
 def simplex_columns(weights: DataFrame) -> DataFrame:
     """(gene, k, w): non-negative weights divided by their sum per factor."""
     total = weights.groupBy("k").agg(F.sum("value").alias("t"))
-    return weights.join(total, "k").select("gene", "k", (F.col("value") / F.col("t")).alias("w"))
+    return weights.join(small(total), "k").select("gene", "k", (F.col("value") / F.col("t")).alias("w"))
 
 
 def residuals(expr: DataFrame, loadings: DataFrame, weights: DataFrame) -> DataFrame:
     """(replicate, n, loss, sigma): squared residual of Y - X M' over spots with loadings, without forming it, and its
     root mean over spots and genes."""
-    x = loadings.select("spot_id", "k", "v")
-    own = expr.join(x.select("spot_id").distinct(), "spot_id", "left_semi")
-    yy = own.groupBy("replicate").agg(F.sum(F.col("value") * F.col("value")).alias("yy"), F.count_distinct("spot_id").alias("n"))
-    yx = own.join(weights, "gene").join(x, ["spot_id", "k"]).groupBy("replicate").agg(F.sum(F.col("value") * F.col("w") * F.col("v")).alias("yx"))
-    mm = weights.select("gene", F.col("k").alias("i"), F.col("w").alias("a")).join(weights.select("gene", F.col("k").alias("j"), F.col("w").alias("b")), "gene").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("m"))
-    spots = own.select("replicate", "spot_id").distinct()
-    xi = spots.join(x.select("spot_id", F.col("k").alias("i"), F.col("v").alias("a")), "spot_id")
-    xx = xi.join(x.select("spot_id", F.col("k").alias("j"), F.col("v").alias("b")), "spot_id").groupBy("replicate", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("x"))
-    quad = xx.join(mm, ["i", "j"]).groupBy("replicate").agg(F.sum(F.col("x") * F.col("m")).alias("q"))
-    genes = expr.agg(F.count_distinct("gene").alias("g")).withColumn("__all", F.lit(0))
-    out = yy.join(yx, "replicate").join(quad, "replicate").withColumn("loss", F.col("yy") - 2 * F.col("yx") + F.col("q"))
-    return out.withColumn("__all", F.lit(0)).join(genes, "__all").select("replicate", "n", "loss", F.sqrt(F.col("loss") / (F.col("n") * F.col("g"))).alias("sigma"))
+    k = loadings.agg(F.max("k")).first()[0] or 1
+    x, w = packed(loadings, k, out="x"), packed(weights, k, ("gene",), v="w", out="m")
+    own = expr.join(x, SPOT).join(w, "gene", "left")
+    fit = F.coalesce(dot(F.col("x"), F.col("m")), F.lit(0.0))
+    sums = own.groupBy("replicate").agg(F.sum(F.col("value") * F.col("value")).alias("yy"), F.sum(F.col("value") * fit).alias("yx"))
+    mm = w.select(F.posexplode("m").alias("i", "a"), "m").select("i", "a", F.posexplode("m").alias("j", "b")).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("m"))
+    spots = x.join(expr.select(*SPOT).distinct(), SPOT, "left_semi")
+    xx = spots.select("replicate", F.posexplode("x").alias("i", "a"), "x").select("replicate", "i", "a", F.posexplode("x").alias("j", "b")).groupBy("replicate", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("x"), F.count(F.lit(1)).alias("n"))
+    quad = xx.join(small(mm), ["i", "j"]).groupBy("replicate").agg(F.sum(F.col("x") * F.col("m")).alias("q"), F.max("n").alias("n"))
+    genes = expr.agg(F.count_distinct("gene")).first()[0]
+    out = sums.join(quad, "replicate").withColumn("loss", F.col("yy") - 2 * F.col("yx") + F.col("q"))
+    return out.select("replicate", "n", "loss", F.sqrt(F.col("loss") / (F.col("n") * genes)).alias("sigma"))
 
 
 def project_simplex(columns: np.ndarray, floor: float = FLOOR) -> np.ndarray:
@@ -108,40 +114,82 @@ def packed_spots(expr: DataFrame, genes: DataFrame) -> DataFrame:
     return cells.select(F.col("replicate").cast("string").alias("replicate"), "spot_id", F.col("c.g").alias("g"), F.col("c.value").cast("array<double>").alias("y"))
 
 
-def _pass(spots: DataFrame, weights: np.ndarray, with_loadings: bool) -> DataFrame:
-    """Loadings of every spot for the given weights."""
-    k = weights.shape[1]
-    schema = "replicate string, spot_id long, g array<int>, y array<double>, x array<double>"
+def flat_cells(g, y) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gene numbers, values and row numbers of all cells of a batch of sparse rows."""
+    sizes = np.array([len(v) for v in g], np.int64)
+    cols = np.concatenate([np.zeros(0, np.int64), *(np.asarray(v, np.int64) for v in g)])
+    vals = np.concatenate([np.zeros(0), *(np.asarray(v, float) for v in y)])
+    return cols, vals, np.repeat(np.arange(len(sizes)), sizes)
+
+
+def spot_products(g, y, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Y M, sums of squares) of a batch of sparse rows (gene numbers, values), all rows at once."""
+    cols, vals, owner = flat_cells(g, y)
+    out = np.stack([np.bincount(owner, weights=vals * weights[cols, i], minlength=len(g)) for i in range(weights.shape[1])], axis=1)
+    return out, np.bincount(owner, weights=vals * vals, minlength=len(g))
+
+
+class _Sums:
+    """X'X, Y'X, the sum of squares of Y and the number of spots per replicate, added up batch by batch."""
+
+    def __init__(self, n_genes: int, k: int):
+        self.n_genes, self.k, self.total = n_genes, k, {}
+
+    def add(self, rep: str, g, y, x: np.ndarray) -> None:
+        cols, vals, owner = flat_cells(g, y)
+        s = self.total.setdefault(rep, [np.zeros((self.k, self.k)), np.zeros((self.n_genes, self.k)), 0.0, 0])
+        s[0] += x.T @ x
+        for i in range(self.k):
+            s[1][:, i] += np.bincount(cols, weights=vals * x[owner, i], minlength=self.n_genes)
+        s[2] += float((vals * vals).sum())
+        s[3] += len(x)
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        for rep, (xx, yx, yy, n) in self.total.items():
+            yield pd.DataFrame({"replicate": [rep], "spot_id": pd.array([None], dtype="Int64"), "x": [None], "sums": [np.concatenate((xx.ravel(), yx.ravel(), [yy, n])).tolist()]})
+
+
+_PASS = "replicate string, spot_id long, x array<double>, sums array<double>"
+
+
+def loadings_pass(spots: DataFrame, weights: dict[str, np.ndarray], with_loadings: bool) -> DataFrame:
+    """(replicate, spot_id, x, sums): loadings of every spot for its replicate's weights; and, in rows without a spot,
+    each task's sums for the next weights.
+
+    ``spots`` holds (replicate, spot_id, g, y) and the former loadings x."""
+    n_genes, k = next(iter(weights.values())).shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram = weights.T @ weights
-        for t in batches:
-            c = np.array([np.asarray(y) @ weights[np.asarray(g)] for g, y in zip(t["g"], t["y"], strict=True)]).reshape(-1, k)
-            start = np.array(t["x"].tolist()) if with_loadings else np.repeat(np.array([np.sum(y) / k for y in t["y"]])[:, None], k, axis=1)
-            yield t[["replicate", "spot_id", "g", "y"]].assign(x=list(solve_loadings(c, gram, np.maximum(start, FLOOR))))
+        sums = _Sums(n_genes, k)
+        for batch in batches:
+            for rep, t in batch.groupby("replicate"):
+                m = weights[rep]
+                c, _ = spot_products(t["g"], t["y"], m)
+                start = np.array(t["x"].tolist()) if with_loadings else np.repeat(np.array([np.sum(y) / k for y in t["y"]])[:, None], k, axis=1)
+                x = solve_loadings(c, m.T @ m, np.maximum(start, FLOOR))
+                sums.add(rep, t["g"], t["y"], x)
+                yield pd.DataFrame({"replicate": t["replicate"], "spot_id": t["spot_id"], "x": list(x), "sums": [None] * len(t)})
+        yield from sums.rows()
 
-    return spots.mapInPandas(run, schema)
+    return spots.mapInPandas(run, _PASS)
 
 
-def _sums(spots: DataFrame, n_genes: int, k: int) -> dict[str, dict]:
-    """Per replicate: X'X, Y'X, the sum of squares of Y and the number of spots (factors x genes numbers each)."""
+def loading_sums(spots: DataFrame, n_genes: int, k: int) -> dict[str, dict]:
+    """The sums of given loadings x, per replicate."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, list] = {}
-        for t in batches:
-            for rep, rows in t.groupby("replicate"):
-                x = np.array(rows["x"].tolist())
-                s = total.setdefault(rep, [np.zeros((k, k)), np.zeros((n_genes, k)), 0.0, 0])
-                s[0] += x.T @ x
-                for g, y, xi in zip(rows["g"], rows["y"], x, strict=True):
-                    s[1][np.asarray(g)] += np.outer(y, xi)
-                    s[2] += float(np.dot(y, y))
-                s[3] += len(rows)
-        for rep, (xx, yx, yy, n) in total.items():
-            yield pd.DataFrame({"replicate": [rep], "s": [np.concatenate((xx.ravel(), yx.ravel(), [yy, n])).tolist()]})
-
-    parts = spots.mapInPandas(run, "replicate string, s array<double>")
-    flat = parts.select("replicate", F.posexplode("s").alias("p", "v")).groupBy("replicate", "p").agg(F.sum("v").alias("v"))
+        sums = _Sums(n_genes, k)
+        for batch in batches:
+            for rep, t in batch.groupby("replicate"):
+                sums.add(rep, t["g"], t["y"], np.array(t["x"].tolist()))
+        yield from sums.rows()
+
+    return _sums(spots.select("replicate", "spot_id", "g", "y", "x").mapInPandas(run, _PASS), n_genes, k)
+
+
+def _sums(found: DataFrame, n_genes: int, k: int) -> dict[str, dict]:
+    """Per replicate: X'X, Y'X, the sum of squares of Y and the number of spots (factors x genes numbers each)."""
+    flat = found.where("sums IS NOT NULL").select("replicate", F.posexplode("sums").alias("p", "v")).groupBy("replicate", "p").agg(F.sum("v").alias("v"))
     out: dict[str, dict] = {}
     for rep, rows in flat.toPandas().groupby("replicate"):
         v = rows.sort_values("p")["v"].to_numpy()
@@ -153,22 +201,33 @@ def _loss(s: dict, m: np.ndarray) -> float:
     return float(s["yy"] - 2 * np.sum(s["yx"] * m) + np.sum(s["xx"] * (m.T @ m)))
 
 
-def fit_nmf(expr: DataFrame, factors: int, iterations: int = 5, seed: int = 0) -> FactorModel:
-    """Alternate loadings and weights; replicates are weighted by their noise (sigma), re-estimated each iteration."""
+def fit_nmf(expr: DataFrame, factors: int, iterations: int = 50, seed: int = 0, tol: float = 1e-3, start: np.ndarray | None = None) -> FactorModel:
+    """Alternate loadings and weights until the loss falls by less than ``tol`` of itself, ``iterations`` times at most.
+
+    Replicates are weighted by their noise (sigma), re-estimated each iteration.  An iteration is one pass over the packed
+    spots, which stay where they are; only the loadings are written anew."""
     genes = sorted(r.gene for r in expr.select("gene").distinct().collect())  # one short name per gene
     numbered = expr.sparkSession.createDataFrame(list(zip(genes, range(len(genes)), strict=True)), "gene string, g int")
     spots = materialize(packed_spots(expr, numbered), "factor-spots")
+    names = sorted(r.replicate for r in spots.select("replicate").distinct().collect())
     rng = np.random.default_rng(seed)
-    m = project_simplex(rng.gamma(1.0, 1.0, (len(genes), factors)) / len(genes))
+    m = project_simplex(rng.gamma(1.0, 1.0, (len(genes), factors)) / len(genes)) if start is None else start
     sigma: dict[str, float] = {}
     losses: list[float] = []
+    found = None
     for i in range(iterations):
-        spots = materialize(_pass(spots, m, with_loadings=i > 0), "factor-loadings")
-        sums = _sums(spots, len(genes), factors)
+        rows = spots.withColumn("x", F.lit(None).cast("array<double>")) if found is None else spots.join(found.where("spot_id IS NOT NULL").select(*SPOT, "x"), SPOT)
+        after = materialize(loadings_pass(rows, dict.fromkeys(names, m), with_loadings=i > 0), "factor-loadings")
+        if found is not None:
+            discard(found)
+        found = after
+        sums = _sums(found, len(genes), factors)
         sigma = {r: float(np.sqrt(max(_loss(s, m), 1e-12) / (s["n"] * len(genes)))) for r, s in sums.items()}
         m = solve_weights(sum(s["xx"] / sigma[r] ** 2 for r, s in sums.items()), sum(s["yx"] / sigma[r] ** 2 for r, s in sums.items()), m)
         losses.append(sum(_loss(s, m) for s in sums.values()))
-    loadings = spots.select("replicate", "spot_id", F.posexplode("x").alias("k", "v")).withColumn("k", F.col("k") + 1)
+        if i and losses[-2] - losses[-1] < tol * losses[-2]:
+            break
+    loadings = found.where("spot_id IS NOT NULL").select(*SPOT, F.posexplode("x").alias("k", "v")).withColumn("k", F.col("k") + 1)
     return FactorModel(genes, m, loadings, sigma, losses)
 
 

@@ -9,30 +9,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotloom.functions.scratch import materialize
-from spotloom.operators.factors import FLOOR, project_simplex
+from spotloom.functions.scratch import discard, materialize
+from spotloom.operators.factors import FLOOR, project_simplex, spot_products
 
 
 def colour_graph(edges: DataFrame, seed: int = 0, max_rounds: int = 200) -> DataFrame:
-    """(spot_id, colour): no edge joins equal colours.
+    """(replicate, spot_id, colour): no edge joins equal colours.
 
     Rounds of independent sets: in each, the uncoloured spots whose hash is smallest among uncoloured neighbours get the
     round's number.  A few rounds beyond the maximum degree's logarithm suffice, whatever the number of spots.
     """
     rank = lambda c: F.struct(F.xxhash64(c, F.lit(seed)), F.col(c))
-    left = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "colour-edges")
+    at = lambda side: [F.col("replicate"), F.col("spot_id").alias(side)]
+    left = materialize(edges.where("src <> dst").select("replicate", "src", "dst").distinct(), "colour-edges")
     done = None
     for colour in range(max_rounds):
-        low = left.groupBy("src").agg(F.min(rank("dst")).alias("near"))
-        chosen = low.where(rank("src") < F.col("near")).select(F.col("src").alias("spot_id"), F.lit(colour).alias("colour"))
+        low = left.groupBy("replicate", "src").agg(F.min(rank("dst")).alias("near"))
+        chosen = low.where(rank("src") < F.col("near")).select("replicate", F.col("src").alias("spot_id"), F.lit(colour).alias("colour"))
         chosen = materialize(chosen, "colour")
         done = chosen if done is None else done.union(chosen)
-        gone = chosen.select("spot_id")
-        rest = left.join(gone, left.src == gone.spot_id, "left_anti")
-        kept = materialize(rest.join(gone, rest.dst == gone.spot_id, "left_anti"), "colour-edges")
+        rest = left.join(chosen.select(*at("src")), ["replicate", "src"], "left_anti")
+        kept = materialize(rest.join(chosen.select(*at("dst")), ["replicate", "dst"], "left_anti"), "colour-edges")
         # spots whose neighbours are all coloured now have no edge left; they come last, each colour being free for them
-        alone = rest.select("src").distinct().join(kept.select("src").distinct(), "src", "left_anti").select(F.col("src").alias("spot_id"), F.lit(colour + 1).alias("colour"))
+        alone = rest.select("replicate", "src").distinct().join(kept.select("replicate", "src").distinct(), ["replicate", "src"], "left_anti").select("replicate", F.col("src").alias("spot_id"), F.lit(colour + 1).alias("colour"))
         done = materialize(done.union(alone), "coloured")
+        discard(left)
         left = kept
         if left.isEmpty():
             return done
@@ -54,8 +55,8 @@ def _solve_simplex(c: np.ndarray, gram: np.ndarray, pull: np.ndarray, scale: np.
     return z
 
 
-def spatial_loadings(spots: DataFrame, edges: DataFrame, weights: np.ndarray, affinity: np.ndarray, sigma: float, rounds: int = 3, epochs: int = 100) -> DataFrame:
-    """(replicate, spot_id, s, z) after ``rounds`` sweeps over the colours of the graph.
+def spatial_loadings(spots: DataFrame, edges: DataFrame, weights: np.ndarray, affinity: np.ndarray, sigma: float, rounds: int = 3, epochs: int = 100, tol: float = 0.0) -> DataFrame:
+    """(replicate, spot_id, s, z) after ``rounds`` sweeps over the colours of the graph, or until no spot moves by ``tol``.
 
     ``spots`` holds g, y (sparse expression) and x (current loadings).  A spot minimises
     |y - s M z|^2 / (2 sigma^2) + z . affinity . (sum of its neighbours' z), s having a closed form for fixed z.  Spots of
@@ -63,60 +64,94 @@ def spatial_loadings(spots: DataFrame, edges: DataFrame, weights: np.ndarray, af
     """
     k = weights.shape[1]
     gram = weights.T @ weights / sigma**2
-    start = spots.select("replicate", "spot_id", "g", "y", F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("s"), "x")
-    start = start.select("replicate", "spot_id", "g", "y", "s", F.transform("x", lambda v: v / F.greatest(F.col("s"), F.lit(FLOOR))).alias("z"))
-    colours = colour_graph(edges)
-    now = materialize(start.join(colours, "spot_id", "left").na.fill(0, ["colour"]), "spatial-spots")
-    top = now.agg(F.max("colour")).first()[0] or 0
+    key = ["replicate", "spot_id"]
+    start = spots.select(*key, "g", "y", F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("s"), "x")
+    start = start.select(*key, "g", "y", "s", F.transform("x", lambda v: v / F.greatest(F.col("s"), F.lit(FLOOR))).alias("z"))
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            if len(t):
+                c, yy = spot_products(t["g"], t["y"], weights)
+                yield t[["replicate", "spot_id", "colour", "s", "z"]].assign(c=list(c), yy=yy)
+
+    static = "replicate string, spot_id long, colour int, s double, z array<double>, c array<double>, yy double"
+    coloured = start.join(colour_graph(edges), key, "left").na.fill(0, ["colour"])
+    # expression enters only through its products with the weights, so a sweep moves a few numbers a spot
+    fixed = materialize(coloured.mapInPandas(project, static), "spatial-spots")
+    state = materialize(fixed.select(*key, "colour", "s", "z"), "spatial-state")
+    fixed = fixed.select(*key, "c")
+    top = state.agg(F.max("colour")).first()[0] or 0
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
             if not len(t):
                 continue
-            c = np.array([np.asarray(y) @ weights[np.asarray(g)] for g, y in zip(t["g"], t["y"], strict=True)]).reshape(-1, k) / sigma**2
-            z = np.array(t["z"].tolist())
+            c, z = np.array(t["c"].tolist()) / sigma**2, np.array(t["z"].tolist())
             pull = np.array([np.zeros(k) if v is None else v for v in t["nu"]]) @ affinity
             for _ in range(5):
                 s = np.maximum((c * z).sum(axis=1) / np.maximum((z @ gram * z).sum(axis=1), 1e-12), 1e-5)
                 z = _solve_simplex(c, gram, pull, s, z, epochs, 1e-5)
-            yield t[["replicate", "spot_id", "g", "y", "colour"]].assign(s=s, z=list(z))
+            yield t[["replicate", "spot_id", "colour"]].assign(s=s, z=list(z))
 
-    cols = ["replicate", "spot_id", "g", "y", "colour", "s", "z"]
-    schema = "replicate string, spot_id long, g array<int>, y array<double>, colour int, s double, z array<double>"
+    cols = [*key, "colour", "s", "z"]
     for _ in range(rounds):
+        before = state
         for colour in range(top + 1):
-            own = now.where(F.col("colour") == colour)
-            z = now.select(F.col("spot_id").alias("dst"), "z")
-            near = edges.join(own.select(F.col("spot_id").alias("src")), "src", "left_semi").join(z, "dst")
-            nu = near.groupBy(F.col("src").alias("spot_id")).agg(F.array(*[F.sum(F.col("z")[i]) for i in range(k)]).alias("nu"))
-            moved = own.join(nu, "spot_id", "left").select(*cols, "nu").mapInPandas(solve, schema)
-            now = materialize(now.where(F.col("colour") != colour).select(*cols).union(moved.select(*cols)), "spatial-spots")
-    return now.select("replicate", "spot_id", "s", "z")
+            own = state.where(F.col("colour") == colour)
+            near = edges.select("replicate", "src", "dst").join(own.select("replicate", F.col("spot_id").alias("src")), ["replicate", "src"], "left_semi")
+            near = near.join(state.select("replicate", F.col("spot_id").alias("dst"), "z"), ["replicate", "dst"])
+            nu = near.groupBy("replicate", F.col("src").alias("spot_id")).agg(F.array(*[F.sum(F.col("z")[i]) for i in range(k)]).alias("nu"))
+            moved = own.join(fixed, key).join(nu, key, "left").select(*cols, "c", "nu").mapInPandas(solve, "replicate string, spot_id long, colour int, s double, z array<double>")
+            state = materialize(state.where(F.col("colour") != colour).select(*cols).union(moved.select(*cols)), "spatial-state")
+        if tol:
+            old = before.select(*key, F.col("z").alias("was"))
+            moved = state.join(old, key).agg(F.max(F.aggregate(F.zip_with("z", "was", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda t, x: t + x))).first()[0]
+            if (moved or 0.0) < tol:
+                break
+    return state.select(*key, "s", "z")
 
 
-def superresolve(cells: DataFrame, weights: np.ndarray, sigma: float, epochs: int = 500) -> DataFrame:
+def superresolve(cells: DataFrame, weights: np.ndarray, sigma: float, rounds: int = 300, tol: float = 1e-6) -> DataFrame:
     """(replicate, bin_id, spot_id, x): loadings below bins whose sum is drawn to the bin's loadings.
 
-    ``cells`` holds replicate, bin_id, spot_id, g, y and xb (the bin's loadings).  The problem
-    |Y - X M'|^2 / (2 sigma^2) + |xb - sum of X|^2 / 2 separates by bin, so bins are solved apart; a bin holds a bounded
-    number of spots by construction.
+    ``cells`` holds replicate, bin_id, spot_id, g, y and xb (the bin's loadings).  Minimises
+    |Y - X M'|^2 / (2 sigma^2) + |xb - sum of X|^2 / 2 by accelerated projected gradient.  A step needs the sum of X over a
+    bin only: sums are added before they move and joined back, so a bin may hold any number of spots; steps stop
+    when no loading moves by ``tol`` of the largest.
     """
     k = weights.shape[1]
+    gram = weights.T @ weights / sigma**2
+    key, vec = ["replicate", "bin_id"], "array<double>"
+    schema = f"replicate string, bin_id int, spot_id long, c {vec}, xb {vec}, x {vec}, y {vec}"
+    size = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    largest = size.agg(F.max("n")).first()[0] or 1
+    step = 1 / (np.linalg.eigvalsh(gram)[-1] + largest)
 
-    def solve(t: pd.DataFrame) -> pd.DataFrame:
-        c = np.array([np.asarray(y) @ weights[np.asarray(g)] for g, y in zip(t["g"], t["y"], strict=True)]).reshape(-1, k) / sigma**2
-        xb = np.asarray(t["xb"].iloc[0])
-        gram, n = weights.T @ weights / sigma**2, len(t)
-        x = np.repeat(xb[None, :] / n, n, axis=0)
-        y, step, m = x.copy(), 1 / (np.linalg.eigvalsh(gram)[-1] + n), 1.0
-        for _ in range(epochs):
-            new = np.maximum(y - step * (y @ gram - c + (y.sum(axis=0) - xb)), FLOOR)
-            m_new = (1 + np.sqrt(1 + 4 * m * m)) / 2
-            y = new + (m - 1) / m_new * (new - x)
-            change = np.abs(new - x).max()
-            x, m = new, m_new
-            if change < 1e-8 * max(1.0, xb.max()):
-                break
-        return t[["replicate", "bin_id", "spot_id"]].assign(x=list(x))
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            if len(t):
+                x = np.array(t["xb"].tolist()) / t["n"].to_numpy()[:, None]
+                c, _ = spot_products(t["g"], t["y"], weights)
+                yield t[["replicate", "bin_id", "spot_id", "xb"]].assign(c=list(c / sigma**2), x=list(x), y=list(x))[["replicate", "bin_id", "spot_id", "c", "xb", "x", "y"]]
 
-    return cells.groupBy("replicate", "bin_id").applyInPandas(solve, "replicate string, bin_id int, spot_id long, x array<double>")
+    state = materialize(cells.join(size, key).mapInPandas(begin, schema), "fine-loadings")
+    m = 1.0
+    for _ in range(rounds):
+        m_new = (1 + np.sqrt(1 + 4 * m * m)) / 2
+        push = (m - 1) / m_new
+
+        def move(batches: Iterator[pd.DataFrame], push: float = push) -> Iterator[pd.DataFrame]:
+            for t in batches:
+                if len(t):
+                    x, y, c = (np.array(t[n].tolist()) for n in ("x", "y", "c"))
+                    new = np.maximum(y - step * (y @ gram - c + np.array(t["total"].tolist()) - np.array(t["xb"].tolist())), FLOOR)
+                    yield t[["replicate", "bin_id", "spot_id", "c", "xb"]].assign(x=list(new), y=list(new + push * (new - x)), moved=np.abs(new - x).max(axis=1), top=new.max(axis=1))
+
+        total = state.groupBy(*key).agg(F.array(*[F.sum(F.col("y")[i]) for i in range(k)]).alias("total"))
+        after = materialize(state.join(total, key).mapInPandas(move, schema + ", moved double, top double"), "fine-loadings")
+        discard(state)
+        state, m = after, m_new
+        worst = after.agg(F.max("moved").alias("moved"), F.max("top").alias("top")).first()
+        if (worst.moved or 0.0) < tol * max(1.0, worst.top or 0.0):
+            break
+    return state.select("replicate", "bin_id", "spot_id", "x")

@@ -27,13 +27,35 @@ SPOTS_SQL = "SELECT 'r' || (vec_id % 2) AS replicate, vec_id AS spot_id, embeddi
 
 
 def embedding_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = F.transform(F.slice("embedding", 3, FACTORS), lambda v: F.abs(v.cast("double")))
+    """Factor k of a spot: the summed sizes of every ``FACTORS``-th entry of its vector, from the k-th on."""
+    sizes = F.transform("embedding", lambda v: F.abs(v.cast("double")))
+    fold = lambda k: F.aggregate(F.filter(sizes, lambda v, i: i % FACTORS == k), F.lit(0.0), lambda a, v: a + v)
+    folded = [fold(k) for k in range(FACTORS)]
     return table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("r"), (F.col("vec_id") % 2).cast("string")).alias("replicate"), F.col("vec_id").alias("spot_id"), F.posexplode(values).alias("k", "v")
+        F.concat(F.lit("r"), (F.col("vec_id") % 2).cast("string")).alias("replicate"), F.col("vec_id").alias("spot_id"), F.posexplode(F.array(*folded)).alias("k", "v")
     ).withColumn("k", F.col("k") + 1)
 
 
-EMBEDDING_SQL = f"SELECT 'r' || (vec_id % 2) AS replicate, vec_id AS spot_id, k::INT AS k, abs(embedding[2 + k]::DOUBLE) AS v FROM embeddings, range(1, {FACTORS + 1}) t(k)"
+EMBEDDING_SQL = f"""SELECT 'r' || (vec_id % 2) AS replicate, vec_id AS spot_id, k::INT AS k, list_sum([abs(embedding[i]::DOUBLE) for i in range(k, len(embedding) + 1, {FACTORS})]) AS v
+  FROM embeddings, range(1, {FACTORS + 1}) t(k)"""
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(replicate, spot_id, label, z): spots with their whole vectors."""
+    z = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("r"), (F.col("vec_id") % 2).cast("string")).alias("replicate"), F.col("vec_id").alias("spot_id"), "label", z.alias("z"))
+
+
+POINTS_SQL = "SELECT 'r' || (vec_id % 2) AS replicate, vec_id AS spot_id, label, embedding::DOUBLE[] AS z FROM embeddings"
+
+
+def spot_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``expression`` of the spots that ``spots`` holds too, in their replicates, with the region apart."""
+    rows = expression(spark, sf_dir).withColumnRenamed("replicate", "region")
+    return rows.withColumn("replicate", F.concat(F.lit("r"), (F.col("spot_id") % 2).cast("string")))
+
+
+SPOT_EXPRESSION_SQL = "SELECT replicate AS region, 'r' || (spot_id % 2) AS replicate, spot_id, gene, value FROM expr"
 
 
 def expression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +91,8 @@ KNN_SQL = """SELECT replicate, src, dst, sqrt(d2) AS distance, rank FROM (
            row_number() OVER (PARTITION BY a.spot_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.spot_id) AS rank
     FROM spots a JOIN spots b ON a.replicate = b.replicate AND a.spot_id <> b.spot_id) WHERE rank <= 6"""
 
-VIEWS = {"spots": SPOTS_SQL, "emb": EMBEDDING_SQL, "knn": KNN_SQL, "edges": EDGES_SQL, "expr": EXPRESSION_SQL, "cov": COVARIATES_SQL}
-_NEEDS = {"knn": ["spots"], "edges": ["spots", "knn"]}
+VIEWS = {"spots": SPOTS_SQL, "emb": EMBEDDING_SQL, "knn": KNN_SQL, "edges": EDGES_SQL, "expr": EXPRESSION_SQL, "cov": COVARIATES_SQL, "pts": POINTS_SQL, "exs": SPOT_EXPRESSION_SQL}
+_NEEDS = {"knn": ["spots"], "edges": ["spots", "knn"], "exs": ["expr"]}
 
 
 def with_views(names: str, body: str) -> str:
