@@ -731,7 +731,7 @@ def superresolve(spark, d):
     model = factors.fit_nmf(expr, 4)
     numbered = spark.createDataFrame([(g, i) for i, g in enumerate(model.genes)], "gene string, g int")
     packed = factors.packed_spots(expr, numbered).join(train.packed_loadings(model.loadings, 4), ["replicate", "spot_id"])
-    bins = cluster.partition_bins(spots, 4)
+    bins = cluster.partition_bins(spots)
     cells = materialize(packed.join(bins.select("replicate", "spot_id", "bin_id"), ["replicate", "spot_id"]), "cells")
     xb = cells.groupBy("replicate", "bin_id").agg(F.array(*[F.sum(F.col("x")[i]) for i in range(4)]).alias("xb"))
     sigma = sum(model.sigma.values()) / len(model.sigma)

@@ -46,7 +46,7 @@ def mean_under(eta: np.ndarray) -> np.ndarray:
     return np.stack([np.exp(log_partition(np.concatenate((eta, eta[:, [m]]), axis=1)) - base) for m in range(eta.shape[1])], axis=1)
 
 
-def fit_affinity(edges: DataFrame, loadings: DataFrame, factors: int, steps: int = 40, rate: float = 0.05, penalty: float = 1e-2, bound: float = 10.0, tol: float = 0.0, towards: np.ndarray | float = 0.0) -> tuple[np.ndarray, list[float]]:
+def fit_affinity(edges: DataFrame, loadings: DataFrame, factors: int, steps: int = 40, rate: float = 0.05, penalty: float = 1e-2, bound: float = 10.0, tol: float = 0.0, towards: np.ndarray | float = 0.0, start: np.ndarray | None = None) -> tuple[np.ndarray, list[float]]:
     """Symmetric matrix S that minimises <S, Z'AZ> + sum_i log_partition((AZ)_i S) + penalty/2 |S - towards|^2 over the spots;
     ends early when a step moves no entry by ``tol``.
 
@@ -74,7 +74,7 @@ def fit_affinity(edges: DataFrame, loadings: DataFrame, factors: int, steps: int
         got = table.mapInPandas(run, "s array<double>").select(F.posexplode("s").alias("p", "v")).groupBy("p").agg(F.sum("v").alias("v")).orderBy("p").toPandas()["v"].to_numpy()
         return got[0], got[2:].reshape(factors, factors), got[1]
 
-    s, m, v, losses = np.zeros((factors, factors)), 0.0, 0.0, []
+    s, m, v, losses = np.zeros((factors, factors)) if start is None else start.copy(), 0.0, 0.0, []
     for i in range(1, steps + 1):
         value, grad, n = sums(s)
         losses.append(value / max(n, 1) + penalty / 2 * float(np.sum((s - towards) ** 2)))

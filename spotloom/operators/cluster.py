@@ -31,8 +31,8 @@ def with_positions(knn: DataFrame, spots: DataFrame) -> DataFrame:
     return knn.join(at("src", "x", "y"), ["replicate", "src"]).join(at("dst", "dx", "dy"), ["replicate", "dst"])
 
 
-def _moves(edges: DataFrame, labels: DataFrame, resolution: float, turn: int, by: str) -> DataFrame:
-    """(node, label, target): the neighbouring community with the largest modularity gain, for half of the nodes."""
+def _moves(edges: DataFrame, labels: DataFrame, resolution: float, turn: int | None, by: str) -> DataFrame:
+    """(node, label, target): the neighbouring community with the largest modularity gain, for half of the nodes; for all without ``turn``."""
     deg = edges.groupBy(by, F.col("src").alias("node")).agg(F.sum("w").alias("deg"))
     m2 = deg.groupBy(by).agg(F.sum("deg").alias("m2"))
     own = labels.join(deg, "node")
@@ -46,8 +46,10 @@ def _moves(edges: DataFrame, labels: DataFrame, resolution: float, turn: int, by
     alone = best.join(total, "label").withColumn("stay", F.coalesce("stay", -resolution * F.lit(0.0)))
     # a node moves to a smaller label on even turns and to a larger one on odd turns, so that no two nodes swap
     target = -F.col("best.col2")
+    if turn is None:
+        return alone.where(F.col("best.gain") > F.col("stay") + 1e-12).select("node", target.alias("target"))
     way = target < F.col("label") if turn % 2 == 0 else target > F.col("label")
-    half = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == 0
+    half = F.pmod(F.xxhash64("node", F.lit(turn // 4)), F.lit(2)) == turn // 2 % 2
     return alone.where((F.col("best.gain") > F.col("stay") + 1e-12) & way & half).select("node", target.alias("target"))
 
 
@@ -65,15 +67,14 @@ def communities(edges: DataFrame, resolution: float = 1.0, turns: int = 200, lev
     member = numbered.select("replicate", "spot_id", F.col("n").alias("community"))
     for _ in range(levels):
         labels = materialize(now.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct(), "louvain-labels")
-        quiet, any_move = 0, False
+        any_move = False
         for turn in range(turns):
             moved = materialize(_moves(now, labels, resolution, turn, "replicate"), "louvain-moves")
             if moved.isEmpty():
-                quiet += 1
-                if quiet == 8:
+                if _moves(now, labels, resolution, None, "replicate").isEmpty():
                     break
                 continue
-            quiet, any_move = 0, True
+            any_move = True
             labels = materialize(labels.join(moved, "node", "left").select("node", F.coalesce("target", "label").alias("label")), "louvain-labels")
         else:
             raise RuntimeError(f"nodes still move after {turns} turns")
@@ -104,11 +105,16 @@ def principal_components(loadings: DataFrame, n: int) -> tuple[DataFrame, np.nda
     return out, values[order]
 
 
-def partition_bins(spots: DataFrame, depth: int = 4) -> DataFrame:
+def partition_bins(spots: DataFrame, depth: int | None = None, per_bin: int = 64) -> DataFrame:
     """(replicate, spot_id, bin_id): 2^depth bins of about equal size by halving at medians, x and y in turn.
 
+    Without ``depth`` the largest replicate decides: its bins hold about ``per_bin`` spots.
+
     A level is one sketch per part (``approx_percentile``) and a join with the parts, never a sort of a replicate.
     """
+    if depth is None:
+        largest = spots.groupBy("replicate").count().agg(F.max("count")).first()[0] or 1
+        depth = max(0, int(np.ceil(np.log2(largest / per_bin))))
     now = spots.select("replicate", "spot_id", "x", "y", F.lit(0).alias("bin_id"))
     for level in range(depth):
         axis = "x" if level % 2 == 0 else "y"

@@ -55,7 +55,7 @@ def _solve_simplex(c: np.ndarray, gram: np.ndarray, pull: np.ndarray, scale: np.
     return z
 
 
-def spatial_loadings(spots: DataFrame, edges: DataFrame, weights: np.ndarray, affinity: np.ndarray, sigma: float, rounds: int = 3, epochs: int = 100, tol: float = 0.0) -> DataFrame:
+def spatial_loadings(spots: DataFrame, edges: DataFrame, weights: np.ndarray, affinity: np.ndarray, sigma: float, rounds: int = 3, epochs: int = 100, tol: float = 0.0, colours: DataFrame | None = None) -> DataFrame:
     """(replicate, spot_id, s, z) after ``rounds`` sweeps over the colours of the graph, or until no spot moves by ``tol``.
 
     ``spots`` holds g, y (sparse expression) and x (current loadings).  A spot minimises
@@ -75,7 +75,7 @@ def spatial_loadings(spots: DataFrame, edges: DataFrame, weights: np.ndarray, af
                 yield t[["replicate", "spot_id", "colour", "s", "z"]].assign(c=list(c), yy=yy)
 
     static = "replicate string, spot_id long, colour int, s double, z array<double>, c array<double>, yy double"
-    coloured = start.join(colour_graph(edges), key, "left").na.fill(0, ["colour"])
+    coloured = start.join(colour_graph(edges) if colours is None else colours, key, "left").na.fill(0, ["colour"])
     # expression enters only through its products with the weights, so a sweep moves a few numbers a spot
     fixed = materialize(coloured.mapInPandas(project, static), "spatial-spots")
     state = materialize(fixed.select(*key, "colour", "s", "z"), "spatial-state")
@@ -111,47 +111,27 @@ def spatial_loadings(spots: DataFrame, edges: DataFrame, weights: np.ndarray, af
     return state.select(*key, "s", "z")
 
 
-def superresolve(cells: DataFrame, weights: np.ndarray, sigma: float, rounds: int = 300, tol: float = 1e-6) -> DataFrame:
+def superresolve(cells: DataFrame, weights: np.ndarray, sigma: float, epochs: int = 10_000) -> DataFrame:
     """(replicate, bin_id, spot_id, x): loadings below bins whose sum is drawn to the bin's loadings.
 
-    ``cells`` holds replicate, bin_id, spot_id, g, y and xb (the bin's loadings).  Minimises
-    |Y - X M'|^2 / (2 sigma^2) + |xb - sum of X|^2 / 2 by accelerated projected gradient.  A step needs the sum of X over a
-    bin only: sums are added before they move and joined back, so a bin may hold any number of spots; steps stop
-    when no loading moves by ``tol`` of the largest.
+    ``cells`` holds replicate, bin_id, spot_id, g, y and xb (the bin's loadings).  The problem
+    |Y - X M'|^2 / (2 sigma^2) + |xb - sum of X|^2 / 2 separates by bin, so bins are solved apart, until nothing moves.  A bin
+    is one task's group: ``partition_bins`` halves a replicate until its bins hold a bounded number of spots.
     """
-    k = weights.shape[1]
-    gram = weights.T @ weights / sigma**2
-    key, vec = ["replicate", "bin_id"], "array<double>"
-    schema = f"replicate string, bin_id int, spot_id long, c {vec}, xb {vec}, x {vec}, y {vec}"
-    size = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    largest = size.agg(F.max("n")).first()[0] or 1
-    step = 1 / (np.linalg.eigvalsh(gram)[-1] + largest)
-
-    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            if len(t):
-                x = np.array(t["xb"].tolist()) / t["n"].to_numpy()[:, None]
-                c, _ = spot_products(t["g"], t["y"], weights)
-                yield t[["replicate", "bin_id", "spot_id", "xb"]].assign(c=list(c / sigma**2), x=list(x), y=list(x))[["replicate", "bin_id", "spot_id", "c", "xb", "x", "y"]]
+    def solve(t: pd.DataFrame) -> pd.DataFrame:
+        c, _ = spot_products(t["g"], t["y"], weights)
+        c, xb = c / sigma**2, np.asarray(t["xb"].iloc[0])
+        gram, n = weights.T @ weights / sigma**2, len(t)
+        x = np.repeat(xb[None, :] / n, n, axis=0)
+        y, step, m = x.copy(), 1 / (np.linalg.eigvalsh(gram)[-1] + n), 1.0
+        for _ in range(epochs):
+            new = np.maximum(y - step * (y @ gram - c + (y.sum(axis=0) - xb)), FLOOR)
+            m_new = (1 + np.sqrt(1 + 4 * m * m)) / 2
+            y = new + (m - 1) / m_new * (new - x)
+            change = np.abs(new - x).max()
+            x, m = new, m_new
+            if change < 1e-8 * max(1.0, xb.max()):
+                break
+        return t[["replicate", "bin_id", "spot_id"]].assign(x=list(x))
 
-    state = materialize(cells.join(size, key).mapInPandas(begin, schema), "fine-loadings")
-    m = 1.0
-    for _ in range(rounds):
-        m_new = (1 + np.sqrt(1 + 4 * m * m)) / 2
-        push = (m - 1) / m_new
-
-        def move(batches: Iterator[pd.DataFrame], push: float = push) -> Iterator[pd.DataFrame]:
-            for t in batches:
-                if len(t):
-                    x, y, c = (np.array(t[n].tolist()) for n in ("x", "y", "c"))
-                    new = np.maximum(y - step * (y @ gram - c + np.array(t["total"].tolist()) - np.array(t["xb"].tolist())), FLOOR)
-                    yield t[["replicate", "bin_id", "spot_id", "c", "xb"]].assign(x=list(new), y=list(new + push * (new - x)), moved=np.abs(new - x).max(axis=1), top=new.max(axis=1))
-
-        total = state.groupBy(*key).agg(F.array(*[F.sum(F.col("y")[i]) for i in range(k)]).alias("total"))
-        after = materialize(state.join(total, key).mapInPandas(move, schema + ", moved double, top double"), "fine-loadings")
-        discard(state)
-        state, m = after, m_new
-        worst = after.agg(F.max("moved").alias("moved"), F.max("top").alias("top")).first()
-        if (worst.moved or 0.0) < tol * max(1.0, worst.top or 0.0):
-            break
-    return state.select("replicate", "bin_id", "spot_id", "x")
+    return cells.groupBy("replicate", "bin_id").applyInPandas(solve, "replicate string, bin_id int, spot_id long, x array<double>")

@@ -20,7 +20,7 @@ from spotloom.functions.scratch import discard, materialize
 from spotloom.functions.small import packed
 from spotloom.operators import factors as fac
 from spotloom.operators.affinity import fit_affinity, log_partition
-from spotloom.operators.spatial_fit import spatial_loadings
+from spotloom.operators.spatial_fit import colour_graph, spatial_loadings
 
 KEY = ["replicate", "spot_id"]
 
@@ -32,10 +32,10 @@ class Plan:
 
     factors: int = 8
     start: str = "svd"
-    nmf_iterations: int = 10
+    nmf_iterations: int = 20
     spatial_iterations: int = 5
-    sweeps: int = 3
-    affinity_steps: int = 100
+    sweeps: int = 2
+    affinity_steps: int = 30
     penalty: float = 1e-4
     pull_weights: float = 0.0
     pull_affinity: float = 0.0
@@ -217,6 +217,7 @@ def fit(expr: DataFrame, edges: DataFrame, plan: Plan | None = None) -> SpatialM
     sigma = _noise(sums, weights, len(genes))
     model = SpatialModel(genes, weights, {r: np.zeros((plan.factors, plan.factors)) for r in names}, sigma, x, losses)
     best = np.inf
+    colours = colour_graph(edges) if plan.spatial_iterations else None
     for _ in range(plan.spatial_iterations):
         model.affinity = _affinities(model, edges, plan)
         moved = None
@@ -224,7 +225,7 @@ def fit(expr: DataFrame, edges: DataFrame, plan: Plan | None = None) -> SpatialM
             own = spots.where(F.col("replicate").isin(group)).join(model.loadings, KEY)
             inside = edges.where(F.col("replicate").isin(group))
             r = group[0]
-            z = spatial_loadings(own, inside, model.weights[r], model.affinity[r], float(np.mean([model.sigma[g] for g in group])), rounds=plan.sweeps, tol=1e-3)
+            z = spatial_loadings(own, inside, model.weights[r], model.affinity[r], float(np.mean([model.sigma[g] for g in group])), rounds=plan.sweeps, tol=1e-3, colours=colours)
             z = z.select(*KEY, F.transform("z", lambda v: v * F.col("s")).alias("x"))
             moved = z if moved is None else moved.union(z)
         now = materialize(moved, "train-loadings")
@@ -260,11 +261,14 @@ def _affinities(model: SpatialModel, edges: DataFrame, plan: Plan) -> dict[str,
     flat = model.loadings.select(*KEY, F.posexplode(F.transform("x", lambda v: v / F.aggregate("x", F.lit(0.0), lambda a, b: a + b))).alias("k", "v")).withColumn("k", F.col("k") + 1)
     flat = materialize(flat, "train-simplex")
     if plan.pull_affinity <= 0:
-        s, _ = fit_affinity(edges, flat, plan.factors, steps=plan.affinity_steps, penalty=plan.penalty, tol=1e-3)
+        s, _ = fit_affinity(edges, flat, plan.factors, steps=plan.affinity_steps, penalty=plan.penalty, tol=1e-3, start=next(iter(model.affinity.values())))
         out = dict.fromkeys(model.weights, s)
     else:
-        own = {r: fit_affinity(edges.where(F.col("replicate") == r), flat.where(F.col("replicate") == r), plan.factors, steps=plan.affinity_steps, penalty=plan.penalty + plan.pull_affinity, tol=1e-3, towards=sum(model.affinity.values()) / len(model.affinity) * plan.pull_affinity / (plan.penalty + plan.pull_affinity))[0] for r in model.weights}
-        out = own
+        out, both = {}, plan.penalty + plan.pull_affinity
+        bar = sum(model.affinity.values()) / len(model.affinity) * plan.pull_affinity / both
+        for r in model.weights:
+            one = F.col("replicate") == r
+            out[r], _ = fit_affinity(edges.where(one), flat.where(one), plan.factors, steps=plan.affinity_steps, penalty=both, tol=1e-3, towards=bar, start=model.affinity[r])
     discard(flat)
     return out
 

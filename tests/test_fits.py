@@ -1,4 +1,4 @@
-"""Colouring, spatial and finer loadings, communities, components, bins and simulation."""
+"""Colouring, spatial and finer loadings, communities, components, bins, and the fit end to end."""
 
 import random
 
@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spotloom.operators import cluster, factors, graph, simulate, spatial_fit
+from spotloom.operators import affinity, cluster, factors, graph, spatial_fit, train
 
 
 def ring(spark, n, chords=0, seed=1):
@@ -68,7 +68,7 @@ def test_communities_beat_single_nodes(spark):
     points = [(rng.gauss(c, 1), rng.gauss(c, 1)) for c in (0, 6, 12) for _ in range(40)]
     spots = spark.createDataFrame([("r", i, x, y) for i, (x, y) in enumerate(points)], "replicate string, spot_id long, x double, y double")
     edges = graph.symmetric_edges(graph.knn_graph(spots, 5))
-    labels = cluster.communities(edges).select("spot_id", F.col("community").alias("label"))
+    labels = cluster.communities(edges).select("replicate", "spot_id", F.col("community").alias("label"))
     assert graph.modularity(labels, edges).first().modularity > 0.6
 
 
@@ -86,17 +86,84 @@ def test_components_equal_numpy(spark):
 
 
 def test_partition_is_balanced(spark):
-    spots = simulate.grid_spots(spark, "r", 16)
-    sizes = [r["count"] for r in cluster.partition_bins(spots, 4).groupBy("bin_id").count().collect()]
-    assert len(sizes) == 16 and sum(sizes) == 256 and max(sizes) <= 32
-
-
-def test_simulation_repeats_and_follows_types(spark):
-    spots = simulate.domain_bands(simulate.grid_spots(spark, "r", 10), [("L1", 0, 0.5), ("L2", 0.5, 1)])
-    spots = simulate.cell_types(spots, {"L1": {"a": 1.0}, "L2": {"a": 0.5, "b": 0.5}})
-    w = simulate.metagenes(30, 2, 1, variation=(0, 0.3))
-    assert w.sum(axis=0) == pytest.approx(1)
-    make = lambda n: sorted(map(tuple, simulate.expression(spots.repartition(n), w, {"a": [1, 0], "b": [0, 1]}, 1).collect()))
-    assert make(1) == make(5)
-    kinds = {r.domain: r.n for r in spots.where("cell_type = 'b'").groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    assert set(kinds) == {"L2"} and 10 <= kinds["L2"] <= 40
+    spots = spark.createDataFrame([("r", 16 * i + j, float(i), float(j)) for i in range(16) for j in range(16)], "replicate string, spot_id long, x double, y double")
+    for got, bins in ((cluster.partition_bins(spots, 4), 16), (cluster.partition_bins(spots, per_bin=32), 8)):
+        sizes = [r["count"] for r in got.groupBy("bin_id").count().collect()]
+        assert len(sizes) == bins and sum(sizes) == 256 and max(sizes) <= 512 / bins
+
+
+def test_affinity_fit_lowers_its_loss(spark):
+    rng = np.random.default_rng(8)
+    z = rng.dirichlet(np.ones(3), 40)
+    long = spark.createDataFrame([("r", i, k + 1, float(z[i, k])) for i in range(40) for k in range(3)], "replicate string, spot_id long, k int, v double")
+    s, losses = affinity.fit_affinity(ring(spark, 40, 20), long, 3, steps=25)
+    assert np.allclose(s, s.T) and losses[-1] < losses[0]
+    again, more = affinity.fit_affinity(ring(spark, 40, 20), long, 3, steps=3, start=s)
+    assert more[0] < losses[0]
+
+
+def test_permutations_against_direct_shuffles(spark):
+    rng = random.Random(9)
+    labels = [rng.choice("ab") for _ in range(30)]
+    spots = spark.createDataFrame([("r", i, labels[i]) for i in range(30)], "replicate string, spot_id long, label string")
+    edges = ring(spark, 30, 10)
+    got = {(r.a, r.b): r for r in affinity.permutation_test(spots, edges, 20).collect()}
+    order = {r.spot_id: r.i for r in affinity.numbered_spots(spots).collect()}
+    assert sorted(order.values()) == list(range(30))
+    at = {i: s for s, i in order.items()}
+    pairs = [(r.src, r.dst) for r in edges.collect()]
+
+    def enrichment(of):
+        degree = {i: sum(a == i for a, _ in pairs) for i in range(30)}
+        size = {x: sum(of[i] == x for i in range(30)) for x in "ab"}
+        return {(x, y): sum(1 / degree[a] for a, b in pairs if of[a] == x and of[b] == y) / size[x] for x in "ab" for y in "ab"}
+
+    seen = enrichment(labels)
+    runs = [enrichment({i: labels[at[(a * order[i] + b) % 30]] for i in range(30)}) for _, a, b in affinity.shuffles(20, 0)]
+    for key, r in got.items():
+        assert r.enrichment == pytest.approx(seen[key])
+        assert r.p_adjacency == pytest.approx((sum(e[key] >= seen[key] - 1e-9 for e in runs) + 1) / 21)
+        assert r.p_avoidance == pytest.approx((sum(e[key] <= seen[key] + 1e-9 for e in runs) + 1) / 21)
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Two replicates with the same ids, whose expression follows three factors that change along a ring."""
+    rng = np.random.default_rng(10)
+    m = rng.gamma(0.3, 1, (30, 3))
+    m /= m.sum(axis=0)
+    rows, z = [], np.repeat(np.eye(3), 20, axis=0) + 0.05
+    for r in ("r0", "r1"):
+        y = np.maximum((z / z.sum(axis=1, keepdims=True) * 50) @ m.T + rng.normal(0, 0.05, (60, 30)), 0)
+        rows += [(r, i, f"g{j:02d}", float(y[i, j])) for i in range(60) for j in range(30) if y[i, j] > 0]
+    both = [(r, i, j) for r in ("r0", "r1") for i in range(60) for j in ((i + 1) % 60, (i - 1) % 60)]
+    return m, spark.createDataFrame(rows, "replicate string, spot_id long, gene string, value double"), spark.createDataFrame(both, "replicate string, src long, dst long")
+
+
+@pytest.mark.parametrize(("start", "pull"), [("svd", 0.0), ("kmeans", 0.5)])
+def test_fit_recovers_planted_factors(spark, planted, tmp_path, start, pull):
+    m, expr, edges = planted
+    plan = train.Plan(factors=3, start=start, nmf_iterations=6, spatial_iterations=2, affinity_steps=8, sweeps=1, pull_weights=pull, pull_affinity=pull * 0.01)
+    model = train.fit(expr, edges, plan)
+    for w in model.weights.values():
+        corr = np.corrcoef(m.T, w.T)[:3, 3:]
+        assert sorted(corr.argmax(axis=1).tolist()) == [0, 1, 2] and corr.max(axis=1).min() > 0.9
+    steps = model.losses[:6] if len(model.losses) >= 7 else model.losses[:-1]
+    assert all(a >= b * (1 - 1e-9) for a, b in zip(steps[:-1], steps[1:], strict=True) if b > 0)
+    assert model.loadings.count() == 120
+    labels = {(r.replicate, r.spot_id): int(np.argmax(r.x)) for r in model.loadings.collect()}
+    assert all(len({labels[r, i] for i in range(20 * b + 2, 20 * b + 18)}) == 1 for r in ("r0", "r1") for b in range(3))
+    model.save(str(tmp_path / "model"))
+    again = train.SpatialModel.load(spark, str(tmp_path / "model"))
+    assert again.genes == model.genes and again.losses == pytest.approx(model.losses) and again.sigma == pytest.approx(model.sigma)
+    assert all(np.allclose(again.weights[r], w) for r, w in model.weights.items()) and all(np.allclose(again.affinity[r], a) for r, a in model.affinity.items())
+    assert again.loadings.count() == 120
+
+
+def test_singular_vectors_equal_numpy(spark):
+    rng = np.random.default_rng(11)
+    y = rng.gamma(0.3, 1, (50, 12))
+    spots = spark.createDataFrame([("r", i, list(range(12)), y[i].tolist()) for i in range(50)], "replicate string, spot_id long, g array<int>, y array<double>")
+    v = train.right_vectors(spots, 12, 3)
+    want = np.linalg.svd(y, full_matrices=False)[2][:3].T
+    assert np.abs((v * want).sum(axis=0)) == pytest.approx(1, abs=1e-6)
