@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.functions.scratch import materialize
+from spotloom.functions.small import small
 from spotloom.functions.text import bind, count_chars, text_of, without_white, words_of
 
 #: Fixed value: the characters that count as symbols.
@@ -172,7 +173,7 @@ def _first_estimate(rows: DataFrame) -> DataFrame:
     Values are thousandths in a narrow range, so the counts that medians keep stay small.
     """
     mids = rows.groupBy(*_OWN).agg(F.count(F.lit(1)).alias("n"), *[F.median(x).alias(f"c_{x}") for x in _X])
-    near = rows.join(mids, _OWN)
+    near = rows.join(small(mids), _OWN)
     off = {x: (F.col(x) - F.col(f"c_{x}")) / _SCALE / STATISTICS[x] for x in _X}
     length = F.sqrt(sum((v * v for v in off.values()), F.lit(1e-9)))
     plain = [F.sum(F.col(x)).alias(f"s_{x}") for x in _X] + [F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"q{i}{j}") for i, j in _pairs()]
