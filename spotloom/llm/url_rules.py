@@ -2,7 +2,8 @@
 
 A URL's tokens are its scheme, host labels, path parts, file ending and query keys (numbers count as one token).
 Spark's FP-growth mines token combinations from labelled URLs, whose label is one more item of the basket; rules that
-conclude the block label are pruned by support and confidence.  The inverted index files each rule under its rarest
+conclude the block label are pruned by support and confidence; support has an absolute floor too (``min_count`` labelled
+URLs), so that on few labels a combination seen once is no rule.  The inverted index files each rule under its rarest
 token; a URL looks up only its own tokens and then must hold all of a rule's.
 
 Hosts and paths follow the contract of ``split_url``.  A listed rule fits its host and all subdomains if the path
@@ -10,7 +11,8 @@ starts with the rule's; of several the longest wins, and of equal lengths the fi
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no listed rule, and is judged by
 its tokens alone; without labelled URLs, or without rules that pass the pruning, everything else is allowed; repeated
-rows repeat; several labels of one id block if any does; an empty table gives an empty result.
+rows repeat; several labels of one id block if any does; an empty table gives an empty result; very long URLs are judged whole, by all
+their tokens; columns besides the id and the URL are ignored, also those named like a result's.
 """
 
 from __future__ import annotations
@@ -71,11 +73,16 @@ def with_listed(pages: DataFrame, rules: Sequence[ListedRule], url_col: str = "u
     return rows.withColumn("rule", rule).withColumn("listed", verdict)
 
 
-def mine_rules(baskets: DataFrame, min_support: float = 0.002, min_confidence: float = 0.7, partitions: int = 16) -> DataFrame:
-    """(rule_id, tokens, confidence, support, lift) of block rules from baskets (items: array<string>)."""
+def mine_rules(baskets: DataFrame, min_support: float = 0.002, min_confidence: float = 0.7, partitions: int = 16, min_count: int = 3) -> DataFrame:
+    """(rule_id, tokens, confidence, support, lift) of block rules from baskets (items: array<string>).
+
+    A rule's tokens and the block label meet in ``min_support`` of the baskets and in ``min_count`` of them at least.
+    """
     empty = baskets.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double, lift double")
-    if baskets.isEmpty():
+    n = baskets.count()
+    if n < min_count:
         return empty
+    min_support = max(min_support, (min_count - 0.5) / n)  # between two counts, so that rounding decides nothing
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=partitions).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BLOCK_ITEM))
     return rules.where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support)).select(
@@ -95,7 +102,7 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("url", F.col("best.confidence").alias("confidence"), F.col("best.needs").alias("matched"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[ListedRule], bad: Column, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", min_support: float = 0.002, min_confidence: float = 0.7) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[ListedRule], bad: Column, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", min_support: float = 0.002, min_confidence: float = 0.7, min_count: int = 3) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, confidence, matched (tokens of the mined rule that decided)."""
     rows = with_listed(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")), rules)
     rows = rows.withColumn("tokens", url_tokens(F.col("__url"), F.col("host"), F.col("path")))
@@ -104,7 +111,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[ListedRule], bad:
     marks = marks.groupBy("page_id").agg(F.max("bad").alias("bad"))
     items = F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK_ITEM)))).otherwise(F.col("tokens"))
     baskets = rows.select("page_id", "tokens").join(marks, "page_id").where(F.size("tokens") > 0).select(items.alias("items"))
-    mined = materialize(mine_rules(materialize(baskets, "url-baskets"), min_support, min_confidence), "url-rules")
+    mined = materialize(mine_rules(materialize(baskets, "url-baskets"), min_support, min_confidence, min_count=min_count), "url-rules")
     open_urls = rows.where("listed IS NULL").select("url", "tokens").distinct()
     hits = materialize(matches(open_urls, mined), "url-hits")
     out = rows.join(hits, "url", "left")

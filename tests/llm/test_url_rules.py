@@ -63,3 +63,14 @@ def test_learned_combination_blocks(spark):
     labels = [(i, 0 if bad(u) else 1, 0) for i, u in pages if i % 2]
     got = ur.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), RULES, F.col("quality") == 0)
     assert {r.page_id: r.verdict == "block" for r in got.collect()} == {i: bad(u) for i, u in pages}
+
+
+def test_few_labels_make_no_rule(spark):
+    pages = [(i, f"https://a.net/p{chr(97 + i)}/x") for i in range(8)] + [(8, "https://a.net/pa/" + "y/" * 5000), (9, None)]
+    table = spark.createDataFrame([(*p, "block", "b.org") for p in pages], "page_id long, url string, verdict string, host string")
+    labels = [(i, int(i not in (0, 1)), 0) for i in range(8)]
+    bad = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    got = ur.judge(table, bad(labels), RULES, F.col("quality") == 0)
+    assert {r.verdict for r in got.collect()} == {"allow"} and got.count() == 10
+    assert {r.verdict for r in ur.judge(table, bad(labels[:1]), RULES, F.col("quality") == 0).collect()} == {"allow"}
+    assert {r.page_id for r in ur.judge(table, bad(labels), RULES, F.col("quality") == 0, min_count=1).where("verdict = 'block'").collect()} == {0, 1, 8}
