@@ -3,6 +3,14 @@
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept; between stages the rows are
 written as Parquet and read again, so a lost executor costs one stage at most.  The first four return the columns of
 ``documents``; the last returns the encoding's digests.
+
+Defined results: a null or empty text counts as empty, is scored like any other, is one of the equal texts and links with
+other empty texts, and encodes to no tokens.  Null ids are kept apart from any number and lose ties against numbers; rows
+that repeat in id and text are copies, so one of them stays; ids that repeat with other texts are decided text by text
+(when mixing, by their token counts).  Very long texts are read whole.  Extra columns, also those named like an
+operator's results, pass through the first four stages unchanged.  Without labels every document scores 0.5 and stays;
+with fewer than ten, or of one class only, every score is the labels' mean.  An empty table goes through all stages and
+gives an empty result.
 """
 
 from __future__ import annotations
