@@ -66,6 +66,13 @@ def test_matches_direct_counting(spark, docs_of):
     assert [r.n_known for r in got] == known
 
 
+def test_columns_named_like_results_change_nothing(spark, docs_of):
+    docs = docs_of([(i, "a b c d"[: 1 + i % 7] * (1 + i % 3)) for i in range(30)])
+    named = docs.withColumnRenamed("lang", "score").withColumnRenamed("source", "shard").withColumnRenamed("n_chars", "raw")
+    plain, clash = (sorted(map(tuple, lm.score(d, lm.train(d)).collect())) for d in (docs, named))
+    assert clash == plain
+
+
 def test_empty_table(spark, docs_of):
     docs = docs_of([])
     assert lm.score(docs, lm.train(docs)).count() == 0
