@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotloom.functions.scratch import materialize
-from spotloom.operators import affinity, cluster, compare, enrich, evaluate, expression, factors, graph, loadings, train, trends
+from spotloom.operators import affinity, cluster, compare, downsample, enrich, evaluate, expression, factors, graph, loadings, train, trends
 from spotloom.operators import spatial_fit as spatial
 from spotloom.sources import views
 from spotloom.sources.tables import table
@@ -691,10 +691,59 @@ def louvain(spark, d):
 
 
 @_query("", None)
+def louvain_target(spark, d):
+    """Communities of the neighbour graph, about eight of them, by a search for the resolution."""
+    return cluster.communities_near(_edges(spark, d), 8)[0]
+
+
+@_query("", None)
+def cluster_domains(spark, d):
+    return cluster.domains(views.spots(spark, d), _edges(spark, d), loadings.l1_normalize(views.embedding_long(spark, d)), 5)
+
+
+def _halvings(levels: int) -> str:
+    """Halving at medians, x and y in turn, as a chain of tables; a replicate stops at the depth of the largest one."""
+    parts = ["deep AS (SELECT greatest(0, ceil(log2(max(n) / 64.0)))::INT AS depth FROM (SELECT count(*) AS n FROM spots GROUP BY replicate))", "b0 AS (SELECT replicate, spot_id, x, y, 0 AS bin_id FROM spots)"]
+    for i in range(levels):
+        c = "xy"[i % 2]
+        parts.append(f"b{i + 1} AS (SELECT replicate, spot_id, x, y, CASE WHEN depth > {i} THEN 2 * bin_id + ({c} > quantile_disc({c}, 0.5) OVER (PARTITION BY replicate, bin_id))::INT ELSE bin_id END AS bin_id FROM b{i}, deep)")
+    return ", ".join(parts)
+
+
+@_query("spots", f"{_halvings(8)} SELECT replicate, spot_id, bin_id FROM b8")
 def partition_bins(spark, d):
     return cluster.partition_bins(views.spots(spark, d))
 
 
+_LATTICE = """box AS (SELECT replicate, min(x) AS x0, min(y) AS y0, (max(x) - min(x)) / 3 AS step, count(*) AS n FROM spots GROUP BY 1),
+c AS (SELECT s.*, x0, y0, step, n, least(2, greatest(0, ceil((x - x0) / step) - 1))::BIGINT AS cx, greatest(0, ceil((y - y0) / step) - 1)::BIGINT AS cy FROM spots s JOIN box USING (replicate)),
+u AS (SELECT DISTINCT replicate, cx, cy, x0, y0, step, n FROM c), side AS (SELECT replicate, round(sqrt(any_value(n) * 0.2 / count(*)))::BIGINT AS side FROM u GROUP BY 1),
+p AS (SELECT u.replicate, cx * side + i AS gx, cy * side + j AS gy, x0 + (cx * side + i) * (step / side) AS px, y0 + (cy * side + j) * (step / side) AS py FROM u JOIN side USING (replicate), range(0, 40) a(i), range(0, 40) b(j) WHERE (i < side OR (i = side AND cx = 2)) AND j < side),
+r AS (SELECT s.replicate, spot_id, x, y, gx, gy, row_number() OVER (PARTITION BY spot_id ORDER BY round((x - px) * (x - px) + (y - py) * (y - py), 12), gx, gy) AS o FROM spots s JOIN p USING (replicate)),
+g AS (SELECT replicate, spot_id, x, y, gx * 2147483648 + gy AS bin_id, gx, gy FROM r WHERE o = 1)"""
+
+
+@_query("spots", f"{_LATTICE} SELECT replicate, spot_id, bin_id, gx, gy FROM g")
+def chunked_grid(spark, d):
+    return downsample.chunked_grid(views.spots(spark, d), 0.2, 3, tune=False)
+
+
+@_query("spots emb", f"""{_LATTICE}, s AS (SELECT replicate, 0 AS level, spot_id, x, y FROM spots UNION ALL SELECT replicate, 1, bin_id, avg(x), avg(y) FROM g GROUP BY ALL),
+v AS (SELECT replicate, 0 AS level, spot_id, sum(v) AS total FROM emb GROUP BY ALL UNION ALL SELECT g.replicate, 1, bin_id, sum(v) FROM emb JOIN g USING (replicate, spot_id) GROUP BY ALL)
+SELECT s.replicate, s.level, s.spot_id, {_r('x')} AS x, {_r('y')} AS y, {_r('total')} AS total FROM s JOIN v USING (replicate, level, spot_id)""")
+def hierarchy_levels(spark, d):
+    """Two levels: positions and summed values of spots and of the meta-spots made of them."""
+    values = views.embedding_long(spark, d).select("replicate", "spot_id", F.concat(F.lit("f"), F.col("k").cast("string")).alias("gene"), F.col("v").alias("value"))
+    found = downsample.hierarchy(views.spots(spark, d), values, 2, 0.2, 3, tune=False)
+    total = found["expression"].groupBy("replicate", "level", "spot_id").agg(F.sum("value").alias("total"))
+    return _rounded(found["spots"].join(total, ["replicate", "level", "spot_id"]), "x", "y", "total").select("replicate", "level", "spot_id", "x", "y", "total")
+
+
+@_query("", None)
+def pca_by_replicate(spark, d):
+    return _rounded(cluster.components_by_replicate(views.embedding_long(spark, d), 3), "value")
+
+
 @_query("", None)
 def pca(spark, d):
     return _rounded(cluster.principal_components(views.embedding_long(spark, d), 3)[0], "value")

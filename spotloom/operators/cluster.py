@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.functions.scratch import materialize
-from spotloom.functions.small import packed, small
+from spotloom.functions.small import dot, packed, small
+from spotloom.operators.evaluate import nearest_in_space
+from spotloom.operators.graph import smooth_labels, smooth_loadings, symmetric_edges
 
 
 def gabriel_graph(knn: DataFrame) -> DataFrame:
@@ -86,6 +88,72 @@ def communities(edges: DataFrame, resolution: float = 1.0, turns: int = 200, lev
     raise RuntimeError(f"communities still merge after {levels} levels")
 
 
+def communities_near(edges: DataFrame, target: int, resolution: float = 1.0, tolerance: float = 0.05) -> tuple[DataFrame, float]:
+    """((replicate, spot_id, community), resolution): communities at the resolution that gives ``target`` of them over all replicates.
+
+    Starts at ``resolution`` and halves the range from a tenth to ten times of it on a logarithmic scale, until the number is
+    met or the range is narrower than ``tolerance``; then the last one tried stands.  For a joint clustering, edges carry one
+    replicate.  Every trial is one ``communities`` run."""
+    low, high, now = 0.1 * resolution, 10 * resolution, resolution
+    found = communities(edges, now)
+    number = found.select("community").distinct().count()
+    while number != target and high - low > tolerance:
+        now = (low * high) ** 0.5
+        found = communities(edges, now)
+        number = found.select("community").distinct().count()
+        low, high = (now, high) if number < target else (low, now)
+    return found, now
+
+
+def loading_graph(loadings: DataFrame, k: int, factors: int) -> tuple[DataFrame, DataFrame]:
+    """((replicate, src, dst, distance), (replicate, spot_id, n)): symmetric graph of the ``k`` nearest spots by loadings over
+    all replicates together, its ends being numbers n of spots; its one replicate is called all."""
+    rows = materialize(packed(loadings, factors).withColumn("n", F.monotonically_increasing_id()), "loading-rows")
+    joint = rows.select(F.lit("all").alias("replicate"), F.col("n").alias("spot_id"), "z")
+    return symmetric_edges(nearest_in_space(joint, joint, k)), rows.select("replicate", "spot_id", "n")
+
+
+def domains(spots: DataFrame, edges: DataFrame, loadings: DataFrame, target: int, k: int = 40, factors: int | None = None, tolerance: float = 0.05) -> DataFrame:
+    """(replicate, spot_id, label, smoothed): spatial domains over all replicates together.
+
+    Loadings are averaged over neighbours, joined to their ``k`` nearest in loadings, parted into ``target`` communities
+    (``communities_near``), and a spot whose neighbours mostly hold another label takes it.  Labels count from 0 by size."""
+    width = factors or loadings.agg(F.max("k")).first()[0] or 1
+    near, numbers = loading_graph(smooth_loadings(edges, loadings), k, width)
+    found, _ = communities_near(materialize(near, "domain-edges"), target, tolerance=tolerance)
+    size = found.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("spot_id").alias("first"))
+    order = Window.partitionBy(F.col("n").isNull()).orderBy(F.desc("n"), "first")  # a row a community
+    named = found.join(small(size.select("community", (F.row_number().over(order) - 1).alias("label"))), "community")
+    own = numbers.join(named.select(F.col("spot_id").alias("n"), "label"), "n").select("replicate", "spot_id", "label")
+    return smooth_labels(spots.select("replicate", "spot_id").join(own, ["replicate", "spot_id"]), edges)
+
+
+def components_by_replicate(loadings: DataFrame, n: int, factors: int | None = None) -> DataFrame:
+    """(replicate, spot_id, component, value): ``principal_components`` of every replicate by itself.
+
+    One pass adds up factors x factors products for all replicates; the driver holds one such matrix a replicate."""
+    k = factors or loadings.agg(F.max("k")).first()[0] or 1
+    z = materialize(packed(loadings, k), "pca-rows")
+    both = z.select("replicate", F.posexplode("z").alias("i", "a"), "z").select("replicate", "i", "a", F.posexplode("z").alias("j", "b")).where("i <= j")
+    rows = both.groupBy("replicate", "i", "j").agg(F.coalesce(F.covar_samp("a", "b"), F.lit(0.0)).alias("c"), F.avg("a").alias("m")).collect()
+    table = []
+    for replicate in sorted({r.replicate for r in rows}, key=str):
+        cov, mean = np.zeros((k, k)), np.zeros(k)
+        for r in rows:
+            if r.replicate == replicate:
+                cov[r.i, r.j] = cov[r.j, r.i] = r.c
+                mean[r.i] = r.m
+        values, vectors = np.linalg.eigh(cov)
+        v = vectors[:, np.argsort(-values)[:n]]
+        v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+        table.append((replicate, mean.tolist(), v.T.tolist()))
+    kind = loadings.schema["replicate"].dataType.simpleString()
+    turn = small(loadings.sparkSession.createDataFrame(table, f"replicate {kind}, m array<double>, v array<array<double>>"))
+    centred = z.join(turn, "replicate").withColumn("z", F.zip_with("z", "m", lambda a, b: a - b))
+    out = centred.select("replicate", "spot_id", "z", F.posexplode("v").alias("component", "w"))
+    return out.select("replicate", "spot_id", (F.col("component") + 1).alias("component"), dot(F.col("z"), F.col("w")).alias("value"))
+
+
 def principal_components(loadings: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     """((replicate, spot_id, component, value), variances): components of centred loadings, signs made positive at the
     largest weight.  Only the factors x factors covariance reaches the driver."""
