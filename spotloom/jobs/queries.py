@@ -690,15 +690,9 @@ def louvain(spark, d):
     return cluster.communities(_edges(spark, d))
 
 
-@_query("", None)
-def louvain_target(spark, d):
-    """Communities of the neighbour graph, about eight of them, by a search for the resolution."""
-    return cluster.communities_near(_edges(spark, d), 8)[0]
-
-
 @_query("", None)
 def cluster_domains(spark, d):
-    return cluster.domains(views.spots(spark, d), _edges(spark, d), loadings.l1_normalize(views.embedding_long(spark, d)), 5)
+    return cluster.domains(views.spots(spark, d), _edges(spark, d), loadings.l1_normalize(views.embedding_long(spark, d)), 5, tolerance=2.0)
 
 
 def _halvings(levels: int) -> str:

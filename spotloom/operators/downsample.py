@@ -19,7 +19,7 @@ def _boxes(spots: DataFrame) -> DataFrame:
 
 def _chunk(c: str, corner: str, step):
     """Number of the chunk of a coordinate: chunks are open below, but the first holds its lower border."""
-    return F.greatest(F.lit(0), F.ceil((F.col(c) - F.col(corner)) / step) - 1).cast("long")
+    return F.greatest(F.lit(0), F.ceil(F.try_divide(F.col(c) - F.col(corner), step)) - 1).cast("long")
 
 
 def tuned_chunks(spots: DataFrame, rate: float, chunks: int) -> dict[str, int]:
