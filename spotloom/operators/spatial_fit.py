@@ -134,4 +134,4 @@ def superresolve(cells: DataFrame, weights: np.ndarray, sigma: float, epochs: in
                 break
         return t[["replicate", "bin_id", "spot_id"]].assign(x=list(x))
 
-    return cells.groupBy("replicate", "bin_id").applyInPandas(solve, "replicate string, bin_id int, spot_id long, x array<double>")
+    return cells.groupBy("replicate", "bin_id").applyInPandas(solve, f"replicate string, bin_id {cells.schema['bin_id'].dataType.simpleString()}, spot_id long, x array<double>")

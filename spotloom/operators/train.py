@@ -20,7 +20,7 @@ from spotloom.functions.scratch import discard, materialize
 from spotloom.functions.small import packed
 from spotloom.operators import factors as fac
 from spotloom.operators.affinity import fit_affinity, log_partition
-from spotloom.operators.spatial_fit import colour_graph, spatial_loadings
+from spotloom.operators.spatial_fit import colour_graph, spatial_loadings, superresolve
 
 KEY = ["replicate", "spot_id"]
 
@@ -273,6 +273,25 @@ def _affinities(model: SpatialModel, edges: DataFrame, plan: Plan) -> dict[str,
     return out
 
 
+def refine(model: SpatialModel, tables: dict[str, DataFrame]) -> dict[int, DataFrame]:
+    """Loadings (replicate, spot_id, x) of every level of ``downsample.hierarchy`` tables, from a model of the coarsest one.
+
+    Weights and noise go down as they are; each level's loadings are solved below the bins of the level above
+    (``superresolve``) and are the bins' loadings of the next.  Spots without expression get no loadings."""
+    spark = model.loadings.sparkSession
+    coarsest = tables["spots"].agg(F.max("level")).first()[0] or 0
+    numbered = spark.createDataFrame([(g, i) for i, g in enumerate(model.genes)], "gene string, g int")
+    sigma, weights = float(np.mean(list(model.sigma.values()))), np.mean(list(model.weights.values()), axis=0)
+    out = {coarsest: model.loadings.select(*KEY, "x")}
+    for level in range(coarsest - 1, -1, -1):
+        bins = tables["bins"].where(F.col("level") == level + 1).select("replicate", "bin_id", "spot_id")
+        above = out[level + 1].select("replicate", F.col("spot_id").alias("bin_id"), F.col("x").alias("xb"))
+        spots = fac.packed_spots(tables["expression"].where(F.col("level") == level), numbered)
+        cells = spots.join(bins, KEY).join(above, ["replicate", "bin_id"]).select("replicate", "bin_id", "spot_id", "g", "y", "xb")
+        out[level] = materialize(superresolve(cells, weights, sigma).select(*KEY, "x"), "finer-loadings")
+    return out
+
+
 def simplex_table(model: SpatialModel) -> DataFrame:
     """(replicate, spot_id, k, v): loadings over their sums."""
     share = F.transform("x", lambda v: v / F.aggregate("x", F.lit(0.0), lambda a, b: a + b))

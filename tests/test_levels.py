@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spotloom.operators import cluster, downsample, graph
+from spotloom.jobs import cli
+from spotloom.operators import cluster, downsample, graph, train
 from spotloom.sources import io
 
 
@@ -125,3 +126,40 @@ def test_components_by_replicate_equal_numpy(spark):
         c = m - m.mean(axis=0)
         want = np.abs(c @ np.linalg.svd(c, full_matrices=False)[2][:2].T)
         assert np.abs([[got[r, i, 1], got[r, i, 2]] for i in range(30)]) == pytest.approx(want)
+
+
+def test_loadings_go_down_the_levels(spark):
+    """Spots on the left and right express genes of their own; so do the finest loadings, and bins sum up their spots."""
+    rng = np.random.default_rng(7)
+    spots = [("r0", i, float(i % 12) + rng.uniform(0, 0.2), float(i // 12) + rng.uniform(0, 0.2)) for i in range(96)]
+    cells = [("r0", i, f"g{j}", float((10 if (j < 4) == (x < 6) else 0.2) + rng.uniform(0, 0.1))) for _, i, x, _ in spots for j in range(8)]
+    tables = downsample.hierarchy(spark.createDataFrame(spots, "replicate string, spot_id long, x double, y double"), spark.createDataFrame(cells, "replicate string, spot_id long, gene string, value double"), 2, 0.4, 2, k=3)
+    top = lambda n: tables[n].where("level = 1").drop("level")
+    model = train.fit(top("expression"), top("edges"), train.Plan(factors=2, nmf_iterations=8, spatial_iterations=1, affinity_steps=3, sweeps=1))
+    found = train.refine(model, tables)
+    assert sorted(found) == [0, 1] and found[0].count() == 96
+    side = {r.spot_id: int(np.argmax(r.x)) for r in found[0].collect()}
+    left, right = ({side[i] for _, i, x, _ in spots if (x < 6) == (s == 0)} for s in (0, 1))
+    assert len(left) == len(right) == 1 and left != right
+    sums: dict = {}
+    of = {r.spot_id: r.bin_id for r in tables["bins"].collect()}
+    for r in found[0].collect():
+        sums[of[r.spot_id]] = sums.get(of[r.spot_id], 0) + np.array(r.x)
+    for r in found[1].collect():
+        assert int(np.argmax(sums[r.spot_id])) == int(np.argmax(r.x))
+
+
+def test_command_line(spark, tmp_path):
+    assert cli.expand(["factors=linear:2:4:3", "start=choice:svd:kmeans"]) == [{"factors": f, "start": s} for f in (2, 3, 4) for s in ("svd", "kmeans")]
+    assert [p["penalty"] for p in cli.expand(["penalty=log:1e-4:1e-2:3"])] == pytest.approx([1e-4, 1e-3, 1e-2])
+    for bad in ("factor=choice:1", "factors=square:1:2:3", "factors=linear:1:2"):
+        with pytest.raises(ValueError):
+            cli.expand([bad])
+    rng = np.random.default_rng(8)
+    cells = [("r0", i, f"g{j}", float(rng.gamma(1, 1) + 5 * (j % 2 == i % 2))) for i in range(20) for j in range(6)]
+    io.write_sample({"expression": spark.createDataFrame(cells, "replicate string, spot_id long, gene string, value double"), "edges": spark.createDataFrame([("r0", i, (i + s) % 20) for i in range(20) for s in (1, 19)], "replicate string, src long, dst long")}, str(tmp_path / "sample"))
+    small = ["--set", "nmf_iterations=2", "--set", "spatial_iterations=1", "--set", "sweeps=1", "--set", "affinity_steps=2"]
+    cli.main(["grid", "--sample", str(tmp_path / "sample"), "--out", str(tmp_path / "out"), "--grid", "factors=choice:2:3", *small])
+    runs = spark.read.parquet(str(tmp_path / "out" / "runs")).orderBy("run").collect()
+    assert [r.run for r in runs] == [0, 1] and all(np.isfinite(r.loss) for r in runs)
+    assert [len(train.SpatialModel.load(spark, str(tmp_path / "out" / f"run={i}")).affinity["r0"]) for i in (0, 1)] == [2, 3]
