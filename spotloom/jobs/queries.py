@@ -792,9 +792,13 @@ def _cross_weights(spark, d):
     return factors.cross(views.spot_expression(spark, d), views.embedding_long(spark, d)).withColumnRenamed("value", "w").withColumn("w", F.round("w", 6))
 
 
-_KNEE = f"""{_WEIGHTS}, r AS (SELECT gene, k, round(w, 6) AS w FROM w),
-c AS (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY w, gene) - 1)::DOUBLE / (count(*) OVER (PARTITION BY k) - 1) AS a, (w - min(w) OVER (PARTITION BY k)) / (max(w) OVER (PARTITION BY k) - min(w) OVER (PARTITION BY k)) AS s, count(*) OVER (PARTITION BY k) AS n FROM r),
-m AS (SELECT k, max(a - s) AS below, arg_max(a, a - s) AS cut, any_value(n) AS n FROM c GROUP BY 1), sig AS (SELECT c.k, gene, w FROM c JOIN m ON c.k = m.k WHERE below > 1.0 / m.n AND a > cut)"""
+_KNEE = f"""{_WEIGHTS}, kr AS (SELECT gene, k, round(w, 6) AS w FROM w),
+kc AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY w DESC, gene DESC) - 1 AS p, count(*) OVER (PARTITION BY k) AS n, (w - min(w) OVER (PARTITION BY k)) / (max(w) OVER (PARTITION BY k) - min(w) OVER (PARTITION BY k)) AS s FROM kr),
+kd AS (SELECT k, gene, w, p, n, round(1 - s - p::DOUBLE / (n - 1), 12) AS d FROM kc),
+ke AS (SELECT *, lead(d) OVER o AS nx, d >= coalesce(lag(d) OVER o, d) AND d >= coalesce(lead(d) OVER o, d) AS hi, d <= coalesce(lag(d) OVER o, d) AND d <= coalesce(lead(d) OVER o, d) AS lo FROM kd WINDOW o AS (PARTITION BY k ORDER BY p)),
+kf AS (SELECT *, max(CASE WHEN hi THEN p END) OVER o AS lm, coalesce(max(CASE WHEN lo THEN p END) OVER o, -1) AS ln FROM ke WINDOW o AS (PARTITION BY k ORDER BY p)),
+kg AS (SELECT kf.k, arg_min(kf.lm, kf.p) AS cut FROM kf JOIN kd ON kd.k = kf.k AND kd.p = kf.lm WHERE kf.nx < CASE WHEN kf.ln >= kf.lm THEN 0 ELSE kd.d - 1.0 / (kf.n - 1) END GROUP BY kf.k),
+sig AS (SELECT kd.k, gene, w FROM kd LEFT JOIN kg ON kg.k = kd.k WHERE cut IS NULL OR p <= cut)"""
 
 
 @_query("exs emb", f"{_KNEE} SELECT k, gene, {_r('w')} AS w FROM sig")

@@ -44,16 +44,28 @@ def over_representation(members: DataFrame, chosen: DataFrame, background: DataF
     return grid.select("signature", "set_name", "shared", tail("shared", "chosen", "members", "total").alias("p"))
 
 
-def signature_by_knee(weights: DataFrame, sensitivity: float = 1.0) -> DataFrame:
-    """(k, gene, w): genes above the knee of the factor's sorted weights (gene, k, w).
+def signature_by_knee(weights: DataFrame, sensitivity: float = 1.0, high: bool = True) -> DataFrame:
+    """(k, gene, w): genes from the knee of the factor's sorted weights (gene, k, w) on: the largest, or the smallest before it.
 
-    Weights in ascending order, scaled to the unit square, form a convex curve; the knee is where the curve lies
-    farthest below the diagonal, and the genes after it are the signature, if that distance exceeds ``sensitivity``
-    times the mean step."""
+    The curve of weights, read from its flat end and scaled to the unit square, rises over the diagonal.  A local maximum of the
+    difference is the knee, if the difference then falls by ``sensitivity`` mean steps before a local minimum, or below zero
+    after one; the first such maximum counts.  Without a knee every gene stays.  ``high`` takes the convex curve from the
+    largest weight down, otherwise the concave one from the smallest up (the knee itself left out).  Ties by name.
+    """
     by = Window.partitionBy("k")
-    up = by.orderBy("w", "gene")
-    at = (F.row_number().over(up) - 1) / F.greatest(F.count(F.lit(1)).over(by) - 1, F.lit(1))
+    n = F.count(F.lit(1)).over(by)
+    up = F.row_number().over(by.orderBy("w", "gene")) - 1
     scaled = (F.col("w") - F.min("w").over(by)) / F.greatest(F.max("w").over(by) - F.min("w").over(by), F.lit(1e-300))
-    curve = weights.withColumn("a", at).withColumn("below", at - scaled).withColumn("n", F.count(F.lit(1)).over(by))
-    knee = curve.groupBy("k").agg(F.max(F.struct("below", "a")).alias("m"), F.first("n").alias("n")).where(F.col("m.below") > sensitivity / F.col("n"))
-    return curve.join(knee.select("k", F.col("m.a").alias("cut")), "k").where(F.col("a") > F.col("cut")).select("k", "gene", "w")
+    steps = F.greatest(n - 1, F.lit(1))
+    place, rise = (n - 1 - up, 1 - scaled) if high else (up, scaled)
+    curve = weights.select("k", "gene", "w", place.alias("p"), F.round(rise - place / steps, 12).alias("d"), (sensitivity / steps).alias("step"))
+    walk = by.orderBy("p")
+    sofar = walk.rowsBetween(Window.unboundedPreceding, 0)
+    before, after = F.coalesce(F.lag("d").over(walk), F.col("d")), F.coalesce(F.lead("d").over(walk), F.col("d"))
+    turns = curve.withColumns({"next": F.lead("d").over(walk), "top": (F.col("d") >= before) & (F.col("d") >= after), "low": (F.col("d") <= before) & (F.col("d") <= after)})
+    last = lambda flag, value: F.last(F.when(F.col(flag), F.col(value)), ignorenulls=True).over(sofar)
+    seen = turns.withColumns({"at": last("top", "p"), "peak": last("top", "d"), "dip": F.coalesce(last("low", "p"), F.lit(-1))})
+    fallen = F.col("next") < F.when(F.col("dip") >= F.col("at"), F.lit(0.0)).otherwise(F.col("peak") - F.col("step"))
+    knee = seen.where(fallen).groupBy("k").agg(F.min_by("at", "p").alias("cut"))
+    inside = F.col("p") <= F.col("cut") if high else F.col("p") < F.col("cut")
+    return curve.join(knee, "k", "left").where(F.col("cut").isNull() | inside).select("k", "gene", "w")
