@@ -107,3 +107,22 @@ def hierarchy(spots: DataFrame, expr: DataFrame, levels: int, rate: float, chunk
         for i, part in enumerate(parts):
             out[name] = out[name].unionByName(part) if i else part
     return out
+
+
+def rebin_expression(expr: DataFrame, bins: DataFrame) -> DataFrame:
+    """(replicate, spot_id, gene, value, level): raw expression put back on all levels of a sample saved without it.
+
+    ``expr`` (replicate, spot_id, gene, value) belongs to level 0; ``bins`` is the table of ``hierarchy``.  A spot's bin on every
+    level follows from the bins below, so each level is one sum of the raw values and none waits for the one below."""
+    out = expr.select(*KEY, "gene", "value", F.lit(0).alias("level"))
+    top = bins.agg(F.max("level")).first()[0] or 0
+    chain = None
+    for level in range(1, top + 1):
+        step = bins.where(F.col("level") == level).select("replicate", F.col("spot_id").alias("below"), "bin_id")
+        if chain is None:
+            chain = step.withColumnRenamed("below", "spot_id")
+        else:
+            chain = chain.withColumnRenamed("bin_id", "below").join(step, ["replicate", "below"]).drop("below")
+        cells = bin_values(expr.select(*KEY, "gene", "value"), chain, "gene")
+        out = out.unionByName(cells.select("replicate", F.col("bin_id").alias("spot_id"), "gene", "value", F.lit(level).alias("level")))
+    return out

@@ -58,3 +58,19 @@ def read_gene_sets(spark: SparkSession, path: str) -> DataFrame:
     """(set_name, gene): a CSV whose columns are sets and whose cells are gene names."""
     wide = spark.read.csv(path, header=True)
     return wide.unpivot([], wide.columns, "set_name", "gene").where(F.trim("gene") != "").distinct()
+
+
+def read_gene_modules(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
+    """(block, set_name, gene): a CSV with two header rows, blocks of columns side by side.
+
+    After ``skip`` lines, the first header row names a block over its first column; the column under it holds genes and the
+    next one the module of each.  Further columns of a block, and rows without a gene or module, are left out.  The file is
+    one split (a list of genes), so rows keep their places."""
+    rows = spark.read.csv(path, header=False, multiLine=True).withColumn("__at", F.monotonically_increasing_id())
+    head = rows.where(F.col("__at") == skip).first()
+    named = [(c, i) for i, c in enumerate(rows.columns[:-1]) if head is not None and head[c] and head[c].strip()]
+    blocks = [F.struct(F.lit(head[c].strip()).alias("block"), F.trim(F.col(rows.columns[i + 1])).alias("set_name"), F.trim(F.col(c)).alias("gene")) for c, i in named if i + 2 < len(rows.columns)]
+    if not blocks:
+        raise ValueError(f"no block of columns in row {skip} of {path}")
+    long = rows.where(F.col("__at") > skip + 1).select(F.explode(F.array(*blocks)).alias("e")).select("e.*")
+    return long.where("gene <> '' AND set_name <> ''").distinct()

@@ -29,6 +29,15 @@ def test_text_sources(spark, tmp_path):
     assert sorted(map(tuple, io.read_gene_sets(spark, str(tmp_path / "sets.csv")).collect())) == [("one", "a"), ("one", "c"), ("two", "b")]
 
 
+def test_gene_modules(spark, tmp_path):
+    path = tmp_path / "modules.csv"
+    path.write_text("Title,,,,\nfirst,,,second,\nGene,Module,,Gene,Module\na,m1,,c,m1\nb,m2,, d ,m3\ne,,,,\na,m1,,,m3\n")
+    got = sorted(map(tuple, io.read_gene_modules(spark, str(path), skip=1).collect()))
+    assert got == [("first", "m1", "a"), ("first", "m2", "b"), ("second", "m1", "c"), ("second", "m3", "d")]
+    with pytest.raises(ValueError, match="no block"):
+        io.read_gene_modules(spark, str(path), skip=9)
+
+
 def test_hypergeometric_tail():
     for shared, chosen, members, total in ((0, 5, 4, 20), (2, 5, 4, 20), (4, 5, 4, 20), (3, 10, 15, 18)):
         want = sum(comb(members, x) * comb(total - members, chosen - x) for x in range(shared, min(chosen, members) + 1)) / comb(total, chosen)

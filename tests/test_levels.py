@@ -85,6 +85,8 @@ def test_levels_keep_the_sums(spark, tmp_path):
     assert all(n[rep, 0] > n[rep, 1] > n[rep, 2] for rep in ("r0", "r1"))
     below = {(r.replicate, r.level): r["count"] for r in tables["bins"].groupBy("replicate", "level").count().collect()}
     assert all(below[rep, level] == n[rep, level - 1] for rep in ("r0", "r1") for level in (1, 2))
+    again = {(r.replicate, r.level, r.spot_id, r.gene): r.value for r in downsample.rebin_expression(expr, tables["bins"]).collect()}
+    assert again == pytest.approx({(r.replicate, r.level, r.spot_id, r.gene): r.value for r in tables["expression"].collect()})
     io.write_sample(tables, str(tmp_path / "sample"))
     assert io.read_sample(spark, str(tmp_path / "sample"), "spots", ["r1"], 2).count() == n["r1", 2]
 
