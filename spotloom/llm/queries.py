@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotloom.llm import bpe, chain_dedup, exact_dedup, language_model, mixing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, url_rules
+from spotloom.llm import (
+    bpe,
+    chain_dedup,
+    exact_dedup,
+    language_model,
+    merkle,
+    mixing,
+    piecewise_hash,
+    quality_classifier,
+    quality_rules,
+    simhash_dedup,
+    spelling,
+    suffix_dedup,
+    url_rules,
+)
 from spotloom.sources.tables import table
 
 
@@ -142,6 +156,83 @@ FROM p
 """
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_proofs(table(spark, sf_dir, "documents"))
+
+
+#: The checksum table of CRC-32 by its rule, and the unsigned checksum of the text in the column ``s``.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)))"
+_CRC_BYTES = "list_transform(range(1, length(hex(encode(s))) // 2 + 1), lambda j: ('0x' || substr(hex(encode(s)), 2 * j - 1, 2))::BIGINT)"
+_CRC = f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {_CRC_BYTES}), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])))"
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _merkle_sql(depth: int = 12) -> str:
+    """SQL of the manifest for up to 8 ** ``depth`` rows a language: each level of each tree is a table of runs."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    head = " || ".join(map(field, ["doc_id", "source", "lang", "n_chars"]))
+    parts = [
+        f"crc AS (SELECT {_CRC_TABLE} AS t)",
+        f"ids AS (SELECT doc_id AS id, {_CRC} AS h FROM (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL), crc)",
+        f"d AS (SELECT doc_id, lang, sha256({head} || {field('text')}) AS leaf, CASE WHEN h % 3 = 0 THEN sha256({head} || {field(_LOWERED.format('text'))}) END AS present FROM documents LEFT JOIN ids ON doc_id = id)",
+        "leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS own FROM d)",
+        "a0 AS (SELECT coalesce(lang, '') AS g, lang IS NULL AS no_lang, own AS idx, leaf AS digest FROM leaves)",
+    ]
+
+    def climb(name: str) -> None:
+        for i in range(depth):
+            parts.append(f"{name}s{i} AS (SELECT *, count(*) OVER (PARTITION BY g, no_lang) AS m FROM {name}{i})")
+            parts.append(f"{name}f{i} AS MATERIALIZED (SELECT g, no_lang, idx // 8 AS idx, any_value(m) AS m, list(digest ORDER BY idx) AS kids FROM {name}s{i} GROUP BY g, no_lang, idx // 8)")
+            parts.append(f"{name}{i + 1} AS (SELECT g, no_lang, idx, CASE WHEN m = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS digest FROM {name}f{i})")
+
+    climb("a")
+    parts.append(f"b0 AS MATERIALIZED (SELECT '' AS g, false AS no_lang, row_number() OVER (ORDER BY no_lang DESC, g) - 1 AS idx, digest, g AS lang, no_lang AS lang_null FROM a{depth})")
+    climb("b")
+    parts.append("p0 AS (SELECT leaves.*, b0.digest AS subroot, b0.idx AS top, '' AS proof, coalesce(present, leaf) AS folded FROM leaves JOIN b0 ON b0.lang = coalesce(leaves.lang, '') AND b0.lang_null = (leaves.lang IS NULL))")
+    last = "p0"
+    for name, at, on in (("a", "own", "f.g = coalesce(p.lang, '') AND f.no_lang = (p.lang IS NULL)"), ("b", "top", "true")):
+        for i in range(depth):
+            pos = f"((p.{at} // {8**i}) % 8)"
+            left, right = f"array_to_string(kids[1:{pos}], '')", f"array_to_string(kids[{pos} + 2:], '')"
+            parts.append(
+                f"p{name}{i} AS (SELECT p.* EXCLUDE (proof, folded), CASE WHEN m = 1 THEN proof ELSE proof || {left} || {right} END AS proof, "
+                f"CASE WHEN m = 1 THEN folded ELSE sha256({left} || folded || {right}) END AS folded FROM {last} p JOIN {name}f{i} f ON {on} AND f.idx = p.{at} // {8 ** (i + 1)})"
+            )
+            last = f"p{name}{i}"
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM {last}, (SELECT digest AS root FROM b{depth})"
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS t),
+runs AS (SELECT doc_id, {_LOWERED.format("run")} AS run
+         FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, n, {_CRC} AS h FROM (SELECT run, n, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM counted), crc),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed)
+      WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, pos, left(word, pos::INT) || substr(word, pos::INT + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS pos FROM w)),
+near AS (SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.pos = b.pos AND a.word <> b.word
+         UNION SELECT cut.word, w.word, w.n FROM cut JOIN w ON w.word = cut.rest
+         UNION SELECT w.word, cut.word, cut.n FROM cut JOIN w ON w.word = cut.rest),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, encode(near)) AS near, max(n) AS form_n FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.form_n >= 10 * w.n THEN near END AS form,
+             CASE WHEN best.form_n >= 10 * w.n THEN best.form_n END AS form_n FROM w LEFT JOIN best USING (word)),
+up AS (SELECT word, form AS root, 1 AS steps FROM f WHERE form IS NOT NULL
+       UNION ALL SELECT up.word, f.form, steps + 1 FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL),
+ends AS (SELECT word, last(root ORDER BY steps) AS root FROM up GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN ends USING (word)
+"""
+
+
+def op13_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise_hash.likenesses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -154,8 +245,11 @@ def queries() -> dict:
         "op8_simhash": op8_simhash,
         "op9_chaining": op9_chaining,
         "op10_mixing": op10_mixing,
+        "op11_merkle": op11_merkle,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_piecewise_hash": op13_piecewise_hash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL, "op11_merkle": _merkle_sql(), "op12_spelling_variants": OP12_SQL}
