@@ -7,11 +7,12 @@ ones first.  A word's prefix is its first three bigrams in that order; of these
 overlap and are rarest together, its pivots.  One edit damages one pivot at most.  So the word whose prefix ends earlier has a
 pivot that is in the other's prefix: pivots are looked up in an index of prefixes.  Where the third bigram occurs again in
 the word, its first five occurrences are indexed: a pivot is among the first three, and one edit puts two before it at most.
-Lengths and positions are part of the key: with equal lengths an undamaged bigram keeps its position, with a length more or
-less it keeps it or moves by one, so a pivot is looked up under five keys.  Pairs that meet are verified by edit distance.
+The edit is to the right or to the left of the undamaged pivot, so the words agree up to its end, or from its start on.
+That sets the limits of its position (the same place from the start, or from the end), and a hash of either side is the
+key under which bigrams are indexed and looked up.  Pairs that meet are verified by edit distance.
 
-Index lists longer than ``list_limit`` are refined, which loses no pair: words within one edit share their first half or
-the rest after it (cut at half of the shorter length), so both sides are keyed by those as well.
+Index lists longer than ``list_limit`` (bigrams near an end have little on that side) are refined, which loses no pair: words
+within one edit share their first half or the rest after it, cut at half of the shorter length, so the keys hold those too.
 
 Forms: a word's form is its most frequent near word, where that is ten times as frequent.  Counts grow tenfold along forms, so
 chains are short; roots are found by pointer jumping.
@@ -168,33 +169,37 @@ def _near_if_long(a: Column, b: Column) -> Column:
     return check(a, b)
 
 
-_KEY = ["gram", "at", "size", "other"]
+def _halves(shorter: Column) -> Column:
+    """First half and rest of ``word``, marked, beside a word with which the shorter length is ``shorter``."""
+    cut = F.floor(shorter / 2).cast("int")
+    return F.array(F.concat(F.lit("<"), F.substr("word", F.lit(1), cut)), F.concat(F.lit(">"), F.substr("word", F.char_length("word") - (shorter - cut) + 1)))
 
 
-def near_pairs(words: DataFrame, list_limit: int = 2000) -> DataFrame:
+def near_pairs(words: DataFrame, list_limit: int = 200) -> DataFrame:
     """(a, b): all pairs of words of one edit, each once, ``a`` before ``b``."""
     signed = materialize(signatures(words), "spelling-grams")
-    length, pos = F.char_length("word"), F.col("pos")
-    # a key is (gram, position in the indexed word, length of the indexed word, length of the word that looks it up)
-    at = lambda p, size: F.struct(p.alias("at"), size.alias("size"))
-    tries = F.array(at(pos, length), at(pos, length + 1), at(pos + 1, length + 1), at(pos, length - 1), at(pos - 1, length - 1))
-    probe = signed.where("pivot").select("word", "gram", "last", F.explode(tries).alias("t")).select("word", "gram", "last", "t.at", "t.size", length.alias("other"))
-    sizes = F.array(length - 1, length, length + 1)
-    index = signed.where("not pivot").select("word", "gram", "last", pos.alias("at"), length.alias("size"), F.explode(sizes).alias("other"))
-    long = signed.where("not pivot").groupBy("gram", pos.alias("at"), length.alias("size")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > list_limit).drop("n")
-    long = materialize(long, "spelling-long")
-    found = _verified(probe.join(long, _KEY[:3], "left_anti"), index.join(long, _KEY[:3], "left_anti"), _KEY)
+    start, end = F.substr("word", F.lit(1), F.col("pos") + 2), F.substr("word", F.col("pos") + 1)
+    keys = F.array(F.xxhash64(F.lit("<"), start), F.xxhash64(F.lit(">"), end))
+    rows = signed.select("word", "last", "pivot", F.explode(keys).alias("key"))
+    probe, index = rows.where("pivot").drop("pivot"), rows.where("not pivot").drop("pivot")
+    long = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > list_limit).select("key"), "spelling-long")
+    found = _verified(probe.join(long, "key", "left_anti"), index.join(long, "key", "left_anti"))
     if not long.isEmpty():
-        part = F.explode(_halves(F.least("size", "other"))).alias("part")
-        wide = [t.join(long, _KEY[:3], "left_semi").select("word", "last", *_KEY, part) for t in (probe, index)]
-        found = found.union(_verified(*wide, [*_KEY, "part"]))
+        wide = [_refined(t.join(long, "key", "left_semi")) for t in (probe, index)]
+        found = found.union(_verified(*wide))
     return found.distinct().where(_near_if_long(F.col("a"), F.col("b")))
 
 
-def _verified(probe: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
-    left = probe.withColumnRenamed("word", "a").withColumnRenamed("last", "a_last")
-    right = index.withColumnRenamed("word", "b").withColumnRenamed("last", "b_last")
-    met = left.join(right, keys).where((F.col("a_last") <= F.col("b_last")) & (F.col("a") != F.col("b")) & ((F.char_length("a") > LONG) | (F.levenshtein("a", "b", 1) == 1)))
+def _refined(rows: DataFrame) -> DataFrame:
+    """Keys that hold a half of the word as well, for each length a partner may have."""
+    size = F.char_length("word")
+    rows = rows.withColumn("shorter", F.explode(F.array(size - 1, size)))
+    return rows.select("word", "last", F.explode(F.transform(_halves(F.col("shorter")), lambda half: F.xxhash64("key", "shorter", half))).alias("key"))
+
+
+def _verified(probe: DataFrame, index: DataFrame) -> DataFrame:
+    left, right = (t.select("key", F.col("word").alias(n), F.col("last").alias(f"{n}_last")) for t, n in ((probe, "a"), (index, "b")))
+    met = left.join(right, "key").where((F.col("a_last") <= F.col("b_last")) & (F.col("a") != F.col("b")) & ((F.char_length("a") > LONG) | (F.levenshtein("a", "b", 1) == 1)))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -208,7 +213,7 @@ def roots(forms: DataFrame) -> DataFrame:
     return now
 
 
-def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", factor: int = 10, list_limit: int = 2000) -> DataFrame:
+def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", factor: int = 10, list_limit: int = 200) -> DataFrame:
     """Per word: word, form, root, n (occurrences), n_near (words within one edit), form_n."""
     words = materialize(word_counts(docs, id_col, text_col), "spelling-words")
     pairs = materialize(near_pairs(words, list_limit), "spelling-pairs")

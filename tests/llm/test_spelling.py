@@ -62,7 +62,7 @@ def corpus(seed, stems=40, docs=120):
     return rows + [rows[3], rows[3], (None, rows[4][1]), (7, None), (8, ""), (9, "1234 --- ab"), (11, "ÀÉÿ×÷ÀÉÿ " * 3), (12, "zzzzzzzz,yyyyyyyy_" * 40_000), (13, "q" * 50_000 + " " + "q" * 50_000 + "." + "q" * 49_999 + "." + "q" * 49_999)]
 
 
-@pytest.mark.parametrize("seed,list_limit", [(1, 2000), (2, 3), (3, 0)])
+@pytest.mark.parametrize("seed,list_limit", [(1, 200), (2, 3), (3, 0)])
 def test_against_brute_force(spark, docs_of, seed, list_limit):
     rows = corpus(seed)
     docs = docs_of(rows).repartition(6)
@@ -76,7 +76,7 @@ def test_against_brute_force(spark, docs_of, seed, list_limit):
 
 @pytest.mark.parametrize("letters", ["ab", "abcd", "abcdefgh"])
 def test_pivots_survive_one_edit(letters):
-    """Of two words within one edit, the one whose prefix ends earlier has a pivot in the other's prefix, at one of five keys."""
+    """Of two words within one edit, the one whose prefix ends earlier has a pivot in the other's prefix, with one side equal."""
     rng = random.Random(5)
     grams = [a + b for a in letters for b in letters]
     weight = {g: rng.randrange(1, 50) for g in grams}
@@ -89,8 +89,7 @@ def test_pivots_survive_one_edit(letters):
             continue
         (pa, va, la), (pb, vb, lb) = (spelling.prefix_and_pivots(w, rank, weight) for w in (a, b))
         (x, piv), (y, pre) = ((a, va), (b, pb)) if la <= lb else ((b, vb), (a, pa))
-        d = len(y) - len(x)
-        assert any((g, p + s) in pre for g, p in piv for s in {0, d})
+        assert {k for _, p in piv for k in (x[: p + 2] + "<", ">" + x[p:])} & {k for _, p in pre for k in (y[: p + 2] + "<", ">" + y[p:])}
         (p, q) = sorted(i for _, i in piv)
         assert q - p >= 2
         three = sorted((rank[x[i : i + 2]], i) for i in range(len(x) - 1))[:3]
