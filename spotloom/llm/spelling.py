@@ -175,7 +175,7 @@ def _halves(shorter: Column) -> Column:
     return F.array(F.concat(F.lit("<"), F.substr("word", F.lit(1), cut)), F.concat(F.lit(">"), F.substr("word", F.char_length("word") - (shorter - cut) + 1)))
 
 
-def near_pairs(words: DataFrame, list_limit: int = 200) -> DataFrame:
+def near_pairs(words: DataFrame, list_limit: int = 40) -> DataFrame:
     """(a, b): all pairs of words of one edit, each once, ``a`` before ``b``."""
     signed = materialize(signatures(words), "spelling-grams")
     start, end = F.substr("word", F.lit(1), F.col("pos") + 2), F.substr("word", F.col("pos") + 1)
@@ -213,7 +213,7 @@ def roots(forms: DataFrame) -> DataFrame:
     return now
 
 
-def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", factor: int = 10, list_limit: int = 200) -> DataFrame:
+def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", factor: int = 10, list_limit: int = 40) -> DataFrame:
     """Per word: word, form, root, n (occurrences), n_near (words within one edit), form_n."""
     words = materialize(word_counts(docs, id_col, text_col), "spelling-words")
     pairs = materialize(near_pairs(words, list_limit), "spelling-pairs")
