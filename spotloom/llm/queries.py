@@ -107,9 +107,10 @@ MIX_PLAN = mixing.Plan(domain_weights={"d0": 4, "d1": 3, "d2": 2, "d3": 1}, lang
 
 
 def source_domain() -> Column:
-    """``d0`` to ``d3`` by the number in the source's name; the empty name without a number."""
+    """``d0`` to ``d3`` by the first number (ASCII digits, of any length) in the source's name; the empty name without one."""
     number = F.regexp_extract(F.coalesce(F.col("source").cast("string"), F.lit("")), "([0-9]+)", 1)
-    return F.when(number == "", F.lit("")).otherwise(F.concat(F.lit("d"), F.expr("int(regexp_extract(source, '([0-9]+)', 1)) % 4").cast("string")))
+    rest = F.right(number, F.lit(2)).cast("int") % 4  # a number's last two digits decide, however long it is
+    return F.when(number == "", F.lit("")).otherwise(F.concat(F.lit("d"), rest.cast("string")))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +133,7 @@ def _deal_sql(name: str, nodes: str, parent: str, child: str) -> str:
 OP10_SQL = rf"""
 WITH d AS (
   SELECT doc_id, CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]+)', 1) = '' THEN ''
-              ELSE 'd' || (regexp_extract(source, '([0-9]+)', 1)::INT % 4) END AS domain,
+              ELSE 'd' || (right(regexp_extract(source, '([0-9]+)', 1), 2)::INT % 4) END AS domain,
          coalesce(lang, '') AS lang, coalesce(source, '') AS source,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
   FROM documents),

@@ -6,6 +6,7 @@ from fractions import Fraction
 from pyspark.sql import functions as F
 
 from spotloom.llm.mixing import Plan, mix
+from spotloom.llm.queries import MIX_PLAN, source_domain
 
 
 def deal(budget, children):
@@ -65,3 +66,12 @@ def test_edge_cases(spark):
 
 def test_empty_table(spark, docs_of):
     assert mix(docs_of([]), F.col("source"), Plan()).collect() == []
+
+
+def test_domains_of_any_source_name(spark, docs_of):
+    """Numbers of any length; digits that are not ASCII are no number."""
+    names = {"src99999999999": "d3", "s" + "12345678901234567890": "d2", "x00000000000000000000104y7": "d0", "src7": "d3", "none": "", "": "", None: "", "a\u0663b": "", "5\u0663": "d1"}
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(names)], "doc_id long, source string").withColumn("text", F.lit("one two")).withColumn("lang", F.lit("en"))
+    got = {r.source: r.domain for r in docs.select("source", source_domain().alias("domain")).collect()}
+    assert got == names
+    assert mix(docs, source_domain(), MIX_PLAN).count() == len(names)
