@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotloom.functions.scratch import materialize
-from spotloom.operators import affinity, cluster, compare, downsample, enrich, evaluate, expression, factors, graph, loadings, train, trends
+from spotloom.operators import affinity, cluster, compare, downsample, enrich, evaluate, expression, factors, graph, leiden, loadings, train, trends, triangulate
 from spotloom.operators import spatial_fit as spatial
 from spotloom.sources import views
 from spotloom.sources.tables import table
@@ -686,14 +686,62 @@ def gabriel_graph(spark, d):
     return _rounded(cluster.gabriel_graph(cluster.with_positions(graph.knn_graph(s), s)), "distance")
 
 
+#: The interval of a pair's bisector on which no third spot is nearer, in lengths of the pair's line from its middle.
+_EMPTY = """pairs AS (SELECT a.replicate, a.spot_id AS src, b.spot_id AS dst, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM spots a JOIN spots b ON a.replicate = b.replicate AND a.spot_id <> b.spot_id),
+thirds AS (SELECT p.replicate, src, dst, sqrt(dx * dx + dy * dy) AS distance, dx * (c.y - ay) - dy * (c.x - ax) AS side, (c.x - ax) * (c.x - ax) + (c.y - ay) * (c.y - ay) - (c.x - ax) * dx - (c.y - ay) * dy AS room
+  FROM pairs p LEFT JOIN spots c ON c.replicate = p.replicate AND c.spot_id NOT IN (src, dst)),
+spans AS (SELECT replicate, src, dst, any_value(distance) AS distance, coalesce(max(room / (2 * side)) FILTER (side < 0), '-infinity'::DOUBLE) AS low, coalesce(min(room / (2 * side)) FILTER (side > 0), 'infinity'::DOUBLE) AS high,
+  coalesce(bool_or(side = 0 AND room < 0), false) AS blocked FROM thirds GROUP BY ALL),
+tri AS (SELECT replicate, src, dst, distance FROM spans WHERE NOT blocked AND high - low > 1e-9 * greatest(1, least(abs(low), abs(high))))"""
+
+
+@_query("spots", f"{_EMPTY} SELECT replicate, src, dst, {_r('distance')} AS distance FROM tri")
+def delaunay_graph(spark, d):
+    return _rounded(triangulate.delaunay_graph(views.spots(spark, d)), "distance")
+
+
+@_query("spots", f"{_EMPTY}, cut AS (SELECT replicate, quantile_cont(distance, 0.945) AS cut FROM tri GROUP BY 1) SELECT replicate, src, dst, {_r('distance')} AS distance FROM tri JOIN cut USING (replicate) WHERE distance <= cut")
+def delaunay_within_percentile(spark, d):
+    return _rounded(triangulate.delaunay_within(views.spots(spark, d)), "distance")
+
+
+@_query("spots", f"""d AS (SELECT s.replicate, s.spot_id, o.spot_id AS object_id, sqrt((s.x - o.x) * (s.x - o.x) + (s.y - o.y) * (s.y - o.y)) AS distance FROM spots s JOIN spots o ON s.replicate = o.replicate AND o.label = 0 AND s.label <> 0)
+SELECT replicate, spot_id, first(object_id ORDER BY distance, object_id) AS object_id, {_r('min(distance)')} AS distance FROM d GROUP BY ALL""")
+def nearest_object(spark, d):
+    s = views.spots(spark, d)
+    objects = s.where("label = 0").select("replicate", F.col("spot_id").alias("object_id"), "x", "y")
+    return _rounded(triangulate.nearest_object(s.where("label <> 0"), objects), "distance")
+
+
+def _packed_expression(spark, d):
+    """One sparse row a spot of the sample, and the number of genes."""
+    expr, _, _ = _sample(spark, d)
+    genes = sorted(r.gene for r in expr.select("gene").distinct().collect())  # one short name per gene
+    numbered = spark.createDataFrame(list(zip(genes, range(len(genes)), strict=True)), "gene string, g int")
+    return materialize(factors.packed_spots(expr, numbered), "packed-expression"), len(genes)
+
+
+@_query("", None)
+def expression_pca(spark, d):
+    spots, n_genes = _packed_expression(spark, d)
+    scores, _, _ = train.expression_components(spots, n_genes)
+    return scores.select("replicate", "spot_id", F.posexplode("z").alias("component", "value"))
+
+
+@_query("", None)
+def leiden_start(spark, d):
+    spots, n_genes = _packed_expression(spark, d)
+    return train.leiden_labels(spots, n_genes, train.Plan(factors=5))
+
+
 @_query("", None)
 def louvain(spark, d):
-    return cluster.communities(_edges(spark, d))
+    return leiden.communities(_edges(spark, d))
 
 
 @_query("", None)
 def cluster_domains(spark, d):
-    return cluster.domains(views.spots(spark, d), _edges(spark, d), loadings.l1_normalize(views.embedding_long(spark, d)), 5, tolerance=2.0)
+    return cluster.domains(views.spots(spark, d), _edges(spark, d), loadings.l1_normalize(views.embedding_long(spark, d)), 5)
 
 
 def _halvings(levels: int) -> str:

@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotloom.functions.scratch import discard, materialize
+from spotloom.functions.scratch import materialize
 from spotloom.functions.small import dot, packed, small
 from spotloom.operators.evaluate import nearest_in_space
 from spotloom.operators.graph import smooth_labels, smooth_loadings, symmetric_edges
+from spotloom.operators.leiden import communities_near
 
 
 def gabriel_graph(knn: DataFrame) -> DataFrame:
@@ -33,83 +34,6 @@ def with_positions(knn: DataFrame, spots: DataFrame) -> DataFrame:
     return knn.join(at("src", "x", "y"), ["replicate", "src"]).join(at("dst", "dx", "dy"), ["replicate", "dst"])
 
 
-def _moves(edges: DataFrame, labels: DataFrame, resolution: float, turn: int | None) -> DataFrame:
-    """(node, target): the neighbouring community with the largest modularity gain, for half of the nodes; for all without ``turn``.
-
-    ``edges`` without loops; ``labels`` hold node, label, and the node's and the replicate's sum of weights (deg, m2)."""
-    total = labels.groupBy(F.col("label").alias("target")).agg(F.sum("deg").alias("tot"))
-    near = edges.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("target")), "dst").groupBy(F.col("src").alias("node"), "target").agg(F.sum("w").alias("k"))
-    rows = near.join(labels.select("node", "label", "deg", "m2"), "node").join(total, "target")
-    rest = F.col("tot") - F.when(F.col("target") == F.col("label"), F.col("deg")).otherwise(0)
-    scored = rows.withColumn("gain", F.col("k") - resolution * F.col("deg") * rest / F.col("m2"))
-    # leaving for good costs nothing to a node that no neighbour ties to its own community
-    stay = F.coalesce(F.max(F.when(F.col("target") == F.col("label"), F.col("gain"))), F.lit(0.0))
-    best = scored.groupBy("node", "label").agg(F.max(F.struct("gain", (-F.col("target")).alias("low"))).alias("best"), stay.alias("stay"))
-    target = -F.col("best.low")
-    better = F.col("best.gain") > F.col("stay") + 1e-12
-    if turn is not None:
-        # a node moves to a smaller label on even turns and to a larger one on odd turns, so that no two nodes swap
-        way = target < F.col("label") if turn % 2 == 0 else target > F.col("label")
-        better = better & way & (F.pmod(F.xxhash64("node", F.lit(turn // 4)), F.lit(2)) == turn // 2 % 2)
-    return best.where(better).select("node", target.alias("target"))
-
-
-def communities(edges: DataFrame, resolution: float = 1.0, turns: int = 200, levels: int = 20) -> DataFrame:
-    """(replicate, spot_id, community): parallel Louvain on a symmetric edge table (replicate, src, dst).
-
-    Every turn half of the nodes move at once to the neighbouring community of largest gain; when no node moves in any
-    half or direction, communities become nodes and the next level starts, until a level changes nothing.  ``turns`` and
-    ``levels`` are guards that raise.  Each turn is a handful of joins on node numbers and one small table written; ids
-    may repeat in other replicates.
-    """
-    numbered = materialize(edges.select("replicate", F.col("src").alias("spot_id")).distinct().withColumn("n", F.monotonically_increasing_id()), "louvain-nodes")
-    side = lambda c: numbered.select("replicate", F.col("spot_id").alias(c), F.col("n").alias(f"{c}_n"))
-    now = edges.select("replicate", "src", "dst").join(side("src"), ["replicate", "src"]).join(side("dst"), ["replicate", "dst"])
-    now = materialize(now.select("replicate", F.col("src_n").alias("src"), F.col("dst_n").alias("dst"), F.lit(1.0).alias("w")), "louvain-edges")
-    member = numbered.select("replicate", "spot_id", F.col("n").alias("community"))
-    for _ in range(levels):
-        deg = now.groupBy("replicate", F.col("src").alias("node")).agg(F.sum("w").alias("deg"))
-        m2 = small(now.groupBy("replicate").agg(F.sum("w").alias("m2")))
-        labels = materialize(deg.join(m2, "replicate").select("node", F.col("node").alias("label"), "deg", "m2", F.lit(False).alias("moved")), "louvain-labels")
-        apart = now.where("src <> dst").select("src", "dst", "w")
-        any_move = False
-        for turn in range(turns):
-            to = _moves(apart, labels, resolution, turn)
-            new = materialize(labels.drop("moved").join(to, "node", "left").select("node", F.coalesce("target", "label").alias("label"), "deg", "m2", F.col("target").isNotNull().alias("moved")), "louvain-labels")
-            discard(labels)
-            labels = new
-            if labels.where("moved").isEmpty():
-                if _moves(apart, labels, resolution, None).isEmpty():
-                    break
-                continue
-            any_move = True
-        else:
-            raise RuntimeError(f"nodes still move after {turns} turns")
-        if not any_move:
-            return member
-        member = materialize(member.join(labels.select(F.col("node").alias("community"), "label"), "community").select("replicate", "spot_id", F.col("label").alias("community")), "louvain-members")
-        side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_new"))
-        now = materialize(now.join(side("src"), "src").join(side("dst"), "dst").groupBy("replicate", F.col("src_new").alias("src"), F.col("dst_new").alias("dst")).agg(F.sum("w").alias("w")), "louvain-edges")
-    raise RuntimeError(f"communities still merge after {levels} levels")
-
-
-def communities_near(edges: DataFrame, target: int, resolution: float = 1.0, tolerance: float = 0.05) -> tuple[DataFrame, float]:
-    """((replicate, spot_id, community), resolution): communities at the resolution that gives ``target`` of them over all replicates.
-
-    Starts at ``resolution`` and halves the range from a tenth to ten times of it on a logarithmic scale, until the number is
-    met or the range is narrower than ``tolerance``; then the last one tried stands.  For a joint clustering, edges carry one
-    replicate.  Every trial is one ``communities`` run."""
-    low, high, now = 0.1 * resolution, 10 * resolution, resolution
-    found = communities(edges, now)
-    number = found.select("community").distinct().count()
-    while number != target and high - low > tolerance:
-        now = (low * high) ** 0.5
-        found = communities(edges, now)
-        number = found.select("community").distinct().count()
-        low, high = (now, high) if number < target else (low, now)
-    return found, now
-
-
 def loading_graph(loadings: DataFrame, k: int, factors: int) -> tuple[DataFrame, DataFrame]:
     """((replicate, src, dst, distance), (replicate, spot_id, n)): symmetric graph of the ``k`` nearest spots by loadings over
     all replicates together, its ends being numbers n of spots; its one replicate is called all."""
@@ -125,7 +49,7 @@ def domains(spots: DataFrame, edges: DataFrame, loadings: DataFrame, target: int
     (``communities_near``), and a spot whose neighbours mostly hold another label takes it.  Labels count from 0 by size."""
     width = factors or loadings.agg(F.max("k")).first()[0] or 1
     near, numbers = loading_graph(smooth_loadings(edges, loadings), k, width)
-    found, _ = communities_near(materialize(near, "domain-edges"), target, tolerance=tolerance)
+    found = communities_near(materialize(near, "domain-edges"), target, tolerance=tolerance)[0]
     size = found.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("spot_id").alias("first"))
     order = Window.partitionBy(F.col("n").isNull()).orderBy(F.desc("n"), "first")  # a row a community
     named = found.join(small(size.select("community", (F.row_number().over(order) - 1).alias("label"))), "community")

@@ -99,33 +99,50 @@ def neighbour_vote(knn: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, block: int, cols: list[str]) -> DataFrame:
-    """(replicate, b, p): rows of a replicate packed in blocks of about ``block`` by hash."""
-    sizes = small(rows.groupBy("replicate").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")))
-    cut = rows.join(sizes, "replicate").withColumn("b", F.pmod(F.xxhash64("spot_id"), F.col("blocks")))
-    return cut.groupBy("replicate", "b").agg(F.collect_list(F.struct(*cols)).alias("p"))
+    """(replicate, b, n_blocks, p): rows of a replicate packed in blocks of about ``block`` by hash."""
+    sizes = small(rows.groupBy("replicate").agg(F.ceil(F.count(F.lit(1)) / block).alias("n_blocks")))
+    cut = rows.join(sizes, "replicate").withColumn("b", F.pmod(F.xxhash64("spot_id"), F.col("n_blocks")))
+    return cut.groupBy("replicate", "b").agg(F.first("n_blocks").alias("n_blocks"), F.collect_list(F.struct(*cols)).alias("p"))
+
+
+def _block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(replicate, p1, p): every block of ``left`` with every block of ``right`` in its replicate, a key of its own each."""
+    count = lambda t: t.select("replicate", "n_blocks").distinct()
+    all_of = F.sequence(F.lit(0), F.col("others") - 1)
+    mine = left.join(small(count(right).withColumnRenamed("n_blocks", "others")), "replicate").select("replicate", F.col("b").alias("b1"), F.explode(all_of).alias("b2"), F.col("p").alias("p1"))
+    theirs = right.join(small(count(left).withColumnRenamed("n_blocks", "others")), "replicate").select("replicate", F.explode(all_of).alias("b1"), F.col("b").alias("b2"), "p")
+    return mine.join(theirs, ["replicate", "b1", "b2"]).select("replicate", "p1", "p")
 
 
 def nearest_in_space(queries: DataFrame, data: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """(replicate, src, dst, distance, rank): the exact k nearest rows of ``data`` for each query, both (replicate, spot_id,
     z: array<double>); a row is not its own neighbour; ties by id.
 
-    In many dimensions all rows of a replicate are candidates, so blocks of rows meet: a task holds two of them, and every
-    pair of blocks hands on k rows a query.
+    In many dimensions all rows of a replicate are candidates, so blocks of rows meet: a task holds two of them, every pair of
+    blocks is a key of its own, and it hands on k rows a query.
     """
-    left = _blocks(queries, block, ["spot_id", "z"]).select("replicate", F.col("p").alias("p1"))
-    pairs = left.join(_blocks(data, block, ["spot_id", "z"]), "replicate")
+    pairs = _block_pairs(_blocks(queries, block, ["spot_id", "z"]), _blocks(data, block, ["spot_id", "z"]))
 
     def near(batches):
         for t in batches:
             for rep, p, q in zip(t["replicate"], t["p1"], t["p"], strict=True):
                 a, b = np.array([r["z"] for r in p]), np.array([r["z"] for r in q])
                 ia, ib = np.array([r["spot_id"] for r in p]), np.array([r["spot_id"] for r in q])
-                for i in range(len(a)):
-                    d = np.sqrt(((b - a[i]) ** 2).sum(axis=1))
-                    d[ib == ia[i]] = np.inf
-                    best = np.lexsort((ib, d))[:k] if len(d) <= 4 * k else (lambda c: c[np.lexsort((ib[c], d[c]))][:k])(np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]))
-                    best = best[np.isfinite(d[best])]
-                    yield pd.DataFrame({"replicate": rep, "src": ia[i], "dst": ib[best], "distance": d[best]})
+                order = np.argsort(ib)
+                b, ib = b[order], ib[order]
+                src, dst, far = [], [], []
+                for i in range(0, len(a), 32):
+                    d = np.sqrt(((a[i : i + 32, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+                    d[ia[i : i + 32, None] == ib[None, :]] = np.inf
+                    most = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 :].min(axis=1)
+                    row, col = np.nonzero((d <= most[:, None]) & np.isfinite(d))  # ids ascend, so ties keep the smaller ones
+                    first = np.lexsort((col, d[row, col], row))
+                    row, col = row[first], col[first]
+                    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    src.append(ia[i + row[kept]])
+                    dst.append(ib[col[kept]])
+                    far.append(d[row[kept], col[kept]])
+                yield pd.DataFrame({"replicate": rep, "src": np.concatenate(src), "dst": np.concatenate(dst), "distance": np.concatenate(far)})
 
     found = pairs.mapInPandas(near, "replicate string, src long, dst long, distance double")
     order = Window.partitionBy("replicate", "src").orderBy(F.round("distance", 12), "dst")
@@ -171,7 +188,7 @@ def silhouette(points: DataFrame, block: int = 2048) -> DataFrame:
     in a replicate, but a task holds two blocks only and hands on one row per point and label.  Where that is too much,
     ``centroid_silhouette`` takes time in proportion to the rows."""
     packed_rows = _blocks(points.withColumn("label", F.col("label").cast("string")), block, ["spot_id", "z", "label"])
-    pairs = packed_rows.select("replicate", F.col("p").alias("p1")).join(packed_rows, "replicate")
+    pairs = _block_pairs(packed_rows, packed_rows)
 
     def sums(batches):
         for t in batches:

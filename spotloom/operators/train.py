@@ -20,6 +20,9 @@ from spotloom.functions.scratch import discard, materialize
 from spotloom.functions.small import packed
 from spotloom.operators import factors as fac
 from spotloom.operators.affinity import fit_affinity, log_partition
+from spotloom.operators.evaluate import nearest_in_space
+from spotloom.operators.graph import symmetric_edges
+from spotloom.operators.leiden import communities_near
 from spotloom.operators.spatial_fit import colour_graph, spatial_loadings, superresolve
 
 KEY = ["replicate", "spot_id"]
@@ -31,7 +34,10 @@ class Plan:
     drawn to their mean."""
 
     factors: int = 8
-    start: str = "svd"
+    start: str = "svd"  # or kmeans, leiden
+    components: int = 50
+    neighbours: int = 20
+    retries: int = 3
     nmf_iterations: int = 20
     spatial_iterations: int = 5
     sweeps: int = 2
@@ -75,8 +81,11 @@ class SpatialModel:
         return SpatialModel(genes, weights, affinity, sigma, read("loadings"), losses)
 
 
-def gene_gram(spots: DataFrame, right: np.ndarray) -> np.ndarray:
-    """Y'Y times a genes x few matrix, in one pass; tasks return genes x few sums."""
+def gene_gram(spots: DataFrame, right: np.ndarray, mean: np.ndarray | None = None, n: int = 0) -> np.ndarray:
+    """Y'Y times a genes x few matrix, in one pass; tasks return genes x few sums.
+
+    With the genes' ``mean`` over all ``n`` spots, Y stands for the centred matrix: its product differs by the outer product of
+    the means, so sparse rows are never filled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(right.shape)
@@ -91,29 +100,89 @@ def gene_gram(spots: DataFrame, right: np.ndarray) -> np.ndarray:
     parts = spots.select("g", "y").mapInPandas(run, "row int, v array<double>")
     sums = parts.groupBy("row").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(right.shape[1])]).alias("v")).toPandas()
     out = np.zeros(right.shape)
-    out[sums["row"].to_numpy()] = np.array(sums["v"].tolist())
-    return out
+    if len(sums):
+        out[sums["row"].to_numpy()] = np.array(sums["v"].tolist())
+    return out if mean is None else out - n * np.outer(mean, mean @ right)
 
 
-def right_vectors(spots: DataFrame, n_genes: int, n: int, seed: int = 0, passes: int = 6) -> np.ndarray:
-    """The leading ``n`` right singular vectors of the spots x genes matrix, by block power iteration."""
+def right_vectors(spots: DataFrame, n_genes: int, n: int, seed: int = 0, passes: int = 6, mean: np.ndarray | None = None, n_spots: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The leading ``n`` right singular vectors and squared singular values of the spots x genes matrix (centred with
+    ``mean``), by block power iteration."""
     n = min(n, n_genes)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_genes, min(n + 8, n_genes))))[0]
     for _ in range(passes):
-        q = np.linalg.qr(gene_gram(spots, q))[0]
-    small = q.T @ gene_gram(spots, q)
+        q = np.linalg.qr(gene_gram(spots, q, mean, n_spots))[0]
+    small = q.T @ gene_gram(spots, q, mean, n_spots)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    return q @ vectors[:, np.argsort(-values)[:n]]
+    order = np.argsort(-values)[:n]
+    return q @ vectors[:, order], np.maximum(values[order], 0.0)
+
+
+def expression_components(spots: DataFrame, n_genes: int, n: int = 50, seed: int = 0, passes: int = 6) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """((replicate, spot_id, z), genes x n weights, variances): principal components of sparse expression over all
+    replicates of ``spots`` (packed: replicate, spot_id, g, y); signs are positive at the largest weight.
+
+    Centring is implicit (``gene_gram``).  The driver holds genes x n numbers; a pass over the spots is a product."""
+    sums = spots.select(F.explode(F.arrays_zip("g", "y")).alias("c")).groupBy("c.g").agg(F.sum("c.y").alias("s")).collect()  # a row a gene
+    n_spots, mean = spots.count(), np.zeros(n_genes)
+    for r in sums:
+        mean[r.g] = r.s / max(1, n_spots)
+    v, squares = right_vectors(spots, n_genes, n, seed, passes, mean, n_spots)
+    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+    shift = mean @ v
+
+    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            if len(t):
+                yield t[KEY].assign(z=list(fac.spot_products(t["g"], t["y"], v)[0] - shift))
+
+    kind = spots.schema["spot_id"].dataType.simpleString()
+    rows = spots.select(*KEY, "g", "y").mapInPandas(scores, f"replicate string, spot_id {kind}, z array<double>")
+    return rows, v, squares / max(1, n_spots - 1)
+
+
+def label_weights(spots: DataFrame, labels: DataFrame, n_genes: int, factors: int) -> np.ndarray:
+    """Genes x factors: mean expression of the spots of each label (replicate, spot_id, label from 0)."""
+    named = spots.select(*KEY, "g", "y").join(labels, KEY)
+    cells = named.select("label", F.explode(F.arrays_zip("g", "y")).alias("c")).groupBy("label", "c.g").agg(F.sum("c.y").alias("s"))
+    size = {r.label: r["count"] for r in named.groupBy("label").count().collect()}
+    m = np.full((n_genes, factors), fac.FLOOR)
+    for r in cells.collect():  # genes x factors
+        m[r.g, r.label] = max(r.s / size[r.label], fac.FLOOR)
+    return m
+
+
+def leiden_labels(spots: DataFrame, n_genes: int, plan: Plan) -> DataFrame:
+    """(replicate, spot_id, label from 0): ``plan.factors`` communities of the graph of nearest spots in ``plan.components``
+    components, over all replicates.  Where the number is not met, the graph gets half as many neighbours again, up to
+    ``plan.retries`` times.  Labels count by size."""
+    scores, _, _ = expression_components(spots, n_genes, plan.components, plan.seed)
+    rows = materialize(scores.withColumn("n", F.monotonically_increasing_id()), "start-scores")
+    joint, near = rows.select(F.lit("all").alias("replicate"), F.col("n").alias("spot_id"), "z"), plan.neighbours
+    for _ in range(plan.retries + 1):
+        edges = materialize(symmetric_edges(nearest_in_space(joint, joint, near)), "start-edges")
+        found, _, number = communities_near(edges, plan.factors)
+        if number == plan.factors:
+            break
+        near = int(near * 1.5)
+    else:
+        raise ValueError(f"{number} communities instead of {plan.factors}, also with {near} neighbours: choose another start or number of factors")
+    sizes = found.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("spot_id").alias("first")).collect()  # a row a factor
+    order = sorted(sizes, key=lambda r: (-r.size, r.first))
+    names = spots.sparkSession.createDataFrame([(r.community, i) for i, r in enumerate(order)], "community long, label int")
+    named = found.join(F.broadcast(names), "community").select(F.col("spot_id").alias("n"), "label")
+    return materialize(rows.select(*KEY, "n").join(named, "n").drop("n"), "start-labels")
 
 
 def initial_weights(spots: DataFrame, n_genes: int, plan: Plan) -> np.ndarray:
-    """Weights on the simplex from singular vectors (signs by the larger mass) or from k-means of the leading scores."""
+    """Weights on the simplex from singular vectors (signs by the larger mass), or from the mean expression of k-means clusters
+    of the leading scores or of Leiden communities."""
     if plan.start == "svd":
-        v = right_vectors(spots, n_genes, plan.factors, plan.seed)
+        v, _ = right_vectors(spots, n_genes, plan.factors, plan.seed)
         v *= np.where(np.maximum(v, 0).sum(axis=0) >= np.maximum(-v, 0).sum(axis=0), 1.0, -1.0)
         m = np.maximum(v, fac.FLOOR)
     elif plan.start == "kmeans":
-        v = right_vectors(spots, n_genes, 20, plan.seed)
+        v, _ = right_vectors(spots, n_genes, 20, plan.seed)
 
         def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for t in batches:
@@ -123,11 +192,9 @@ def initial_weights(spots: DataFrame, n_genes: int, plan: Plan) -> np.ndarray:
         rows = spots.select(*KEY, "g", "y").mapInPandas(scores, "replicate string, spot_id long, g array<int>, y array<double>, f array<double>")
         rows = materialize(rows.withColumn("features", array_to_vector("f")).drop("f"), "scores")
         named = KMeans(k=plan.factors, seed=plan.seed).fit(rows).transform(rows)
-        cells = named.select("prediction", F.explode(F.arrays_zip("g", "y")).alias("c")).groupBy("prediction", "c.g").agg(F.sum("c.y").alias("s"))
-        size = {r.prediction: r["count"] for r in named.groupBy("prediction").count().collect()}
-        m = np.full((n_genes, plan.factors), fac.FLOOR)
-        for r in cells.collect():  # genes x factors
-            m[r.g, r.prediction] = max(r.s / size[r.prediction], fac.FLOOR)
+        m = label_weights(spots, named.select(*KEY, F.col("prediction").alias("label")), n_genes, plan.factors)
+    elif plan.start == "leiden":
+        m = label_weights(spots, leiden_labels(spots, n_genes, plan), n_genes, plan.factors)
     else:
         raise ValueError(f"unknown start {plan.start}")
     return m / m.sum(axis=0)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spotloom.operators import affinity, cluster, factors, graph, spatial_fit, train
+from spotloom.operators import leiden, affinity, cluster, factors, graph, spatial_fit, train
 
 
 def ring(spark, n, chords=0, seed=1):
@@ -59,7 +59,7 @@ def test_finer_loadings_follow_bins(spark):
 def test_communities_of_two_cliques(spark):
     pairs = [(a, b) for base in (0, 10) for a in range(base, base + 6) for b in range(base, base + 6) if a != b] + [(0, 10), (10, 0)]
     edges = spark.createDataFrame([("r", a, b) for a, b in pairs], "replicate string, src long, dst long")
-    got = {r.spot_id: r.community for r in cluster.communities(edges).collect()}
+    got = {r.spot_id: r.community for r in leiden.communities(edges).collect()}
     assert len({got[i] for i in range(6)}) == 1 and len({got[i] for i in range(10, 16)}) == 1 and got[0] != got[10]
 
 
@@ -68,7 +68,7 @@ def test_communities_beat_single_nodes(spark):
     points = [(rng.gauss(c, 1), rng.gauss(c, 1)) for c in (0, 6, 12) for _ in range(40)]
     spots = spark.createDataFrame([("r", i, x, y) for i, (x, y) in enumerate(points)], "replicate string, spot_id long, x double, y double")
     edges = graph.symmetric_edges(graph.knn_graph(spots, 5))
-    labels = cluster.communities(edges).select("replicate", "spot_id", F.col("community").alias("label"))
+    labels = leiden.communities(edges).select("replicate", "spot_id", F.col("community").alias("label"))
     assert graph.modularity(labels, edges).first().modularity > 0.6
 
 
@@ -164,6 +164,51 @@ def test_singular_vectors_equal_numpy(spark):
     rng = np.random.default_rng(11)
     y = rng.gamma(0.3, 1, (50, 12))
     spots = spark.createDataFrame([("r", i, list(range(12)), y[i].tolist()) for i in range(50)], "replicate string, spot_id long, g array<int>, y array<double>")
-    v = train.right_vectors(spots, 12, 3)
+    v, _ = train.right_vectors(spots, 12, 3)
     want = np.linalg.svd(y, full_matrices=False)[2][:3].T
     assert np.abs((v * want).sum(axis=0)) == pytest.approx(1, abs=1e-6)
+
+
+def planted_expression(spark, seed=11, spots=45, genes=30):
+    """Two replicates whose spots express one of three sets of genes each, over noise; values are sparse."""
+    rng = np.random.default_rng(seed)
+    rows, group = [], {}
+    for r in ("r0", "r1"):
+        for i in range(spots):
+            group[r, i] = i % 3
+            for g in range(genes):
+                v = rng.poisson(9 if g % 3 == i % 3 else 0.3)
+                if v:
+                    rows.append((r, i, f"g{g:02d}", float(v)))
+    numbered = spark.createDataFrame([(f"g{g:02d}", g) for g in range(genes)], "gene string, g int")
+    return spark.createDataFrame(rows, "replicate string, spot_id long, gene string, value double"), numbered, group, rows
+
+
+def test_components_of_expression_equal_numpy(spark):
+    expr, numbered, group, rows = planted_expression(spark)
+    scores, weights, variances = train.expression_components(factors.packed_spots(expr, numbered), 30, 4, passes=25)
+    keys = sorted(group)
+    dense = np.zeros((len(keys), 30))
+    for r, i, g, v in rows:
+        dense[keys.index((r, i)), int(g[1:])] = v
+    centred = dense - dense.mean(axis=0)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    assert variances[:2] == pytest.approx(s[:2] ** 2 / (len(keys) - 1), rel=1e-6)
+    got = {(r.replicate, r.spot_id): np.array(r.z) for r in scores.collect()}
+    mine = np.array([got[k] for k in keys])
+    assert np.abs(mine[:, :2]) == pytest.approx(np.abs(centred @ vt[:2].T), abs=1e-4)
+    assert mine.mean(axis=0) == pytest.approx(np.zeros(4), abs=1e-8)
+
+
+def test_leiden_start_finds_planted_sets(spark):
+    """Communities of expression are the planted groups in both replicates, and their mean expression starts the weights."""
+    expr, numbered, group, _ = planted_expression(spark)
+    spots = factors.packed_spots(expr, numbered)
+    plan = train.Plan(factors=3, start="leiden", components=5, neighbours=10)
+    named = {(r.replicate, r.spot_id): r.label for r in train.leiden_labels(spots, 30, plan).collect()}
+    assert named.keys() == group.keys() and len({(named[k], group[k]) for k in group}) == 3
+    m = train.label_weights(spots, spark.createDataFrame([(*k, v) for k, v in named.items()], "replicate string, spot_id long, label int"), 30, 3)
+    for k, label in list(named.items())[:3]:
+        assert sorted(np.argsort(-m[:, label])[:10] % 3) == [group[k]] * 10
+    with pytest.raises(ValueError, match="communities instead of 80"):
+        train.leiden_labels(spots.limit(20), 30, train.Plan(factors=80, components=3, neighbours=4, retries=0))

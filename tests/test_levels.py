@@ -91,17 +91,6 @@ def test_levels_keep_the_sums(spark, tmp_path):
     assert io.read_sample(spark, str(tmp_path / "sample"), "spots", ["r1"], 2).count() == n["r1", 2]
 
 
-def test_communities_to_a_number(spark):
-    pairs = [(a, b) for base in range(0, 40, 10) for a in range(base, base + 6) for b in range(base, base + 6) if a != b]
-    pairs += [p for a in (0, 20) for p in ((a, a + 10), (a + 10, a), (a + 1, a + 11), (a + 11, a + 1))]
-    edges = spark.createDataFrame([("r", a, b) for a, b in pairs], "replicate string, src long, dst long")
-    for target, groups in ((4, 4), (2, 2)):
-        got, resolution = cluster.communities_near(edges, target)
-        named = {r.spot_id: r.community for r in got.collect()}
-        assert len(set(named.values())) == groups and 0.1 <= resolution <= 10
-        assert all(len({named[i] for i in range(base, base + 6)}) == 1 for base in range(0, 40, 10))
-
-
 def test_domains_over_replicates(spark):
     """Two bands with loadings of their own, the same in both replicates: two domains, shared by the replicates."""
     rng = np.random.default_rng(5)
