@@ -9,7 +9,8 @@ pivot that is in the other's prefix: pivots are looked up in an index of prefixe
 the word, its first five occurrences are indexed: a pivot is among the first three, and one edit puts two before it at most.
 The edit is to the right or to the left of the undamaged pivot, so the words agree up to its end, or from its start on.
 That sets the limits of its position (the same place from the start, or from the end), and a hash of either side is the
-key under which bigrams are indexed and looked up.  Pairs that meet are verified by edit distance.
+key under which bigrams are indexed and looked up.  Pairs that meet, and whose letters agree but for two kinds, are verified
+by edit distance.
 
 Index lists longer than ``list_limit`` (bigrams near an end have little on that side) are refined, which loses no pair: words
 within one edit share their first half or the rest after it, cut at half of the shorter length, so the keys hold those too.
@@ -118,27 +119,36 @@ def prefix_and_pivots(word: str, rank: dict[str, int], weight: dict[str, int]) -
     return [(word[i : i + 2], i) for i in indexed], [(word[i : i + 2], i) for i in lightest[-1][2][1]], last
 
 
+def letter_sign(word: str) -> int:
+    """A bit per kind of letter (code modulo 64): whether it occurs an odd number of times.  One edit changes two bits at most."""
+    sign = 0
+    for letter in word:
+        sign ^= 1 << (ord(letter) & 63)
+    return sign - (1 << 64) if sign >> 63 else sign
+
+
 def _signed(batches: Iterator[pa.RecordBatch], rank: dict[str, int], weight: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    names = ["word", "pivot", "gram", "pos", "last"]
+    names = ["word", "sign", "pivot", "pos", "last"]
     for batch in batches:
         rows: list[list] = [[], [], [], [], []]
         for word in batch.column(0).to_pylist():
             prefix, pivots, last = prefix_and_pivots(word, rank, weight)
+            sign = letter_sign(word)
             for pivot, grams in ((False, prefix), (True, pivots)):
-                for gram, pos in grams:
-                    for col, value in zip(rows, (word, pivot, gram, pos, last)):
+                for _, pos in grams:
+                    for col, value in zip(rows, (word, sign, pivot, pos, last)):
                         col.append(value)
-        kinds = [pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.int32()]
+        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names)
 
 
 def signatures(words: DataFrame) -> DataFrame:
-    """(word, pivot, gram, pos, last): entries to index (pivot false, seven at most) and two pivots of every word."""
+    """(word, sign, pivot, pos, last): entries to index (pivot false, seven at most) and two pivots of every word."""
     grams = gram_counts(words).orderBy("words", "gram").limit(MOST_GRAMS + 1).collect()
     if len(grams) > MOST_GRAMS:
         raise ValueError(f"more than {MOST_GRAMS} bigrams: words may hold a-z and U+00C0 to U+00FF only")
     rank, weight = {r.gram: i for i, r in enumerate(grams)}, {r.gram: r.words for r in grams}
-    return words.select("word").mapInArrow(partial(_signed, rank=rank, weight=weight), "word string, pivot boolean, gram string, pos int, last int")
+    return words.select("word").mapInArrow(partial(_signed, rank=rank, weight=weight), "word string, sign long, pivot boolean, pos int, last int")
 
 
 def _halves(shorter: Column) -> Column:
@@ -180,7 +190,7 @@ def near_pairs(words: DataFrame, list_limit: int = 40) -> DataFrame:
     signed = materialize(signatures(words), "spelling-grams")
     start, end = F.substr("word", F.lit(1), F.col("pos") + 2), F.substr("word", F.col("pos") + 1)
     keys = F.array(F.xxhash64(F.lit("<"), start), F.xxhash64(F.lit(">"), end))
-    rows = signed.select("word", "last", "pivot", F.explode(keys).alias("key"))
+    rows = signed.select("word", "sign", "last", "pivot", F.explode(keys).alias("key"))
     probe, index = rows.where("pivot").drop("pivot"), rows.where("not pivot").drop("pivot")
     long = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > list_limit).select("key"), "spelling-long")
     found = _verified(probe.join(long, "key", "left_anti"), index.join(long, "key", "left_anti"))
@@ -194,12 +204,13 @@ def _refined(rows: DataFrame) -> DataFrame:
     """Keys that hold a half of the word as well, for each length a partner may have."""
     size = F.char_length("word")
     rows = rows.withColumn("shorter", F.explode(F.array(size - 1, size)))
-    return rows.select("word", "last", F.explode(F.transform(_halves(F.col("shorter")), lambda half: F.xxhash64("key", "shorter", half))).alias("key"))
+    return rows.select("word", "sign", "last", F.explode(F.transform(_halves(F.col("shorter")), lambda half: F.xxhash64("key", "shorter", half))).alias("key"))
 
 
 def _verified(probe: DataFrame, index: DataFrame) -> DataFrame:
-    left, right = (t.select("key", F.col("word").alias(n), F.col("last").alias(f"{n}_last")) for t, n in ((probe, "a"), (index, "b")))
-    met = left.join(right, "key").where((F.col("a_last") <= F.col("b_last")) & (F.col("a") != F.col("b")) & ((F.char_length("a") > LONG) | (F.levenshtein("a", "b", 1) == 1)))
+    left, right = (t.select("key", F.col("word").alias(n), F.col("sign").alias(f"{n}_sign"), F.col("last").alias(f"{n}_last")) for t, n in ((probe, "a"), (index, "b")))
+    alike = F.bit_count(F.col("a_sign").bitwiseXOR(F.col("b_sign"))) <= 2  # cheap, and true of all words one edit apart
+    met = left.join(right, "key").where(alike & (F.col("a_last") <= F.col("b_last")) & (F.col("a") != F.col("b")) & ((F.char_length("a") > LONG) | (F.levenshtein("a", "b", 1) == 1)))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
