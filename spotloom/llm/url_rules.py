@@ -6,6 +6,11 @@ conclude the block label are pruned by support and confidence; support has an ab
 URLs), so that on few labels a combination seen once is no rule.  The inverted index files each rule under its rarest
 token; a URL looks up only its own tokens and then must hold all of a rule's.
 
+Mining lists no combination that decides nothing (``reduced``): tokens of exactly the same labelled URLs are one item, held by a
+URL with any of them; tokens too rare beside the block label are left out; a token that only blocked URLs hold is a rule
+of confidence 1 by itself, and combinations with it are not listed.  The verdicts are those of all combinations, also
+where labelled URLs share dozens of tokens.
+
 Hosts and paths follow the contract of ``split_url``.  A listed rule fits its host and all subdomains if the path
 starts with the rule's; of several the longest wins, and of equal lengths the first in text order.
 
@@ -25,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotloom.functions.scratch import materialize
+from spotloom.functions.small import small
 
 BLOCK_ITEM = "=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,6 +96,33 @@ def mine_rules(baskets: DataFrame, min_support: float = 0.002, min_confidence: f
     )
 
 
+def reduced(baskets: DataFrame, min_support: float = 0.002, min_count: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((token, item), pure rules, baskets of items) from labelled ``baskets`` (id: one a row, tokens, bad).
+
+    An item stands for the tokens that the same baskets hold: counts of a combination depend on the items only, so a URL
+    meets some combination of the tokens of several items if it holds one token of each.  Every token of a rule meets the block label
+    as often as the rule does, so items below the support are dropped.  An item that only blocked baskets hold gives a
+    rule of confidence 1, which no longer combination exceeds.
+    """
+    each = baskets.select("id", "bad", F.explode("tokens").alias("token"))
+    mark = lambda seed: F.bit_xor(F.xxhash64("id", F.lit(seed)))
+    count = F.count(F.lit(1)).alias("n")
+    tokens = each.groupBy("token").agg(mark(1).alias("m1"), mark(2).alias("m2"), count, F.sum(F.col("bad").cast("long")).alias("n_bad"))
+    whole = baskets.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad")).first()
+    least = max(min_count, min_support * whole.n - 1e-6)
+    same = tokens.where(F.col("n_bad") >= least).groupBy("m1", "m2", "n", "n_bad").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
+    groups = materialize(same.select("item", "n", "n_bad", F.explode("tokens").alias("token")), "url-items")
+    share = F.col("n_bad") / F.lit(float(max(whole.n, 1)))
+    pure = groups.where("n = n_bad AND token = item").select(
+        F.xxhash64(F.array("item")).alias("rule_id"), F.array("item").alias("tokens"), F.lit(1.0).alias("confidence"), share.alias("support"), F.lit(whole.n / max(whole.n_bad or 0, 1)).alias("lift")
+    )
+    mixed = groups.where("n > n_bad AND token = item").select("item", "token")
+    held = each.join(small(mixed), "token").groupBy("id").agg(F.collect_list("item").alias("items"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    left = baskets.select("id", "bad").join(held, "id", "left").select(F.when(F.col("bad"), F.concat(items, F.array(F.lit(BLOCK_ITEM)))).otherwise(items).alias("items"))
+    return groups.select("token", "item"), pure, left
+
+
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, confidence, tokens): the most confident rule of every URL (url, tokens) that any rule matches."""
     found = urls.select("url", "tokens", F.explode("tokens").alias("token"))
@@ -103,17 +136,22 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[ListedRule], bad: Column, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", min_support: float = 0.002, min_confidence: float = 0.7, min_count: int = 3) -> DataFrame:
-    """Per page: page_id, host, path, rule, verdict, confidence, matched (tokens of the mined rule that decided)."""
+    """Per page: page_id, host, path, rule, verdict, confidence, matched (the URL's tokens in the mined rule that decided)."""
     rows = with_listed(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")), rules)
     rows = rows.withColumn("tokens", url_tokens(F.col("__url"), F.col("host"), F.col("path")))
     rows = materialize(rows.select("page_id", F.col("__url").alias("url"), "host", "path", "rule", "listed", "tokens"), "urls")
     marks = labels.select(F.col(label_id).cast("long").alias("page_id"), F.coalesce(bad, F.lit(False)).alias("bad")).where("page_id IS NOT NULL")
     marks = marks.groupBy("page_id").agg(F.max("bad").alias("bad"))
-    items = F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK_ITEM)))).otherwise(F.col("tokens"))
-    baskets = rows.select("page_id", "tokens").join(marks, "page_id").where(F.size("tokens") > 0).select(items.alias("items"))
-    mined = materialize(mine_rules(materialize(baskets, "url-baskets"), min_support, min_confidence, min_count=min_count), "url-rules")
+    labelled = rows.select("page_id", "tokens").join(marks, "page_id").where(F.size("tokens") > 0)
+    baskets = materialize(labelled.select(F.monotonically_increasing_id().alias("id"), "tokens", "bad"), "url-baskets")
+    groups, pure, left = reduced(baskets, min_support, min_count)
+    mined = materialize(pure.unionByName(mine_rules(materialize(left, "url-lattice"), min_support, min_confidence, min_count=min_count)), "url-rules")
     open_urls = rows.where("listed IS NULL").select("url", "tokens").distinct()
-    hits = materialize(matches(open_urls, mined), "url-hits")
+    known = open_urls.select("url", F.explode("tokens").alias("token")).join(small(groups), "token")
+    known = materialize(known.groupBy("url").agg(F.collect_list(F.struct("item", "token")).alias("held")), "url-known")
+    found = matches(known.select("url", F.array_distinct(F.col("held.item")).alias("tokens")), mined).withColumnRenamed("matched", "needs")
+    own = F.array_sort(F.transform(F.filter("held", lambda h: F.array_contains("needs", h["item"])), lambda h: h["token"]))
+    hits = materialize(found.join(known, "url").select("url", "confidence", own.alias("matched")), "url-hits")
     out = rows.join(hits, "url", "left")
     mined_says = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
     return out.select(

@@ -74,3 +74,43 @@ def test_few_labels_make_no_rule(spark):
     assert {r.verdict for r in got.collect()} == {"allow"} and got.count() == 10
     assert {r.verdict for r in ur.judge(table, bad(labels[:1]), RULES, F.col("quality") == 0).collect()} == {"allow"}
     assert {r.page_id for r in ur.judge(table, bad(labels), RULES, F.col("quality") == 0, min_count=1).where("verdict = 'block'").collect()} == {0, 1, 8}
+
+
+def test_reduced_items_decide_like_all_combinations(spark):
+    """Items, pure rules and the lattice together give every URL the confidence of counting all token combinations."""
+    rng = random.Random(4)
+    baskets = []
+    for i in range(120):
+        held = {t for t in "abcde" if rng.random() < 0.4}
+        held |= {t + t for t in held if t in "ab"}  # aa and bb come with a and b
+        held |= {"z"} if i % 12 == 0 else set()  # only blocked URLs hold z
+        bad = "z" in held or rng.random() < (0.9 if {"a", "b"} <= held else 0.2)
+        if held:
+            baskets.append((i, sorted(held), bad))
+    table = spark.createDataFrame(baskets, "id long, tokens array<string>, bad boolean")
+    groups, pure, left = ur.reduced(table, 0.02, 3)
+    rules = [(set(r.tokens), r.confidence) for r in pure.unionByName(ur.mine_rules(left, 0.02, 0.7)).collect()]
+    item = {r.token: r.item for r in groups.collect()}
+    assert item["aa"] == item["a"] and item["bb"] == item["b"] and ({"z"}, 1.0) in rules
+    everything, every = [], sorted({t for _, h, _ in baskets for t in h})
+    for k in range(1, len(every) + 1):
+        for combo in combinations(every, k):
+            marks = [b for _, h, b in baskets if set(combo) <= set(h)]
+            if sum(marks) >= max(3, 0.02 * len(baskets)) and sum(marks) / len(marks) >= 0.7:
+                everything.append((set(combo), sum(marks) / len(marks)))
+    for _ in range(300):
+        url = set(rng.sample(every, rng.randrange(1, len(every))))
+        items = {item[t] for t in url if t in item}
+        got = max((c for r, c in rules if r <= items), default=None)
+        assert got == pytest.approx(max((c for r, c in everything if r <= url), default=None))
+
+
+def test_dozens_of_shared_tokens(spark):
+    """Three labelled URLs share 40 path parts: no list of 2^40 combinations; every URL with such a part is blocked."""
+    deep = "https://a.net/" + "/".join(f"p{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    pages = [(i, f"{deep}?k{chr(97 + i)}=1") for i in range(3)] + [(3, "https://a.net/pab"), (4, "https://a.net/other"), (5, "https://b.net/x"), (6, deep)]
+    labels = [(0, 0, 0), (1, 0, 0), (2, 0, 0), (4, 1, 0), (5, 1, 0)]
+    got = ur.judge(spark.createDataFrame(pages + pages[:1], "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), RULES, F.col("quality") == 0)
+    rows = got.collect()
+    assert {r.page_id: r.verdict for r in rows} == {0: "block", 1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block"} and len(rows) == 8
+    assert next(r for r in rows if r.page_id == 3).matched == ["p:pab"]
