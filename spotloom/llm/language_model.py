@@ -5,7 +5,8 @@ shard and block of texts.  Shards are dealt by context and the word's top four b
 all words still spreads over sixteen shards.  A shard merges its runs and writes two arrays to the shared folder: the
 sorted 64-bit hashes of its pairs and their counts.  What the model needs about single words (token count, number of
 different words before it, number of words seen once, twice, more often after it) is summed in a second shuffle and stored
-the same way, sharded by the word's hash.  Nothing but a few sums per shard reaches the driver.
+the same way, sharded by the word's hash.  Nothing but a few sums per shard and the lengths of its arrays reaches the driver;
+a listed array that is missing or of another length when a task maps it raises, so a lost file never scores as unseen.
 
 Scoring.  Tasks memory-map the arrays: pages are shared by all workers of a machine and none is copied into a worker.
 A block of texts looks up its distinct words and pairs in sorted order, shard by shard.
@@ -44,6 +45,7 @@ _U = np.uint64
 #: Tokens that no word can equal, since words hold no white space.
 _END, _START = xxhash.xxh64_intdigest(b" "), xxhash.xxh64_intdigest(b"\n")
 _BLOCK = 1_000_000
+_LISTED = pa.struct([("shard", pa.int32()), ("length", pa.int64())])
 _FIELDS = ["tokens", "before", "once", "twice", "often", "follows"]
 
 
@@ -183,6 +185,9 @@ class Model:
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     word_rest: float
+    #: Entries of the arrays that were written, by shard; other shards are empty.
+    pair_lengths: dict[int, int]
+    word_lengths: dict[int, int]
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -253,7 +258,8 @@ def train(docs: DataFrame, learns: Callable[[int | None], bool] = in_training, i
         out = [_pack(_gaps(words[to == s]), *(f[to == s] for f in fields)) for s in own]
         c = [int((n == k).sum()) for k in range(1, 5)]
         first = [i == 0 for i in range(len(own))]
-        return pa.table({"shard": pa.array(own, pa.int32()), "run": pa.array(out, pa.binary()), **{f"c{k}": pa.array([c[k - 1] if x else 0 for x in first], pa.int64()) for k in range(1, 5)}})
+        wrote = {"origin": pa.array([shard if x else -1 for x in first], pa.int32()), "length": pa.array([len(h)] * len(own), pa.int64())}
+        return pa.table({"shard": pa.array(own, pa.int32()), "run": pa.array(out, pa.binary()), **wrote, **{f"c{k}": pa.array([c[k - 1] if x else 0 for x in first], pa.int64()) for k in range(1, 5)}})
 
     def merge_words(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
@@ -266,22 +272,33 @@ def train(docs: DataFrame, learns: Callable[[int | None], bool] = in_training, i
         sums = {f"c{k}": int(np.sum(t.column(f"c{k}").to_numpy())) for k in range(1, 5)}
         sums |= {f"w{k}": int((before == k).sum()) for k in range(1, 5)}
         sums |= {"w": int((before > 0).sum()), "tokens": int(tokens.sum()), "pairs": int(before.sum())}
-        return pa.table({k: pa.array([v], pa.int64()) for k, v in sums.items()})
+        listed = [{"shard": a, "length": n} for a, n in zip(t.column("origin").to_pylist(), t.column("length").to_pylist(), strict=True) if a >= 0]
+        files = {"wrote": pa.array([{"shard": shard, "length": len(words)}], _LISTED), "read": pa.array([listed], pa.list_(_LISTED))}
+        return pa.table({**{k: pa.array([v], pa.int64()) for k, v in sums.items()}, **files})
 
     counts = ", ".join(f"c{k} long" for k in range(1, 5))
-    merged = rows.mapInArrow(runs, "shard int, run binary").groupBy("shard").applyInArrow(merge_pairs, f"shard int, run binary, {counts}")
-    sums = merged.groupBy("shard").applyInArrow(merge_words, f"{counts}, w1 long, w2 long, w3 long, w4 long, w long, tokens long, pairs long")
-    total = {k: v or 0 for k, v in sums.agg(*[F.sum(c).alias(c) for c in sums.columns]).first().asDict().items()}
+    merged = rows.mapInArrow(runs, "shard int, run binary").groupBy("shard").applyInArrow(merge_pairs, f"shard int, run binary, origin int, length long, {counts}")
+    sums = merged.groupBy("shard").applyInArrow(merge_words, f"{counts}, w1 long, w2 long, w3 long, w4 long, w long, tokens long, pairs long, wrote struct<shard: int, length: long>, read array<struct<shard: int, length: long>>")
+    lists = [F.collect_list("wrote").alias("wrote"), F.flatten(F.collect_list("read")).alias("read")]  # a row a shard, whose number is a setting
+    total = sums.agg(*[F.sum(c).alias(c) for c in sums.columns if c not in ("wrote", "read")], *lists).first().asDict()
+    words, pairs = ({r["shard"]: r["length"] for r in total.pop(c)} for c in ("wrote", "read"))
+    total = {k: v or 0 for k, v in total.items()}
     word_d = discounts([total[f"w{k}"] for k in range(1, 5)])
     held = word_d[0] * total["w1"] + word_d[1] * total["w2"] + word_d[2] * (total["w"] - total["w1"] - total["w2"])
     rest = held / total["pairs"] if total["pairs"] else 1.0
-    return Model(folder, shards, word_shards, total["tokens"], total["w"], total["pairs"], discounts([total[f"c{k}"] for k in range(1, 5)]), word_d, rest)
+    return Model(folder, shards, word_shards, total["tokens"], total["w"], total["pairs"], discounts([total[f"c{k}"] for k in range(1, 5)]), word_d, rest, pairs, words)
 
 
 @lru_cache(maxsize=4096)
-def _mapped(path: str) -> np.ndarray | None:
-    """An array file, mapped; None for a shard that has no entries."""
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+def _mapped(path: str, length: int | None = None) -> np.ndarray:
+    """An array file, mapped; a missing file, or one that does not hold ``length`` entries, raises."""
+    try:
+        array = np.load(path, mmap_mode="r")
+    except (FileNotFoundError, EOFError, ValueError) as e:
+        raise RuntimeError(f"{path}: the model's array is gone or cut short; is the folder shared by all executors?") from e
+    if length is not None and len(array) != length:
+        raise RuntimeError(f"{path}: {len(array)} entries where the model lists {length}")
+    return array
 
 
 def _look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,13 +314,13 @@ def _word_fields(m: Model, words: np.ndarray) -> dict[str, np.ndarray]:
     out = {f: np.zeros(len(words), np.int64) for f in _FIELDS}
     shard = word_shard(words, m.word_shards)
     for s in np.unique(shard).tolist():
-        keys = _mapped(f"{m.folder}/words-{s}.npy")
-        if keys is None:
+        if s not in m.word_lengths:  # no training word falls there
             continue
+        keys = _mapped(f"{m.folder}/words-{s}.npy", m.word_lengths[s])
         own = np.flatnonzero(shard == s)
         at, there = _look_up(keys, words[own])
         for f in _FIELDS:
-            out[f][own[there]] = _mapped(f"{m.folder}/words-{s}-{f}.npy")[at[there]]
+            out[f][own[there]] = _mapped(f"{m.folder}/words-{s}-{f}.npy", m.word_lengths[s])[at[there]]
     return out
 
 
@@ -313,12 +330,12 @@ def _pair_counts(m: Model, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     cuts = np.searchsorted(shard[by], np.arange(m.shards + 1))
     out = np.zeros(len(u), np.int64)
     for s in np.flatnonzero(np.diff(cuts)).tolist():
-        keys = _mapped(f"{m.folder}/pairs-{s}.npy")
-        if keys is None:
+        if s not in m.pair_lengths:  # no training pair falls there
             continue
+        keys = _mapped(f"{m.folder}/pairs-{s}.npy", m.pair_lengths[s])
         own = by[cuts[s] : cuts[s + 1]]
         at, there = _look_up(keys, h[own])
-        n = _mapped(f"{m.folder}/pairs-{s}-n.npy")[at[there]].astype(np.int64)
+        n = _mapped(f"{m.folder}/pairs-{s}-n.npy", m.pair_lengths[s])[at[there]].astype(np.int64)
         large = np.flatnonzero(n == 255)
         if large.size:
             where = np.searchsorted(_mapped(f"{m.folder}/pairs-{s}-at.npy"), at[there][large])

@@ -86,3 +86,26 @@ def test_runs_survive_packing():
     n = rng.integers(1, 2**40, 200, dtype=np.uint64)
     got = lm.unpack_pairs(lm.pack_pairs(u, v, n))
     assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(u.tolist(), v.tolist(), n.tolist()))
+
+
+@pytest.mark.parametrize("kind", ["pairs-{}.npy", "pairs-{}-n.npy", "words-{}.npy", "words-{}-before.npy"])
+def test_lost_or_short_arrays_raise(spark, docs_of, kind):
+    from pathlib import Path
+
+    import numpy as np
+
+    docs = docs_of([(i, f"a b{i % 9} c{i % 4} d") for i in range(60)])
+    m = lm.train(docs)
+    lengths = m.pair_lengths if kind.startswith("pairs") else m.word_lengths
+    assert sum(m.pair_lengths.values()) == m.pairs and sum(m.word_lengths.values()) >= m.vocabulary
+    file = Path(m.folder) / kind.format(max(lengths, key=lengths.get))
+    whole = np.load(file)
+    file.unlink()
+    with pytest.raises(Exception, match="gone or cut short"):
+        lm.score(docs, m).collect()
+    np.save(file, whole[:-1])
+    with pytest.raises(Exception, match="entries where the model lists"):
+        lm.score(docs, m).collect()
+    np.save(file, whole)
+    lm._mapped.cache_clear()
+    assert lm.score(docs, m).count() == 60
