@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotloom.functions.scratch import materialize
-from spotloom.operators import affinity, cluster, compare, downsample, enrich, evaluate, expression, factors, graph, leiden, loadings, train, trends, triangulate
+from spotloom.operators import affinity, cluster, compare, downsample, enrich, evaluate, expression, factors, graph, leiden, loadings, near_rows, train, trends, triangulate
 from spotloom.operators import spatial_fit as spatial
 from spotloom.sources import views
 from spotloom.sources.tables import table
@@ -271,6 +271,12 @@ def knn_in_loadings(spark, d):
     return _rounded(evaluate.nearest_in_space(p, p, 20), "distance")
 
 
+@_query("", None)
+def knn_in_loadings_about(spark, d):
+    """The approximate form, in proportion to the rows; tests hold its recall."""
+    return _rounded(near_rows.nearest_about(views.points(spark, d).select("replicate", "spot_id", "z"), 20), "distance")
+
+
 # --- loadings -------------------------------------------------------------------------------------------------------
 
 

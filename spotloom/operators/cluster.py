@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from spotloom.functions.scratch import materialize
 from spotloom.functions.small import dot, packed, small
-from spotloom.operators.evaluate import nearest_in_space
 from spotloom.operators.graph import smooth_labels, smooth_loadings, symmetric_edges
 from spotloom.operators.leiden import communities_near
+from spotloom.operators.near_rows import nearest_about
 
 
 def gabriel_graph(knn: DataFrame) -> DataFrame:
@@ -35,11 +35,11 @@ def with_positions(knn: DataFrame, spots: DataFrame) -> DataFrame:
 
 
 def loading_graph(loadings: DataFrame, k: int, factors: int) -> tuple[DataFrame, DataFrame]:
-    """((replicate, src, dst, distance), (replicate, spot_id, n)): symmetric graph of the ``k`` nearest spots by loadings over
-    all replicates together, its ends being numbers n of spots; its one replicate is called all."""
+    """((replicate, src, dst, distance), (replicate, spot_id, n)): symmetric graph of nearly the ``k`` nearest spots by loadings
+    over all replicates together (``nearest_about``), its ends being numbers n of spots; its one replicate is called all."""
     rows = materialize(packed(loadings, factors).withColumn("n", F.monotonically_increasing_id()), "loading-rows")
     joint = rows.select(F.lit("all").alias("replicate"), F.col("n").alias("spot_id"), "z")
-    return symmetric_edges(nearest_in_space(joint, joint, k)), rows.select("replicate", "spot_id", "n")
+    return symmetric_edges(nearest_about(joint, k)), rows.select("replicate", "spot_id", "n")
 
 
 def domains(spots: DataFrame, edges: DataFrame, loadings: DataFrame, target: int, k: int = 40, factors: int | None = None, tolerance: float = 0.05) -> DataFrame:

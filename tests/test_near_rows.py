@@ -1,5 +1,7 @@
 """Approximate nearest rows against the exact ones."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -42,3 +44,13 @@ def test_small_replicates_are_complete(spark):
     got = nearest_about(spark.createDataFrame(rows, SCHEMA), 10).collect()
     assert len(got) == 6 * 5 + 2 and {r.dst for r in got if r.replicate == "a" and r.src == 0 and r.rank == 1} == {1}
     assert nearest_about(spark.createDataFrame([], SCHEMA), 3).collect() == []
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="test tables are not here")
+def test_registered_query_finds_the_exact_neighbours(spark):
+    from spotloom.jobs.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    exact, about = (QUERIES[q](spark, d).select("replicate", "src", "dst").cache() for q in ("knn_in_loadings", "knn_in_loadings_about"))
+    assert about.count() == exact.count()
+    assert exact.join(about, ["replicate", "src", "dst"]).count() >= 0.95 * exact.count()
