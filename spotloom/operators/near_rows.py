@@ -90,12 +90,14 @@ def nearest_about(rows: DataFrame, k: int, trees: int = 4, leaf: int | None = No
     Distances are exact, some neighbours are farther than the true ones; a replicate of ``k`` rows or fewer gives all of them.
     A round brings every row together with its neighbours and the ``k`` nearest rows that have it as neighbour, and compares
     those 2k + 1 with each other.  Rounds end when fewer than ``settled`` of the edges are new, or after ``rounds``.
-    A group holds ``leaf`` (default 64, or 3k) or 2k + 1 rows, whatever the table's size; a round moves 2k + 1 vectors a row.
+    A group holds ``leaf`` (default 64, or 3k) or 2k + 1 rows, whatever the table's size; a round moves 2k + 1 vectors a row;
+    while refining, k is larger by half (by ten at least) than asked for, which keeps ways open in many dimensions.
     """
+    asked, k = k, k + max(10, k // 2)
     points = materialize(rows.select(F.col("replicate").cast("string").alias("replicate"), "spot_id", "z"), "near-points")
     endless = F.lit(float("inf"))
     member = F.collect_list(F.struct("spot_id", "z", "far")).alias("p")
-    dealt = _leaves(points, trees, leaf or max(64, 3 * k), seed).join(points, ["replicate", "spot_id"]).withColumn("far", endless)
+    dealt = _leaves(points, trees, leaf or max(64, 3 * asked), seed).join(points, ["replicate", "spot_id"]).withColumn("far", endless)
     groups = dealt.groupBy("replicate", "tree", "leaf").agg(member).select("replicate", "p")
     now = materialize(_best(groups.mapInPandas(_near_inside(k), _EDGES), k), "near-edges")
     for _ in range(rounds):
@@ -114,4 +116,4 @@ def nearest_about(rows: DataFrame, k: int, trees: int = 4, leaf: int | None = No
         now = after
         if new <= settled * total:
             break
-    return now
+    return now.where(F.col("rank") <= asked)
