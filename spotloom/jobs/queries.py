@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotloom.functions.scratch import materialize
-from spotloom.operators import affinity, cluster, compare, downsample, enrich, evaluate, expression, factors, graph, leiden, loadings, near_rows, train, trends, triangulate
+from spotloom.operators import affinity, cluster, compare, downsample, enrich, evaluate, expression, factors, graph, leiden, loadings, near_rows, partition, train, trends, triangulate
 from spotloom.operators import spatial_fit as spatial
 from spotloom.sources import views
 from spotloom.sources.tables import table
@@ -758,6 +758,11 @@ def partition_bins(spark, d):
     return cluster.partition_bins(views.spots(spark, d))
 
 
+@_query("", None)
+def graph_partition(spark, d):
+    return partition.partition_graph(views.spots(spark, d), _edges(spark, d))
+
+
 _LATTICE = """box AS (SELECT replicate, min(x) AS x0, min(y) AS y0, (max(x) - min(x)) / 3 AS step, count(*) AS n FROM spots GROUP BY 1),
 c AS (SELECT s.*, x0, y0, step, n, least(2, greatest(0, ceil((x - x0) / step) - 1))::BIGINT AS cx, greatest(0, ceil((y - y0) / step) - 1)::BIGINT AS cy FROM spots s JOIN box USING (replicate)),
 u AS (SELECT DISTINCT replicate, cx, cy, x0, y0, step, n FROM c), side AS (SELECT replicate, round(sqrt(any_value(n) * 0.2 / count(*)))::BIGINT AS side FROM u GROUP BY 1),
