@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 from spotloom.operators import train
 from spotloom.sources import io
 
-_KINDS = {f.name: type(f.default) for f in fields(train.Plan)}
+_KINDS = {f.name: type(f.default) for f in fields(train.Plan) if f.default is not None}  # groups are tables, no settings
 
 
 def setting(name: str, value: str):

@@ -6,8 +6,9 @@ replicate.  A model is saved as Parquet tables and read back.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import json
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from spotloom.operators.evaluate import nearest_in_space
 from spotloom.operators.graph import symmetric_edges
 from spotloom.operators.leiden import communities_near
 from spotloom.operators.spatial_fit import colour_graph, spatial_loadings, superresolve
+from spotloom.operators.trends import neighbour_groups
 
 KEY = ["replicate", "spot_id"]
 
@@ -31,7 +33,11 @@ KEY = ["replicate", "spot_id"]
 @dataclass(frozen=True)
 class Plan:
     """Sizes and budgets of a fit; ``pull_weights`` and ``pull_affinity`` over 0 make parameters differ between replicates,
-    drawn to their mean."""
+    drawn to the means of their groups.
+
+    Groups map names to replicates; ``disjoint`` puts every replicate in a group of its own, and replicates that no group names
+    form one more.  Without a pull a group's replicates share their parameters and groups must not overlap; with one a
+    replicate may be in several, all of the same weight."""
 
     factors: int = 8
     start: str = "svd"  # or kmeans, leiden
@@ -47,6 +53,49 @@ class Plan:
     pull_affinity: float = 0.0
     tol: float = 1e-4
     seed: int = 0
+    weight_groups: Mapping[str, Sequence[str]] | str | None = None
+    affinity_groups: Mapping[str, Sequence[str]] | str | None = None
+
+
+def groups_of(names: Sequence[str], groups: Mapping[str, Sequence[str]] | str | None, apart: bool) -> dict[str, list[str]]:
+    """Group name to replicates, every replicate of ``names`` in one group at least; ``apart`` forbids a second one."""
+    if isinstance(groups, str):
+        if groups != "disjoint":
+            raise ValueError(f"unknown groups {groups}")
+        return {r: [r] for r in names}
+    out = {g: [r for r in names if r in set(members)] for g, members in (groups or {}).items()}
+    unknown = sorted({r for members in (groups or {}).values() for r in members} - set(names))
+    if unknown or not all(out.values()):
+        raise ValueError(f"groups without replicates, or unknown ones: {unknown or [g for g, m in out.items() if not m]}")
+    rest = [r for r in names if not any(r in m for m in out.values())]
+    if rest:
+        if "_default" in out:
+            raise ValueError("the group name _default is kept for replicates without a group")
+        out["_default"] = rest
+    twice = sorted(r for r in names if sum(r in m for m in out.values()) > 1)
+    if apart and twice:
+        raise ValueError(f"replicates {twice} are in several groups, which cannot all share their parameters")
+    return out
+
+
+def group_means(now: Mapping[str, np.ndarray], groups: Mapping[str, Sequence[str]]) -> dict[str, list[np.ndarray]]:
+    """Replicate to the means of all its groups."""
+    bars = {g: sum(now[r] for r in members) / len(members) for g, members in groups.items()}
+    return {r: [bars[g] for g, members in groups.items() if r in members] for r in now}
+
+
+def bridge_groups(bridge: DataFrame, group: str = "group") -> dict[str, list[str]]:
+    """A plan's groups from a many-to-many table of ``group`` and replicate, a row a member."""
+    out: dict[str, list[str]] = {}
+    for r in bridge.select(F.col(group).cast("string").alias("g"), F.col("replicate").cast("string").alias("r")).distinct().orderBy("g", "r").collect():
+        out.setdefault(r.g, []).append(r.r)
+    return out
+
+
+def covariate_groups(covariate: DataFrame, width: int = 1) -> dict[str, list[str]]:
+    """Sliding groups: for every value t of (replicate, t) with ``width`` values on both sides the replicates in that window."""
+    rows = covariate.select(F.lit("all").alias("feature"), "replicate", "t")
+    return bridge_groups(neighbour_groups(rows, width).join(rows, F.col("member") == F.col("t")), "centre")
 
 
 @dataclass
@@ -57,9 +106,11 @@ class SpatialModel:
     sigma: dict[str, float]
     loadings: DataFrame  # replicate, spot_id, x
     losses: list[float] = field(default_factory=list)
+    plan: Plan | None = None
+    levels: dict[int, DataFrame] = field(default_factory=dict)  # what refine gives
 
     def save(self, folder: str) -> None:
-        """Tables of loadings, weights, affinities and noise under ``folder`` (any store that Spark writes)."""
+        """Tables of loadings, weights, affinities, noise, the plan and all levels under ``folder`` (any store that Spark writes)."""
         spark = self.loadings.sparkSession
         self.loadings.write.parquet(f"{folder}/loadings")
         w = [(r, g, i, k + 1, float(v)) for r, m in self.weights.items() for i, (g, row) in enumerate(zip(self.genes, m, strict=True)) for k, v in enumerate(row)]
@@ -68,9 +119,14 @@ class SpatialModel:
         spark.createDataFrame(s, "replicate string, i int, j int, value double").write.parquet(f"{folder}/affinity")
         spark.createDataFrame([(r, v, i) for i, (r, v) in enumerate(self.sigma.items())], "replicate string, sigma double, place int").write.parquet(f"{folder}/noise")
         spark.createDataFrame(list(enumerate(map(float, self.losses))), "step int, loss double").write.parquet(f"{folder}/losses")
+        for level, found in self.levels.items():
+            found.select(*KEY, "x").write.parquet(f"{folder}/levels/{level}")
+        about = {"plan": asdict(self.plan) if self.plan else None, "levels": sorted(self.levels)}
+        spark.createDataFrame([(json.dumps(about),)], "about string").write.parquet(f"{folder}/about")
 
     @staticmethod
-    def load(spark: SparkSession, folder: str) -> SpatialModel:
+    def load(spark: SparkSession, folder: str, **changes) -> SpatialModel:
+        """A saved model; ``changes`` replace settings of its plan.  A model saved without a plan takes the defaults for it."""
         read = lambda n: spark.read.parquet(f"{folder}/{n}")
         w, s = read("weights").toPandas(), read("affinity").toPandas()
         genes = w.drop_duplicates("g").sort_values("g")["gene"].tolist()
@@ -78,7 +134,9 @@ class SpatialModel:
         affinity = {r: t.pivot(index="i", columns="j", values="value").to_numpy() for r, t in s.groupby("replicate")}
         sigma = {r.replicate: r.sigma for r in read("noise").orderBy("place").collect()}
         losses = [r.loss for r in read("losses").orderBy("step").collect()]
-        return SpatialModel(genes, weights, affinity, sigma, read("loadings"), losses)
+        about = json.loads(read("about").first().about)
+        plan = replace(Plan(**(about["plan"] or {"factors": len(next(iter(affinity.values())))})), **changes)
+        return SpatialModel(genes, weights, affinity, sigma, read("loadings"), losses, plan, {i: read(f"levels/{i}") for i in about["levels"]})
 
 
 def gene_gram(spots: DataFrame, right: np.ndarray, mean: np.ndarray | None = None, n: int = 0) -> np.ndarray:
@@ -204,13 +262,18 @@ def _loss(sums: dict, m: np.ndarray) -> float:
     return fac._loss(sums, m)
 
 
-def _weights(sums: dict[str, dict], sigma: dict[str, float], now: dict[str, np.ndarray], pull: float) -> dict[str, np.ndarray]:
-    """Shared weights of all replicates, or with ``pull`` each one's own drawn to their mean."""
+def _weights(sums: dict[str, dict], sigma: dict[str, float], now: dict[str, np.ndarray], plan: Plan) -> dict[str, np.ndarray]:
+    """Weights that a group's replicates share, or with a pull each one's own drawn to the means of its groups."""
+    pull = plan.pull_weights
+    groups = groups_of(sorted(now), plan.weight_groups, pull <= 0)
     if pull <= 0:
-        one = fac.solve_weights(sum(s["xx"] / sigma[r] ** 2 for r, s in sums.items()), sum(s["yx"] / sigma[r] ** 2 for r, s in sums.items()), next(iter(now.values())))
-        return dict.fromkeys(sums, one)
-    bar = fac.project_simplex(sum(now.values()) / len(now))
-    return {r: fac.solve_weights(s["xx"] / sigma[r] ** 2, s["yx"] / sigma[r] ** 2, now[r], pull, bar) for r, s in sums.items()}
+        out = {}
+        for members in groups.values():
+            xx, yx = (sum(sums[r][part] / sigma[r] ** 2 for r in members) for part in ("xx", "yx"))
+            out |= dict.fromkeys(members, fac.solve_weights(xx, yx, now[members[0]]))
+        return out
+    bars = {r: np.mean([fac.project_simplex(b) for b in own], axis=0) for r, own in group_means(now, groups).items()}
+    return {r: fac.solve_weights(s["xx"] / sigma[r] ** 2, s["yx"] / sigma[r] ** 2, now[r], pull, bars[r]) for r, s in sums.items()}
 
 
 def _noise(sums: dict[str, dict], weights: dict[str, np.ndarray], n_genes: int) -> dict[str, float]:
@@ -235,6 +298,11 @@ def neighbour_terms(edges: DataFrame, loadings: DataFrame, affinity: dict[str, n
     return {r.replicate: (r.linear, r.logs) for r in got.collect()}
 
 
+def _spread(now: dict[str, np.ndarray], groups: dict[str, list[str]]) -> float:
+    """Squared distances of the replicates' parameters to the means of their groups, each replicate's averaged."""
+    return sum(float(np.mean([((now[r] - b) ** 2).sum() for b in bars])) for r, bars in group_means(now, groups).items())
+
+
 def negative_log_likelihood(model: SpatialModel, sums: dict[str, dict], edges: DataFrame | None, plan: Plan) -> float:
     """Data term with its Gaussian constant; with ``edges`` also the neighbour term, the log partitions and the penalties."""
     n_genes, total = len(model.genes), 0.0
@@ -243,14 +311,12 @@ def negative_log_likelihood(model: SpatialModel, sums: dict[str, dict], edges: D
         var = model.sigma[r] ** 2
         total += _loss(s, model.weights[r]) / (2 * var) + s["n"] * n_genes / 2 * np.log(2 * np.pi * var)
     if plan.pull_weights > 0:
-        bar = sum(model.weights.values()) / len(model.weights)
-        total += sum(plan.pull_weights * float(((m - bar) ** 2).sum()) for m in model.weights.values())
+        total += plan.pull_weights * _spread(model.weights, groups_of(sorted(model.weights), plan.weight_groups, False))
     if edges is not None:
         for r, (linear, logs) in neighbour_terms(edges, model.loadings, model.affinity).items():
             total += linear / 2 + logs + cells * plan.penalty / 2 * float((model.affinity[r] ** 2).sum())
         if plan.pull_affinity > 0:
-            bar = sum(model.affinity.values()) / len(model.affinity)
-            total += sum(cells * plan.pull_affinity / 2 * float(((a - bar) ** 2).sum()) for a in model.affinity.values())
+            total += cells * plan.pull_affinity / 2 * _spread(model.affinity, groups_of(sorted(model.affinity), plan.affinity_groups, False))
     return float(total)
 
 
@@ -262,11 +328,9 @@ def fit(expr: DataFrame, edges: DataFrame, plan: Plan | None = None) -> SpatialM
     falls by less than ``tol`` of itself."""
     plan = plan or Plan()
     genes = sorted(r.gene for r in expr.select("gene").distinct().collect())  # one short name per gene
-    numbered = expr.sparkSession.createDataFrame(list(zip(genes, range(len(genes)), strict=True)), "gene string, g int")
-    spots = materialize(fac.packed_spots(expr, numbered), "train-spots")
-    edges = materialize(edges.select("replicate", "src", "dst"), "train-edges")
+    spots, edges, names = _tables(expr, edges, genes)
+    groups_of(names, plan.weight_groups, plan.pull_weights <= 0), groups_of(names, plan.affinity_groups, plan.pull_affinity <= 0)  # raise early
     start = initial_weights(spots, len(genes), plan)
-    names = sorted(r.replicate for r in spots.select("replicate").distinct().collect())
     weights = dict.fromkeys(names, start)
     losses: list[float] = []
     x: DataFrame | None = None
@@ -277,13 +341,40 @@ def fit(expr: DataFrame, edges: DataFrame, plan: Plan | None = None) -> SpatialM
         x = found.where("spot_id IS NOT NULL").select(*KEY, "x")
         sums = fac._sums(found, len(genes), plan.factors)
         sigma = _noise(sums, weights, len(genes))
-        weights = _weights(sums, sigma, weights, plan.pull_weights)
+        weights = _weights(sums, sigma, weights, plan)
         losses.append(sum(_loss(s, weights[r]) for r, s in sums.items()))
         if i and losses[-2] - losses[-1] < plan.tol * abs(losses[-2]):
             break
     sigma = _noise(sums, weights, len(genes))
-    model = SpatialModel(genes, weights, {r: np.zeros((plan.factors, plan.factors)) for r in names}, sigma, x, losses)
-    best = np.inf
+    model = SpatialModel(genes, weights, {r: np.zeros((plan.factors, plan.factors)) for r in names}, sigma, x, losses, plan)
+    return _spatial(model, spots, edges)
+
+
+def resume(model: SpatialModel, expr: DataFrame, edges: DataFrame, **changes) -> SpatialModel:
+    """Further spatial iterations from a fitted or loaded model, with ``changes`` to its plan.
+
+    With a pull that the model's plan did not have, shared parameters become each replicate's own.  ``expr`` must hold the
+    model's replicates; genes and spots that the model does not know are left out, missing genes count as 0.  Losses go on in one list."""
+    plan = replace(model.plan or Plan(factors=len(next(iter(model.affinity.values())))), **changes)
+    if plan.factors != len(next(iter(model.affinity.values()))):
+        raise ValueError("the number of factors of a fitted model cannot change")
+    spots, edges, names = _tables(expr, edges, model.genes)
+    if names != sorted(model.weights):
+        raise ValueError(f"the model knows the replicates {sorted(model.weights)}, the table holds {names}")
+    return _spatial(replace(model, plan=plan, levels={}), spots, edges)
+
+
+def _tables(expr: DataFrame, edges: DataFrame, genes: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(packed spots, edges, names of the replicates), the tables written."""
+    numbered = expr.sparkSession.createDataFrame(list(zip(genes, range(len(genes)), strict=True)), "gene string, g int")
+    spots = materialize(fac.packed_spots(expr, numbered), "train-spots")
+    names = sorted(r.replicate for r in spots.select("replicate").distinct().collect())  # a row a replicate
+    return spots, materialize(edges.select("replicate", "src", "dst"), "train-edges"), names
+
+
+def _spatial(model: SpatialModel, spots: DataFrame, edges: DataFrame) -> SpatialModel:
+    """The spatial iterations of ``model.plan``."""
+    plan, genes, best = model.plan, model.genes, np.inf
     colours = colour_graph(edges) if plan.spatial_iterations else None
     for _ in range(plan.spatial_iterations):
         model.affinity = _affinities(model, edges, plan)
@@ -297,8 +388,8 @@ def fit(expr: DataFrame, edges: DataFrame, plan: Plan | None = None) -> SpatialM
             moved = z if moved is None else moved.union(z)
         now = materialize(moved, "train-loadings")
         sums = fac.loading_sums(spots.join(now, KEY), len(genes), plan.factors)
-        weights = _weights(sums, model.sigma, model.weights, plan.pull_weights)
-        after = SpatialModel(genes, weights, model.affinity, _noise(sums, weights, len(genes)), now, model.losses)
+        weights = _weights(sums, model.sigma, model.weights, plan)
+        after = SpatialModel(genes, weights, model.affinity, _noise(sums, weights, len(genes)), now, model.losses, plan)
         value = negative_log_likelihood(after, sums, edges, plan)
         after.losses = [*model.losses, value]
         if value >= best:
@@ -324,17 +415,20 @@ def _alike(model: SpatialModel) -> list[list[str]]:
 
 
 def _affinities(model: SpatialModel, edges: DataFrame, plan: Plan) -> dict[str, np.ndarray]:
-    """One affinity for all replicates, or each one's own drawn to their mean."""
+    """One affinity for the replicates of a group, or each one's own drawn to the means of its groups."""
     flat = model.loadings.select(*KEY, F.posexplode(F.transform("x", lambda v: v / F.aggregate("x", F.lit(0.0), lambda a, b: a + b))).alias("k", "v")).withColumn("k", F.col("k") + 1)
     flat = materialize(flat, "train-simplex")
+    groups, out = groups_of(sorted(model.weights), plan.affinity_groups, plan.pull_affinity <= 0), {}
     if plan.pull_affinity <= 0:
-        s, _ = fit_affinity(edges, flat, plan.factors, steps=plan.affinity_steps, penalty=plan.penalty, tol=1e-3, start=next(iter(model.affinity.values())))
-        out = dict.fromkeys(model.weights, s)
+        for members in groups.values():
+            some = F.col("replicate").isin(members)
+            one, _ = fit_affinity(edges.where(some), flat.where(some), plan.factors, steps=plan.affinity_steps, penalty=plan.penalty, tol=1e-3, start=model.affinity[members[0]])
+            out |= dict.fromkeys(members, one)
     else:
-        out, both = {}, plan.penalty + plan.pull_affinity
-        bar = sum(model.affinity.values()) / len(model.affinity) * plan.pull_affinity / both
-        for r in model.weights:
+        both = plan.penalty + plan.pull_affinity
+        for r, bars in group_means(model.affinity, groups).items():
             one = F.col("replicate") == r
+            bar = np.mean(bars, axis=0) * plan.pull_affinity / both
             out[r], _ = fit_affinity(edges.where(one), flat.where(one), plan.factors, steps=plan.affinity_steps, penalty=both, tol=1e-3, towards=bar, start=model.affinity[r])
     discard(flat)
     return out
