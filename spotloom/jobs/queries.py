@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotloom.functions.scratch import materialize
-from spotloom.operators import affinity, cluster, compare, downsample, enrich, evaluate, expression, factors, graph, leiden, loadings, near_rows, partition, train, trends, triangulate
+from spotloom.functions.small import packed
+from spotloom.operators import affinity, align, cluster, compare, downsample, enrich, evaluate, expression, factors, graph, leiden, loadings, near_rows, partition, train, trends, triangulate
 from spotloom.operators import spatial_fit as spatial
 from spotloom.sources import views
 from spotloom.sources.tables import table
@@ -744,6 +746,17 @@ def cluster_domains(spark, d):
     return cluster.domains(views.spots(spark, d), _edges(spark, d), loadings.l1_normalize(views.embedding_long(spark, d)), 5, tolerance=2.0)
 
 
+@_query("", None)
+def aligned_loadings(spark, d):
+    """Loadings after the differences between replicates are taken out."""
+    rows = align.align_replicates(_packed_loadings(spark, d))
+    return rows.select("replicate", "spot_id", F.posexplode("z").alias("k", "v")).withColumn("k", F.col("k") + 1)
+
+
+def _packed_loadings(spark, d):
+    return packed(loadings.l1_normalize(views.embedding_long(spark, d)), views.FACTORS)
+
+
 def _halvings(levels: int) -> str:
     """Halving at medians, x and y in turn, as a chain of tables; a replicate stops at the depth of the largest one."""
     parts = ["deep AS (SELECT greatest(0, ceil(log2(max(n) / 64.0)))::INT AS depth FROM (SELECT count(*) AS n FROM spots GROUP BY replicate))", "b0 AS (SELECT replicate, spot_id, x, y, 0 AS bin_id FROM spots)"]
@@ -822,6 +835,17 @@ def train_losses(spark, d):
     return spark.createDataFrame(list(enumerate(model.losses)), "step int, loss double")
 
 
+@_query("", None)
+def grouped_fit(spark, d):
+    """Affinities of a fit whose replicates are drawn to the means of sliding groups, one replicate being in several."""
+    expr, _, edges = _sample(spark, d)
+    regions = table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("replicate"), F.col("r_regionkey").alias("t"))
+    groups = train.covariate_groups(regions.join(expr.select("replicate").distinct(), "replicate"))
+    model = train.fit(expr, edges, train.Plan(factors=4, nmf_iterations=5, spatial_iterations=1, affinity_steps=15, pull_weights=0.5, pull_affinity=1e-2, weight_groups=groups, affinity_groups=groups))
+    rows = [(r, i + 1, j + 1, float(v)) for r, m in model.affinity.items() for (i, j), v in np.ndenumerate(m)]
+    return spark.createDataFrame(rows, "replicate string, i int, j int, value double")
+
+
 @_query("", None)
 def superresolve(spark, d):
     expr, spots, _ = _sample(spark, d)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spotloom.functions.scratch import materialize
 from spotloom.functions.small import dot, packed, small
+from spotloom.operators.align import align_replicates
 from spotloom.operators.graph import smooth_labels, smooth_loadings, symmetric_edges
 from spotloom.operators.leiden import communities_near
 from spotloom.operators.near_rows import nearest_about
@@ -42,12 +43,15 @@ def loading_graph(loadings: DataFrame, k: int, factors: int) -> tuple[DataFrame,
     return symmetric_edges(nearest_about(joint, k)), rows.select("replicate", "spot_id", "n")
 
 
-def domains(spots: DataFrame, edges: DataFrame, loadings: DataFrame, target: int, k: int = 40, factors: int | None = None, tolerance: float = 0.05) -> DataFrame:
+def domains(spots: DataFrame, edges: DataFrame, loadings: DataFrame, target: int, k: int = 40, factors: int | None = None, tolerance: float = 0.05, batch_correct: bool = False) -> DataFrame:
     """(replicate, spot_id, label, smoothed): spatial domains over all replicates together.
 
-    Loadings are averaged over neighbours, joined to their ``k`` nearest in loadings, parted into ``target`` communities
+    Loadings (with ``batch_correct`` after ``align_replicates``) are averaged over neighbours, joined to their ``k`` nearest in loadings, parted into ``target`` communities
     (``communities_near``), and a spot whose neighbours mostly hold another label takes it.  Labels count from 0 by size."""
     width = factors or loadings.agg(F.max("k")).first()[0] or 1
+    if batch_correct:
+        fixed = align_replicates(packed(loadings, width))
+        loadings = fixed.select("replicate", "spot_id", F.posexplode("z").alias("k", "v")).withColumn("k", F.col("k") + 1)
     near, numbers = loading_graph(smooth_loadings(edges, loadings), k, width)
     found = communities_near(materialize(near, "domain-edges"), target, tolerance=tolerance)[0]
     size = found.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("spot_id").alias("first"))
