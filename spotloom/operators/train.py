@@ -134,7 +134,9 @@ class SpatialModel:
         affinity = {r: t.pivot(index="i", columns="j", values="value").to_numpy() for r, t in s.groupby("replicate")}
         sigma = {r.replicate: r.sigma for r in read("noise").orderBy("place").collect()}
         losses = [r.loss for r in read("losses").orderBy("step").collect()]
-        about = json.loads(read("about").first().about)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/about")
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)  # not in models of older versions
+        about = json.loads(read("about").first().about) if there else {"plan": None, "levels": []}
         plan = replace(Plan(**(about["plan"] or {"factors": len(next(iter(affinity.values())))})), **changes)
         return SpatialModel(genes, weights, affinity, sigma, read("loadings"), losses, plan, {i: read(f"levels/{i}") for i in about["levels"]})
 

@@ -71,6 +71,8 @@ def test_fit_with_groups_saved_and_resumed(spark, three, tmp_path):
     again = train.SpatialModel.load(spark, str(tmp_path / "model"), affinity_steps=3)
     assert again.plan == train.replace(plan, affinity_steps=3)
     assert {i: t.count() for i, t in again.levels.items()} == {0: 5, 1: 90}
+    (tmp_path / "model" / "about").rename(tmp_path / "apart")
+    assert train.SpatialModel.load(spark, str(tmp_path / "model")).plan == train.Plan(factors=2)
     on = train.resume(again, expr, edges, pull_weights=0.5, weight_groups={"x": ["a", "b"], "y": ["b", "c"]})
     assert not np.array_equal(on.weights["a"], on.weights["b"])  # shared before, its own now
     assert len(on.losses) == len(model.losses) + 1 and on.loadings.count() == 90 and np.isfinite(on.losses[-1])
