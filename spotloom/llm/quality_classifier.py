@@ -14,7 +14,7 @@ the weights have not seen.
 Only labels of rows for which ``learn_from`` holds are read.  Labels, language, source and id are never inputs.
 
 Defined results: null text counts as empty; an empty text has the zero vector and gets that vector's score; labels
-that are null are ignored and several labels of one document are averaged (0.5 and more counts as 1); with fewer than
+that are null are ignored and several labels of one document are averaged (0.5 and more counts as 1); with fewer than ten rows or
 two classes to learn from, every score is the share of label 1 (0.5 without labels); repeated rows repeat; an empty
 table gives an empty result; extra columns are ignored.
 """
