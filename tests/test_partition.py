@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spotloom.operators import cluster, graph, partition
 
@@ -96,3 +97,11 @@ def test_edges_that_do_not_count(spark):
     assert partition.partition_graph(spots.limit(0), edges).count() == 0
     one = partition.partition_graph(spots.where("spot_id = 2"), edges).collect()
     assert [tuple(r) for r in one] == [("r0", 2, 0)]
+
+
+def test_halves_are_exact(spark):
+    """With different values every halving of an even part is even, also where a sketch would be some ranks off."""
+    at = lambda seed: (F.xxhash64("id", F.lit(seed)) / 1e18)
+    spots = spark.range(60_000).select(F.lit("r").alias("replicate"), F.col("id").alias("spot_id"), at(1).alias("x"), at(2).alias("y"))
+    for got in (cluster.partition_bins(spots, 2), cluster.partition_bins(spots, per_bin=1, most=2)):
+        assert [r["count"] for r in got.groupBy("bin_id").count().collect()] == [15_000] * 4
