@@ -54,3 +54,24 @@ def test_registered_query_finds_the_exact_neighbours(spark):
     exact, about = (QUERIES[q](spark, d).select("replicate", "src", "dst").cache() for q in ("knn_in_loadings", "knn_in_loadings_about"))
     assert about.count() == exact.count()
     assert exact.join(about, ["replicate", "src", "dst"]).count() >= 0.95 * exact.count()
+
+
+def test_blocks_far_from_zero_and_bounded_tasks(spark):
+    """Matrix products lose digits far from zero and at copies; the result is that of differences, and few pairs share a task."""
+    from spotloom.operators import evaluate
+
+    rng = np.random.default_rng(6)
+    z = 1e5 + rng.normal(size=(600, 5))
+    z[300:330] = z[0]
+    rows = spark.createDataFrame([("r", i, "ab"[i % 2], z[i].tolist()) for i in range(600)], "replicate string, spot_id long, label string, z array<double>")
+    d = np.round(np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2)), 12)
+    np.fill_diagonal(d, np.inf)
+    got = {(r.src, r["rank"]): r.dst for r in nearest_in_space(rows, rows, 4, block=64).collect()}
+    assert got == {(i, r + 1): int(j) for i in range(600) for r, j in enumerate(np.lexsort((np.arange(600), d[i]))[:4])}
+    np.fill_diagonal(d, 0.0)
+    same = np.arange(600) % 2
+    own, other = (d * (same[:, None] == same)).sum(axis=1) / 299, (d * (same[:, None] != same)).sum(axis=1) / 300
+    assert abs(evaluate.silhouette(rows, block=64).first().silhouette - np.mean((other - own) / np.maximum(own, other))) < 1e-9
+    blocks = evaluate._blocks(rows, 16, ["spot_id", "z"])
+    shares = evaluate._block_pairs(blocks, blocks).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in shares) == 38 * 38 and max(r["count"] for r in shares) <= 40
