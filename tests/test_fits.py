@@ -212,3 +212,19 @@ def test_leiden_start_finds_planted_sets(spark):
         assert sorted(np.argsort(-m[:, label])[:10] % 3) == [group[k]] * 10
     with pytest.raises(ValueError, match="communities instead of 80"):
         train.leiden_labels(spots.limit(20), 30, train.Plan(factors=80, components=3, neighbours=4, retries=0))
+
+
+def test_affinities_of_groups_in_common_passes(spark, monkeypatch):
+    """Every group's affinity is that of a fit by itself, and a step is one pass for all groups."""
+    rng = np.random.default_rng(12)
+    z = rng.dirichlet(np.ones(3), 80)
+    long = spark.createDataFrame([(f"r{i % 2}", i // 2, k + 1, float(z[i, k])) for i in range(80) for k in range(3)], "replicate string, spot_id long, k int, v double")
+    edges = ring(spark, 40, 20).drop("replicate").crossJoin(spark.createDataFrame([("r0",), ("r1",)], "replicate string"))
+    passes, run = [], type(edges).mapInPandas
+    monkeypatch.setattr(type(edges), "mapInPandas", lambda self, *a, **b: passes.append(1) or run(self, *a, **b))
+    got = affinity.fit_affinities(edges, long, 3, {"a": ["r0"], "b": ["r1"]}, steps=3, towards={"a": 0.1})
+    assert len(passes) == 3
+    for g, r, to in (("a", "r0", 0.1), ("b", "r1", 0.0)):
+        one = F.col("replicate") == r
+        alone, losses = affinity.fit_affinity(edges.where(one), long.where(one), 3, steps=3, towards=to)
+        assert got[g][0] == pytest.approx(alone) and got[g][1] == pytest.approx(losses)
