@@ -103,5 +103,6 @@ def test_halves_are_exact(spark):
     """With different values every halving of an even part is even, also where a sketch would be some ranks off."""
     at = lambda seed: (F.xxhash64("id", F.lit(seed)) / 1e18)
     spots = spark.range(60_000).select(F.lit("r").alias("replicate"), F.col("id").alias("spot_id"), at(1).alias("x"), at(2).alias("y"))
-    for got in (cluster.partition_bins(spots, 2), cluster.partition_bins(spots, per_bin=1, most=2)):
+    for how in ({"depth": 2}, {"per_bin": 1, "most": 2}):
+        got = cluster.partition_bins(spots, **how)
         assert [r["count"] for r in got.groupBy("bin_id").count().collect()] == [15_000] * 4
