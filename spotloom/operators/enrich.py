@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotloom.functions.scratch import materialize
+
 
 def hypergeometric_tail(shared: int, chosen: int, members: int, total: int) -> float:
     """Probability of ``shared`` or more members among ``chosen`` of ``total`` genes drawn at random."""
@@ -23,11 +25,11 @@ def hypergeometric_tail(shared: int, chosen: int, members: int, total: int) -> f
 
 def over_representation(members: DataFrame, chosen: DataFrame, background: DataFrame) -> DataFrame:
     """(signature, set_name, shared, p): for sets (set_name, gene) and signatures (signature, gene), both cut to the
-    background genes, the hypergeometric tail of their overlap."""
-    genes = background.select("gene").distinct()
+    background genes, the hypergeometric tail of their overlap.  Genes, sets and signatures are written once; later steps scan them."""
+    genes = materialize(background.select("gene").distinct(), "genes")
     total = genes.count()
-    sets = members.select("set_name", "gene").distinct().join(genes, "gene", "left_semi")
-    picks = chosen.select("signature", "gene").distinct().join(genes, "gene", "left_semi")
+    sets = materialize(members.select("set_name", "gene").distinct().join(genes, "gene", "left_semi"), "gene-sets")
+    picks = materialize(chosen.select("signature", "gene").distinct().join(genes, "gene", "left_semi"), "signatures")
     size = sets.groupBy("set_name").agg(F.count(F.lit(1)).alias("members"))
     many = picks.groupBy("signature").agg(F.count(F.lit(1)).alias("chosen")).collect()  # one short row a signature
     both = picks.join(sets, "gene").groupBy("signature", "set_name").agg(F.count(F.lit(1)).alias("shared"))

@@ -35,3 +35,14 @@ def test_signatures(spark, high):
         for r in signature_by_knee(spark.createDataFrame(rows, "k int, gene string, w double"), sensitivity, high).collect():
             got[r.k].add(int(r.gene[1:]))
         assert got == {k: walk(w, sensitivity, high) for k, w in enumerate(curves)}
+
+
+def test_over_representation_computes_expression_once(spark, monkeypatch):
+    """Weights and background read one written table; genes are listed once, not once per use."""
+    from spotloom.jobs import queries
+    from spotloom.sources import views
+
+    calls, plain = [], views.expression
+    monkeypatch.setattr(views, "expression", lambda *a: calls.append(1) or plain(*a))
+    plan = queries.QUERIES["over_representation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 1 and "l_quantity" not in plan
