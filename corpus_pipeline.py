@@ -29,9 +29,22 @@ from spotloom.llm.queries import MIX_PLAN, source_domain, vocabulary
 from spotloom.sources.tables import table
 
 
+#: Fixed value: rows a worker gets at a time.  Documents are long, and Spark's 10,000 of them fill tens of MB on both sides.
+BATCH_ROWS = 1000
+
+
+def _python_ready(spark: SparkSession) -> None:
+    """The package is on its way to the workers, and batches of whole texts are small; a smaller setting of the session stays."""
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more."""
-    ship_package(spark)
+    _python_ready(spark)
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return docs.where(model.score(F.col("text")) >= 0.5)
 
@@ -46,7 +59,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: its smallest id."""
-    ship_package(spark)
+    _python_ready(spark)
     found = simhash_dedup.simhash_components(docs)
     return keep_rows(docs, found.select("doc_id", F.col("fp").alias("mark"), "kept"), simhash_dedup.fingerprint_of(F.col("text")))
 
@@ -59,7 +72,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document that is left."""
-    ship_package(spark)
+    _python_ready(spark)
     return bpe.encode_decode(docs, vocabulary())
 
 

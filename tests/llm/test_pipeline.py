@@ -78,3 +78,21 @@ def test_empty_table(spark, folder, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_batches_of_whole_texts_are_small(spark, folder):
+    """Workers get at most a thousand rows at a time once a stage has been planned; a smaller setting of the session is kept."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    sizes = lambda: [r.n for r in spark.range(0, 2500, 1, 1).mapInArrow(lambda it: (type(b).from_pydict({"n": [b.num_rows]}) for b in it), "n long").collect()]
+    try:
+        for stage in (cp.quality, cp.near, cp.encoded):
+            spark.conf.unset(name)
+            stage(spark, docs, folder)
+            assert sizes() == [1000, 1000, 500]
+        spark.conf.set(name, "700")
+        cp.encoded(spark, docs, folder)
+        assert max(sizes()) == 700
+    finally:
+        spark.conf.set(name, before)
