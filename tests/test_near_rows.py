@@ -75,3 +75,18 @@ def test_blocks_far_from_zero_and_bounded_tasks(spark):
     blocks = evaluate._blocks(rows, 16, ["spot_id", "z"])
     shares = evaluate._block_pairs(blocks, blocks).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in shares) == 38 * 38 and max(r["count"] for r in shares) <= 40
+
+
+def test_few_rounds_on_a_sphere(spark):
+    """Rows without clusters in 64 dimensions: large leaves leave little to rounds, each of which moves 2k + 1 vectors a row."""
+    from spotloom.operators import near_rows
+
+    z = np.random.default_rng(8).normal(size=(2400, 64)).astype(np.float32)
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    rows = [("r", i, v.tolist()) for i, v in enumerate(z)]
+    for how in ({"rounds": 1}, {"rounds": 1, "leaf": 700}):
+        share, number = recall(spark, rows, 10, **how)
+        assert share >= 0.97 and number == 10 * len(z)
+    # floats stay floats as long as no row loses by it
+    assert near_rows._packed(spark.createDataFrame(rows, SCHEMA)).schema["z"].dataType.simpleString() == "array<float>"
+    assert near_rows._packed(spark.createDataFrame([*rows, ("r", 9999, [0.1] * 64)], SCHEMA)).schema["z"].dataType.simpleString() == "array<double>"
