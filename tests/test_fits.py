@@ -56,6 +56,30 @@ def test_finer_loadings_follow_bins(spark):
     assert np.array([r.x for r in sorted(got.collect(), key=lambda r: r.spot_id)]) == pytest.approx(x, rel=1e-2, abs=1e-2)
 
 
+def test_bins_solved_together_take_the_steps_of_each_by_itself(spark):
+    """Bins of unlike sizes, more than one array of them, equal to the loop over the spots of one bin."""
+    rng = np.random.default_rng(5)
+    m = factors.project_simplex(rng.gamma(0.5, 1, (12, 3)))
+    gram, cells, want, spot = m.T @ m / 0.2**2, [], {}, 0
+    for b, n in enumerate([1, 7, 2, 5, 5, 9, 3]):
+        y, xb = np.abs(rng.gamma(1, 5, (n, 3)) @ m.T + rng.normal(size=(n, 12)) / 5), rng.gamma(1, 5, 3) * n
+        x = v = np.repeat(xb[None] / n, n, axis=0)
+        step, t = 1 / (np.linalg.eigvalsh(gram)[-1] + n), 1.0
+        for _ in range(3000):
+            new = np.maximum(v - step * (v @ gram - y @ m / 0.2**2 + (v.sum(axis=0) - xb)), factors.FLOOR)
+            u = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            v, change, x, t = new + (t - 1) / u * (new - x), np.abs(new - x).max(), new, u
+            if change < 1e-8 * max(1.0, xb.max()):
+                break
+        for i in range(n):
+            cells.append(("r", b, spot, list(range(12)), y[i].tolist(), xb.tolist()))
+            want[spot] = x[i]
+            spot += 1
+    table = spark.createDataFrame(cells, "replicate string, bin_id int, spot_id long, g array<int>, y array<double>, xb array<double>")
+    got = {r.spot_id: r.x for r in spatial_fit.superresolve(table, m, 0.2, 3000, at_once=3).collect()}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
 def test_communities_of_two_cliques(spark):
     pairs = [(a, b) for base in (0, 10) for a in range(base, base + 6) for b in range(base, base + 6) if a != b] + [(0, 10), (10, 0)]
     edges = spark.createDataFrame([("r", a, b) for a, b in pairs], "replicate string, src long, dst long")
